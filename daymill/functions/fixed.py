@@ -30,8 +30,10 @@ SIMILARITY_THRESHOLD = 0.88
 USD_TO_JPY = 150
 
 # ---- fixed values: whitespace as a text split sees it ---------------------
-WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+            0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 # ---- fixed values: default exclusion rules --------------------------------
 EXCLUDED_APPS = ["1Password"]
@@ -90,7 +92,7 @@ FILE_EXTENSIONS = (
 )
 FILE_TOKEN = r"(?iU)(?<![\w/.-])[\w./-]*\.?(?:[\w./-]+)\.(?:" + FILE_EXTENSIONS + r")\b"
 WORD = r"[A-Za-z0-9_./-]{4,}"
-JA_RUN = r"[぀-ヿ一-龯]{2,}"
+JA_RUN = r"[\u3040-\u30ff\u4e00-\u9faf]{2,}"
 URL = r"(?iU)\bhttps?://[^\s<>()]+"
 DOMAIN_PATH = (
     r"(?iU)\b(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|ai|app|dev|co|jp)(?:/[^\s<>()]+)?\b"
@@ -107,12 +109,13 @@ DEV_SLASH = r"(?U)\bDEV[l|](?=[A-Za-z])"
 
 # ---- fixed values: sentence and equality normalisation --------------------
 BULLETS = "▶→・|•"
-SENTENCE_END = r"(?<=[。.!?！？]) +"
-QUOTES = "[\"'“”‘’（）()【】\\[\\]<>]"
-PUNCT = r"[、。.!?！？・|•▶→]+"
+SENTENCE_ENDS = "。.!?！？"
+FIRST_SENTENCE = r"^.*?(?:[。.!?！？▶→・|•](?= )|$)"
+QUOTES = "\"'“”‘’（）()【】[]<>"
+PUNCT = "、。.!?！？・|•▶→"
 COMMON_TEXT_CHARS = 240
 SIMILARITY_STRIP = (
-    r"(?U)[\s　、。.,!?！？:：;；\-–—/\\()（）「」『』【】\[\]{}<>＜＞\"'・]"
+    r"(?U)[\s\u3000、。.,!?！？:：;；\-–—/\\()（）「」『』【】\[\]{}<>＜＞\"'・]"
 )
 FILENAME_FORBIDDEN = r"[\\/:*?\"<>|]"
 
