@@ -427,7 +427,7 @@ def display_number(stem: Column) -> Column:
 
 def url_authority(url: Column) -> Column:
     """Host with user and port, as it stands in the URL; '' when there is none."""
-    return F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit(""))
+    return F.regexp_extract(text_of(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)
 
 
 def context_label(app: Column, domain: Column, title: Column) -> Column:
