@@ -89,7 +89,9 @@ def int_text(n: Column) -> Column:
 
 
 def usd_text(cost: Column) -> Column:
-    return F.when(cost.isNull(), F.lit("n/a")).otherwise(F.format_string("$%.6f", cost))
+    """``$0.000072``; rounds the exact binary value, half to even."""
+    plain = F.replace(F.format_number(cost, 6), F.lit(","), F.lit(""))
+    return F.coalesce(F.concat(F.lit("$"), plain), F.lit("n/a"))
 
 
 def jpy_text(cost: Column, rate: float = K.USD_TO_JPY) -> Column:

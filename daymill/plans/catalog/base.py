@@ -86,6 +86,37 @@ PARTS: dict[str, str] = {
     "flatdoc": """SELECT doc_id, text, trim(regexp_replace(regexp_replace(text,
         '[\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'),
         '\\bDEV[l|]([A-Za-z])', 'DEV/\\1', 'g')) AS flat FROM documents""",
+    "coldoc": """SELECT doc_id, trim(regexp_replace(text,
+        '[\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS col
+        FROM documents""",
+    "docurl0": """SELECT doc_id, 0 AS grp, unnest(u) AS tok, generate_subscripts(u, 1) AS idx FROM (
+          SELECT doc_id, regexp_extract_all(flat, '(?i)\\bhttps?://[^\\s<>()]+') AS u FROM flatdoc)
+        UNION ALL SELECT doc_id, 1, unnest(b), generate_subscripts(b, 1) FROM (
+          SELECT doc_id, list_filter(regexp_extract_all(flat,
+            '(?i)\\b(?:[A-Za-z0-9-]+\\.)+(?:com|net|org|io|ai|app|dev|co|jp)(?:/[^\\s<>()]+)?\\b'),
+            lambda d: NOT contains(flat, '/' || d)) AS b FROM flatdoc)""",
+    "docurl": """SELECT doc_id, tok, min((grp, idx)) AS ord_at FROM (SELECT doc_id, grp, idx,
+          CASE WHEN regexp_matches(r, '(?i)^https?://') AND regexp_extract(r, '(?i)^https?://([^/?#]*)', 1) <> ''
+               THEN regexp_extract(r, '(?i)^https?://([^/?#]*)', 1)
+                 || regexp_replace(regexp_extract(r, '(?i)^https?://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') ELSE r END AS tok
+          FROM (SELECT *, regexp_replace(tok, '[).,;:】]+$', '') AS r FROM docurl0)) WHERE tok <> '' GROUP BY doc_id, tok""",
+    "docfile": """SELECT doc_id, unnest(f) AS tok, generate_subscripts(f, 1) AS idx FROM (SELECT doc_id, regexp_extract_all(flat,
+          '(?i)(?:^|[^\\p{L}\\p{N}_/.-])([\\p{L}\\p{N}_./-]*\\.?(?:[\\p{L}\\p{N}_./-]+)\\.(?:py|md|txt|json|jsonl|toml|ya?ml|sh|zsh|bash|ts|js|tsx|jsx|go|rs|swift|java|kt|rb|php|csv|tsv|log|env|ini|cfg|conf|sql|sqlite|db|png|jpe?g|gif|webp|pdf|zip|gz|tgz|tar|app))\\b', 1) AS f FROM flatdoc)""",
+    "docpath": """SELECT doc_id, tok, min(idx) AS idx FROM (SELECT doc_id, unnest(p) AS tok, generate_subscripts(p, 1) AS idx FROM (
+          SELECT f.doc_id, list_concat(regexp_extract_all(f.flat, '(?i)(?:^|\\s)(/(?:Users|Applications|System|Volumes|opt|etc|var|tmp|private|Library)/[^\\s]+)', 1),
+            regexp_extract_all(replace(f.text, chr(10), ''), '(?i)(?:^|\\s)(/(?:Users|Applications|System|Volumes|opt|etc|var|tmp|private|Library)/[^\\s]+)', 1)) AS p
+          FROM flatdoc f)) GROUP BY doc_id, tok""",
+    "docstrong": """SELECT doc_id, tok, (0, 0, idx) AS ord_at FROM docfile UNION ALL SELECT doc_id, tok, (1, 0, idx) FROM docpath
+        UNION ALL SELECT doc_id, tok, (2, ord_at[1], ord_at[2]) FROM docurl
+        UNION ALL SELECT doc_id, m, (3, 0, i) FROM flatdoc, (VALUES ('2>&1', 1), ('platform.openai.com', 2), ('chatgpt.com', 3), ('github.com', 4)) v(m, i)
+          WHERE contains(flat, m)""",
+    "docweak": """SELECT doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS idx FROM (SELECT doc_id,
+          list_concat(regexp_extract_all(flat, '[A-Za-z0-9_./-]{4,}'), regexp_extract_all(flat, '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9faf}]{2,}')) AS w FROM flatdoc)""",
+    "dochit": """SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(left(t, 79)) || '…' ELSE t END AS token, ord_at FROM (
+        SELECT doc_id, ord_at, regexp_replace(regexp_replace(tok, '\\bsk-[A-Za-z0-9_\\-]{12,}\\b', 'sk-…', 'g'),
+          '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[REDACTED_EMAIL]', 'g') AS t FROM (
+          SELECT doc_id, tok, ord_at FROM docstrong UNION ALL
+          SELECT doc_id, tok, (4, 0, idx) FROM docweak WHERE doc_id NOT IN (SELECT doc_id FROM docstrong)))""",
     "docsent0": """SELECT doc_id, unnest(ss) AS sent, generate_subscripts(ss, 1) AS pos FROM (
         SELECT doc_id, string_split(regexp_replace(regexp_replace(flat, '[▶→・|•]', '。', 'g'),
           '([。.!?！？]) +', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM flatdoc)""",
