@@ -174,3 +174,25 @@ TOKEN_PRICES = [
     ("batch", "gpt-5-nano", 0.025, 0.0025, 0.20),
 ]
 DEFAULT_MODEL = "gpt-5-nano"
+
+# ---- fixed values: report and week texts ------------------------------------
+DAY_SUFFIX = "の日"
+WEEK_PAGE_PREFIX = "週次レポート "
+WEEK_TEXTS = {
+    "title_join": "と", "title_end": "を進めた週", "title_limit": 36, "title_plain": " の振り返り",
+    "axis": ("今週は", "を軸に進めた。"),
+    "many": "日分の記録から、前半から後半にかけて論点を整理しながら作業を前進させたことが読み取れる。",
+    "few": "記録のある日は限られるものの、継続的に進めたテーマが確認できる。",
+    "summary_none": "今週の記録をもとに主要テーマを振り返った。",
+    "whole": ("週全体では", "を中心に、関連する判断や整理を積み重ねていた。"),
+    "next": "次のアクションは、週内で整理した論点を具体的な実装や連携作業へ落とし込むことにある。",
+    "detail_none": "週全体の詳細を組み立てるだけの十分な記録はありませんでした。",
+    "day_none": "記録不足のため、この日の自然言語要約は生成できませんでした。",
+    "week_none": "今週の記録から十分な総括を作れませんでした。",
+}
+NOTE_TEXTS = {
+    "points": ("主な論点は", "、", "。"),
+    "overview": "を中心に進めた。",
+    "keys": ("週報用の要点として、", "を整理した。"),
+}
+NOT_RUN = "未実行"

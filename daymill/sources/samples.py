@@ -66,3 +66,40 @@ def events_with_text(spark: SparkSession, sf: str) -> DataFrame:
     from daymill.operators.filters import rollup_display_exclusion
 
     return rollup_display_exclusion(rows)
+
+
+def hour_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of every source and day with contexts by seconds and a made-up title and summary."""
+    from daymill.operators.hours import with_hour
+    from daymill.operators.sessions import with_effective_interval
+
+    timed = with_hour(with_effective_interval(events(spark, sf)))
+    apps = timed.groupBy("source_id", "day", "hour_key", "active_app").agg(F.sum("duration_sec").cast("long").alias("_sec"))
+    h = apps.groupBy("source_id", "day", "hour_key").agg(
+        F.sum("_sec").cast("long").alias("active_sec_est"),
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_sec")).alias("n"), "active_app"))), lambda x: x["active_app"]).alias("cluster_labels"))
+    said = F.concat(F.lit("Spent time on "), F.array_join("cluster_labels", ", "), F.lit("."))
+    return h.select(
+        "source_id", "day", "hour_key", F.date_format("hour_key", "yyyy-MM-dd'T'HH:00:00+00:00").alias("hour_start_ts"),
+        F.date_format("hour_key", "yyyy-MM-dd'T'HH:59:59+00:00").alias("hour_end_ts"), "active_sec_est", "cluster_labels",
+        F.concat(F.lit("Work on "), F.col("cluster_labels")[0]).alias("hour_title"),
+        F.when(F.hour("hour_key") % 3 == 0, "").otherwise(said).alias("hour_summary"))
+
+
+def day_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Day snapshots made of :func:`hour_rows`; a day with fewer than 20 hours is incomplete."""
+    hour = F.struct(
+        "hour_key", "hour_start_ts", "hour_end_ts", "active_sec_est", "hour_title", "hour_summary",
+        F.concat("hour_title", F.lit(" again")).alias("hour_title_enriched"), F.lit("").alias("hour_summary_enriched"),
+        "cluster_labels")
+    days = hour_rows(spark, sf).groupBy("source_id", "day").agg(
+        F.sum("active_sec_est").cast("long").alias("total_active_sec_est"), F.array_sort(F.collect_list(hour)).alias("hours"))
+    n = F.size("hours")
+    daily = F.when(F.dayofmonth("day") % 2 == 0, F.struct(
+        F.concat(F.lit("Day of "), F.col("hours")[0]["hour_title"]).alias("daily_title"), F.lit("").alias("daily_summary"),
+        F.concat(n.cast("string"), F.lit(" hours seen")).alias("daily_detail"),
+        F.array(F.col("hours")[0]["hour_title"], F.lit("see http://x.com"), F.element_at("hours", -1)["hour_title"]).alias("highlights")))
+    return days.select(
+        "source_id", "day", F.when(n >= 20, "complete").otherwise("incomplete").alias("status"),
+        F.when(n >= 20, "").otherwise(F.concat(F.lit("hourly_label_missing:"), (24 - n).cast("string"))).alias("incomplete_reason"),
+        "total_active_sec_est", daily.alias("daily"), "hours")
