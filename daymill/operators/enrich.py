@@ -19,6 +19,7 @@ from daymill.functions import text as T
 from daymill.operators import hours as H
 from daymill.operators.filters import eligible_hours
 from daymill.operators.ordered import GROUP, pack_batches, top_k
+from daymill.session import staged
 
 ModelFn = Callable[[list[dict]], list[dict]]
 HOUR = H.HOUR
@@ -47,7 +48,8 @@ def make_batches(
 def call_model(batches: DataFrame, by: Sequence[str], model_fn: ModelFn) -> DataFrame:
     """``by, batch, output, error``: one JSON object per result row.
 
-    A failing batch is halved until single items fail; those become error rows.
+    A failing batch is halved until single items fail; those become error rows.  The
+    answers are written once: a model must not be asked again because a plan is read twice.
     """
     keys = [*by, "batch"]
     kinds = {f.name: f.dataType.simpleString() for f in batches.schema.fields}
@@ -71,7 +73,7 @@ def call_model(batches: DataFrame, by: Sequence[str], model_fn: ModelFn) -> Data
                     out += [{**{k: row[k] for k in keys}, "output": o, "error": err} for o, err in done]
             yield pd.DataFrame(out, columns=[*keys, "output", "error"])
 
-    return batches.select(*keys, "items").mapInPandas(run, schema)
+    return staged(batches.select(*keys, "items").mapInPandas(run, schema), "model_output")
 
 
 def parse_model_output(raw: DataFrame, shape: str, column: str = "output") -> tuple[DataFrame, DataFrame]:
@@ -162,7 +164,7 @@ def label_hours(
     wanted = eligible_hours(packs, by, min_sec, max_hours)
     if existing is not None:
         wanted = missing_keys(wanted, existing, HOUR)
-    payload = H.hourly_model_input(wanted)
+    payload = staged(H.hourly_model_input(wanted), "hour_payload")
     batches = make_batches(payload, by, ["hour_key"], "payload", K.HOUR_BATCH_ITEMS, K.HOUR_BATCH_CHARS)
     good, _ = parse_model_output(call_model(batches, by, model_fn), "hours")
     keys = wanted.select(*HOUR, "hour_start_ts")
@@ -174,13 +176,14 @@ def label_hours(
 def summarize_day(inputs: DataFrame, model_fn: ModelFn = rule_day_model, by: Sequence[str] = GROUP) -> DataFrame:
     """Day summaries: chunks of hours first, then one call over the chunks of a day."""
     item = F.to_json(F.struct("hour_start_ts", "hour_end_ts", "active_min_est", "hour_title", "hour_summary"))
-    rows = inputs.withColumn("payload", item)
+    rows = staged(inputs.withColumn("payload", item), "day_inputs")
     packed = pack_batches(rows, by, ["hour_key"], F.length("payload"), K.DAY_BATCH_ITEMS, K.DAY_BATCH_CHARS)
     chunk = packed.groupBy(*by, "batch").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("hour_key", "payload"))), lambda x: x["payload"]).alias("items"),
         F.min("hour_key").alias("hour_key"), F.min_by("hour_start_ts", "hour_key").alias("hour_start_ts"),
         F.max_by("hour_end_ts", "hour_key").alias("hour_end_ts"), F.sum("active_min_est").alias("active_min_est"),
         F.min_by("hour_title", "hour_key").alias("first_title"))
+    chunk = staged(chunk, "day_chunks")
     parts, _ = parse_model_output(call_model(chunk, by, model_fn), "daily")
     meta = chunk.drop("items")
     title = F.coalesce(F.nullif(F.trim("daily_title"), F.lit("")), F.col("first_title"))
@@ -207,6 +210,7 @@ def enrich_hours(
     rows = todo.join(daily.filter(some).select(*by, "daily_title", "daily_summary"), list(by))
     rows = rows.withColumn("payload", F.to_json(F.struct(
         "hour_start_ts", "hour_end_ts", "hour_title", "hour_summary", "daily_title", "daily_summary")))
+    rows = staged(rows, "enrich_payload")
     batches = make_batches(rows, by, ["hour_key"], "payload", K.ENRICH_BATCH_ITEMS, K.ENRICH_BATCH_CHARS)
     good, _ = parse_model_output(call_model(batches, by, model_fn), "hour_enrich")
     fresh = good.drop("batch").join(todo.select(*HOUR, "hour_start_ts"), [*by, "hour_start_ts"]).select(

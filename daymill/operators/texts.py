@@ -23,11 +23,17 @@ SEGMENT = [*GROUP, "segment_id"]
 PLACE = [*SEGMENT, "display"]
 
 
-def text_entries(trace: DataFrame) -> DataFrame:
-    """Display entries that carry text, for events that resolve to a segment."""
-    rows = display_entries(
-        trace.filter(F.col("segment_id").isNotNull()), *SEGMENT, "segment_key", "ingest_seq", "id", "ts", "local_ts", "tz_offset_sec"
-    )
+def text_entries(trace: DataFrame, events: DataFrame) -> DataFrame:
+    """Display entries that carry text, for events that resolve to a segment.
+
+    Sessions are cut on narrow rows; text joins once, on the event's own place in its
+    log, which spreads evenly however large a source is.
+    """
+    at = [*GROUP, "ingest_seq"]
+    where = trace.filter(F.col("segment_id").isNotNull()).select(
+        *at, "segment_id", "segment_key", "id", "ts", "local_ts", "tz_offset_sec")
+    shown = events.filter(F.size("ocr_by_display") > 0).select(*at, "active_display", "ocr_by_display")
+    rows = display_entries(shown.join(where, at), *SEGMENT, "segment_key", "ingest_seq", "id", "ts", "local_ts", "tz_offset_sec")
     return rows.withColumn("display", F.coalesce("display", F.lit(-1))).filter(F.col("ocr_text") != "")
 
 

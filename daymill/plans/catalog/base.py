@@ -187,8 +187,8 @@ PARTS: dict[str, str] = {
           ON h.source_id = l.source_id AND h.day = l.day AND h.hr = l.hr""",
     "hidx": """SELECT *, CAST(row_number() OVER (PARTITION BY source_id, day ORDER BY hr) - 1 AS BIGINT) AS idx FROM hrow""",
     "snap": """SELECT source_id, day, CAST(sum(active_sec) AS BIGINT) AS total, count(*) AS n_hours,
-          CASE WHEN count(*) >= 20 THEN 'complete' ELSE 'incomplete' END AS status,
-          CASE WHEN count(*) >= 20 THEN '' ELSE 'hourly_label_missing:' || CAST(24 - count(*) AS VARCHAR) END AS reason,
+          CASE WHEN count(*) >= 23 THEN 'complete' ELSE 'incomplete' END AS status,
+          CASE WHEN count(*) >= 23 THEN '' ELSE 'hourly_label_missing:' || CAST(24 - count(*) AS VARCHAR) END AS reason,
           CAST(date_trunc('week', day) AS DATE) AS week_start FROM hrow GROUP BY source_id, day""",
 }
 

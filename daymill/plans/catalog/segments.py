@@ -17,8 +17,15 @@ def job(spark, sf):
     return DayJob(A.events(spark, sf))
 
 
+_JOBS: dict[tuple[str, str], DayJob] = {}
+
+
 def text_job(spark, sf):
-    return DayJob(A.events_with_text(spark, sf))
+    """The day job with text; its stage tables serve every query of one session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _JOBS:
+        _JOBS[key] = DayJob(A.events_with_text(spark, sf))
+    return _JOBS[key]
 
 
 @query("d1_sessionize", f"""

@@ -20,9 +20,9 @@ WK = "CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS week_start"
 
 
 @query("b7_snapshot_usable", """
-SELECT source_id, CAST(day AS VARCHAR) AS day, status = 'complete' OR n_hours >= 20 OR extract(day FROM day) % 2 = 0 AS usable FROM snap""")
+SELECT source_id, CAST(day AS VARCHAR) AS day, status = 'complete' OR n_hours >= 23 OR extract(day FROM day) % 2 = 0 AS usable FROM snap""")
 def b7(spark, sf):
-    s = snaps(spark, sf).withColumn("hours", F.when(F.size("hours") >= 20, F.col("hours")).otherwise(F.slice("hours", 1, 0)))
+    s = snaps(spark, sf).withColumn("hours", F.when(F.size("hours") >= 23, F.col("hours")).otherwise(F.slice("hours", 1, 0)))
     return B.snapshot_usable(s).select("source_id", "day", "usable")
 
 

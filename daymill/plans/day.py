@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,37 +11,49 @@ from pyspark.sql import DataFrame
 from daymill.operators import hours as H
 from daymill.operators import sessions as S
 from daymill.operators import texts as X
+from daymill.session import staged
+
+TEXT = ["ocr_text", "ocr_active_display_text", "ocr_by_display"]
 
 
 @dataclass
 class DayJob:
-    """Lazy stages over one table of events; each property is one DataFrame plan."""
+    """Stages over one table of events; each property is one DataFrame.
+
+    ``keep`` receives every stage that several later stages read.  The default writes
+    it to the shared folder once; pass ``lambda df, name: df`` for one lazy plan.
+    """
 
     events: DataFrame
+    keep: Callable[[DataFrame, str], DataFrame] = staged
 
     @cached_property
     def timed(self) -> DataFrame:
-        return S.with_effective_interval(self.events)
+        return S.with_effective_interval(self.events.drop(*TEXT))
 
     @cached_property
     def sessions(self) -> DataFrame:
         return S.sessionize(self.events)
 
+    @cached_property
+    def narrow_sessions(self) -> DataFrame:
+        return S.sessionize(self.events.drop(*TEXT))
+
     @cached_property
     def segments(self) -> DataFrame:
-        return S.segment_table(self.sessions)
+        return S.segment_table(self.narrow_sessions)
 
     @cached_property
     def trace(self) -> DataFrame:
-        return S.trace_events(self.sessions)
+        return S.trace_events(self.narrow_sessions)
 
     @cached_property
     def entries(self) -> DataFrame:
-        return X.text_entries(self.trace)
+        return self.keep(X.text_entries(self.trace, self.events), "entries")
 
     @cached_property
     def counts(self) -> DataFrame:
-        return X.sentence_counts(X.entry_sentences(self.entries))
+        return self.keep(X.sentence_counts(X.entry_sentences(self.entries)), "sentence_counts")
 
     @cached_property
     def common_texts(self) -> DataFrame:
@@ -48,7 +61,7 @@ class DayJob:
 
     @cached_property
     def new_texts(self) -> DataFrame:
-        return X.segment_new_texts(self.entries, self.counts)
+        return self.keep(X.segment_new_texts(self.entries, self.counts), "new_texts")
 
     @cached_property
     def hours(self) -> DataFrame:
@@ -60,7 +73,7 @@ class DayJob:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return H.hour_clusters(self.new_texts, H.interval_by_id(self.timed))
+        return self.keep(H.hour_clusters(self.new_texts, H.interval_by_id(self.timed)), "clusters")
 
     @cached_property
     def timeline(self) -> DataFrame:
@@ -68,4 +81,4 @@ class DayJob:
 
     @cached_property
     def packs(self) -> DataFrame:
-        return H.hour_packs(self.hours, self.hour_common, self.clusters, self.timeline)
+        return self.keep(H.hour_packs(self.hours, self.hour_common, self.clusters, self.timeline), "hour_packs")

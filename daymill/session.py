@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,17 +29,39 @@ def build_session(app: str = "daymill", master: str | None = None, **extra: str)
     return b.getOrCreate()
 
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the cluster.
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and
-    the master is local does the job make a folder of its own.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and the
+    master is local does the process make a folder of its own, gone when it ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="daymill-")
-    return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="daymill-", ignore_cleanup_errors=True))
+    return _OWN[0].name
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under :func:`shared_base`."""
+    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage once and read it back.
+
+    A plan that uses a stage several times would compute it several times; a written
+    table also survives lost executors.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

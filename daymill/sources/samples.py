@@ -87,7 +87,7 @@ def hour_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def day_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """Day snapshots made of :func:`hour_rows`; a day with fewer than 20 hours is incomplete."""
+    """Day snapshots made of :func:`hour_rows`; a day with fewer than 23 hours is incomplete."""
     hour = F.struct(
         "hour_key", "hour_start_ts", "hour_end_ts", "active_sec_est", "hour_title", "hour_summary",
         F.concat("hour_title", F.lit(" again")).alias("hour_title_enriched"), F.lit("").alias("hour_summary_enriched"),
@@ -100,6 +100,6 @@ def day_snapshots(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(n.cast("string"), F.lit(" hours seen")).alias("daily_detail"),
         F.array(F.col("hours")[0]["hour_title"], F.lit("see http://x.com"), F.element_at("hours", -1)["hour_title"]).alias("highlights")))
     return days.select(
-        "source_id", "day", F.when(n >= 20, "complete").otherwise("incomplete").alias("status"),
-        F.when(n >= 20, "").otherwise(F.concat(F.lit("hourly_label_missing:"), (24 - n).cast("string"))).alias("incomplete_reason"),
+        "source_id", "day", F.when(n >= 23, "complete").otherwise("incomplete").alias("status"),
+        F.when(n >= 23, "").otherwise(F.concat(F.lit("hourly_label_missing:"), (24 - n).cast("string"))).alias("incomplete_reason"),
         "total_active_sec_est", daily.alias("daily"), "hours")
