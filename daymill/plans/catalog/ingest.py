@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daymill.operators.ordered import GROUP
 from daymill.plans import report as R
 from daymill.plans.catalog.base import TS, query
+from daymill.plans.catalog.rules import DOC_RULES
 from daymill.plans.catalog.segments import job
 from daymill.session import work_folder
 from daymill.sources import logs
@@ -103,15 +104,23 @@ def a10b(spark, sf):
 
 
 @query("a11_rule_tables", """
-WITH d AS (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages) SELECT pattern, count(*) AS texts FROM d, (VALUES ('Login'), ('Password'), ('Billing'), ('2FA'), ('Sign in'), ('CVV'), ('認証')) v(pattern)
-WHERE contains(t, pattern) GROUP BY pattern""")
+WITH r AS (SELECT * FROM (VALUES ('app', 'SRC3', 0), ('domain_kw', 'FR.', 2), ('domain_kw', 'zz', 3), ('text_kw', 'token', 4), ('text_kw', 'Licensed', 5), ('text_kw', 'the ', 6)) v(kind, pattern, rank))
+SELECT kind, pattern, rank, count(*) AS texts FROM documents, r WHERE CASE kind WHEN 'app' THEN lower(source) = lower(pattern)
+ WHEN 'domain_kw' THEN contains(lower(lang || '.site'), lower(pattern)) ELSE contains(text, pattern) END GROUP BY ALL""")
 def a11(spark, sf):
-    """Texts holding each text keyword; the rule table is read back as configuration."""
-    rules = [r["pattern"] for r in logs.rule_tables(spark).filter("kind = 'text_kw'").collect()]
-    seen = ["Login", "Password", "Billing", "2FA", "Sign in", "CVV", "認証"]
-    texts = A.table(spark, sf, "documents").select("text").unionByName(A.table(spark, sf, "pages").select(F.col("html").alias("text")))
-    hits = F.filter(F.array(*[F.lit(p) for p in rules if p in seen]), lambda p: F.col("text").contains(p))
-    return texts.select(F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("texts"))
+    """Documents each rule of a rule table would match by itself."""
+    rules = [F.struct(F.lit(r["kind"]).alias("kind"), F.lit(r["pattern"]).alias("pattern"), F.lit(r["rank"]).alias("rank"))
+             for r in logs.rule_tables(spark, DOC_RULES).collect()]
+
+    def match(r):
+        low = F.lower(r["pattern"])
+        return (F.when(r["kind"].isin("app", "locked"), F.lower("source") == low)
+                .when(r["kind"] == "domain_kw", F.contains(F.lower(F.concat("lang", F.lit(".site"))), low))
+                .otherwise(F.contains(F.col("text"), r["pattern"])))
+
+    docs = A.table(spark, sf, "documents").select("source", "lang", "text")
+    hits = docs.select(F.explode(F.filter(F.array(*rules), match)).alias("r"))
+    return hits.groupBy("r.kind", "r.pattern", "r.rank").agg(F.count(F.lit(1)).alias("texts"))
 
 
 @query("a12_report_blocks", r"""

@@ -50,10 +50,11 @@ def g9(spark, sf):
     return L.work_queue(pending, bad, ev.agg(F.max(F.to_date("ts")).alias("day")))
 
 
-@query("h1_difference", "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("h1_difference", """SELECT DISTINCT user_id, CAST(day AS VARCHAR) AS day FROM ev a
+ WHERE NOT EXISTS (SELECT 1 FROM ev b WHERE b.user_id = a.user_id AND b.day = a.day AND b.app = 'purchase')""")
 def h1(spark, sf):
-    ev = A.table(spark, sf, "events")
-    return L.difference(ev, ev.filter("event_type = 'purchase'"), ["user_id"])
+    ev = A.table(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    return L.difference(ev, ev.filter("event_type = 'purchase'"), ["user_id", "day"])
 
 
 @query("h2_ordered_union", """SELECT user_id, CAST(min(part) AS BIGINT) AS part FROM (SELECT user_id, 0 AS part FROM events WHERE event_type = 'error'
