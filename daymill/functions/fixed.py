@@ -59,14 +59,15 @@ AUTH_HINTS = [
 EMAIL_TAG, PHONE_TAG, CARD_TAG, AUTH_TAG = (
     "[REDACTED_EMAIL]", "[REDACTED_PHONE]", "[REDACTED_CARD]", "[REDACTED_AUTH]",
 )
+# (pattern, tag, text that every match holds)
 SECRET_PATTERNS = [
     (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
-     "[REDACTED_PRIVATE_KEY]"),
-    (r"(?U)\bsk-[A-Za-z0-9]{10,}\b", "[REDACTED_API_KEY]"),
-    (r"(?U)\b(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{10,}\b", "[REDACTED_TOKEN]"),
-    (r"(?U)\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED_TOKEN]"),
-    (r"(?U)\bAKIA[0-9A-Z]{16}\b", "[REDACTED_TOKEN]"),
-    (r"(?U)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "[REDACTED_TOKEN]"),
+     "[REDACTED_PRIVATE_KEY]", "PRIVATE KEY-----"),
+    (r"(?U)\bsk-[A-Za-z0-9]{10,}\b", "[REDACTED_API_KEY]", "sk-"),
+    (r"(?U)\b(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{10,}\b", "[REDACTED_TOKEN]", "_"),
+    (r"(?U)\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "[REDACTED_TOKEN]", "xox"),
+    (r"(?U)\bAKIA[0-9A-Z]{16}\b", "[REDACTED_TOKEN]", "AKIA"),
+    (r"(?U)\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", "[REDACTED_TOKEN]", "eyJ"),
 ]
 SECRET_KEY_NAMES = [
     "api[-_]?key", "access[-_]?token", "refresh[-_]?token", "id[-_]?token", "secret",
@@ -75,12 +76,14 @@ SECRET_KEY_NAMES = [
 ]
 SECRET_VALUE = "[^\\s'\"`]{6,}"
 SECRET_TAG = "[REDACTED_SECRET]"
+# (pattern, tag, texts of which every match holds one; case-blind where the pattern is)
 SENSITIVE_PATTERNS = [
-    (r"(?iU)\b(?:porn|pornhub|onlyfans|hentai)\b", "[REDACTED_ADULT]"),
-    (r"(?iU)\b(?:sex|sexual|xxx)\b", "[REDACTED_ADULT]"),
-    (r"(?:エロ|アダルト|ポルノ|性行為|自慰|オナニー|AV|エッチ)", "[REDACTED_ADULT]"),
-    (r"(?iU)\b(?:suicide|self[- ]harm)\b", "[REDACTED_SELF_HARM]"),
-    (r"(?:自殺|自傷)", "[REDACTED_SELF_HARM]"),
+    (r"(?iU)\b(?:porn|pornhub|onlyfans|hentai)\b", "[REDACTED_ADULT]", ["porn", "onlyfans", "hentai"]),
+    (r"(?iU)\b(?:sex|sexual|xxx)\b", "[REDACTED_ADULT]", ["sex", "xxx"]),
+    (r"(?:エロ|アダルト|ポルノ|性行為|自慰|オナニー|AV|エッチ)", "[REDACTED_ADULT]",
+     ["エロ", "アダルト", "ポルノ", "性行為", "自慰", "オナニー", "av", "エッチ"]),
+    (r"(?iU)\b(?:suicide|self[- ]harm)\b", "[REDACTED_SELF_HARM]", ["suicide", "self"]),
+    (r"(?:自殺|自傷)", "[REDACTED_SELF_HARM]", ["自殺", "自傷"]),
 ]
 DERIVED_KEY = r"(?U)\bsk-[A-Za-z0-9_\-]{12,}\b"
 DERIVED_KEY_TAG = "sk-…"
@@ -94,9 +97,8 @@ FILE_TOKEN = r"(?iU)(?<![\w/.-])[\w./-]*\.?(?:[\w./-]+)\.(?:" + FILE_EXTENSIONS
 WORD = r"[A-Za-z0-9_./-]{4,}"
 JA_RUN = r"[\u3040-\u30ff\u4e00-\u9faf]{2,}"
 URL = r"(?iU)\bhttps?://[^\s<>()]+"
-DOMAIN_PATH = (
-    r"(?iU)\b(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|ai|app|dev|co|jp)(?:/[^\s<>()]+)?\b"
-)
+DOMAIN_ENDS = ["com", "net", "org", "io", "ai", "app", "dev", "co", "jp"]
+DOMAIN_PATH = r"(?iU)\b(?:[A-Za-z0-9-]+\.)+(?:" + "|".join(DOMAIN_ENDS) + r")(?:/[^\s<>()]+)?\b"
 POSIX_PATH = (
     r"(?iU)(?:(?<=\s)|^)(/(?:Users|Applications|System|Volumes|opt|etc|var|tmp|private|Library)/[^\s]+)"
 )

@@ -48,8 +48,13 @@ def shorten(c: Column, limit: int = K.TITLE_CHARS) -> Column:
 
 def redact_derived(c: Column) -> Column:
     """Mask keys and addresses in text that was derived from screens."""
-    keys = F.regexp_replace(text_of(c), K.DERIVED_KEY, K.DERIVED_KEY_TAG)
-    return F.regexp_replace(keys, K.EMAIL, K.EMAIL_TAG)
+    keys = replace_where(text_of(c), lambda t: t.contains("sk-"), K.DERIVED_KEY, K.DERIVED_KEY_TAG)
+    return replace_where(keys, lambda t: t.contains("@"), K.EMAIL, K.EMAIL_TAG)
+
+
+def replace_where(c: Column, worth: Callable[[Column], Column], pattern: str, tag: str) -> Column:
+    """Replace by pattern only in texts that pass a cheap necessary condition."""
+    return let(c, lambda t: F.when(worth(t), F.regexp_replace(t, pattern, tag)).otherwise(t))
 
 
 def shorten_token(c: Column, limit: int = 80) -> Column:
@@ -79,6 +84,29 @@ def entity_text(c: Column) -> Column:
     return _fix_dev_slash(collapse(_no_nul(c)))
 
 
+# ---- guards -----------------------------------------------------------------
+
+def folded(c: Column) -> Column:
+    """Case-folded so that whatever a case-blind pattern takes for a letter reads as it."""
+    return F.replace(F.lower(F.upper(c)), F.lit("\u0307"), F.lit(""))
+
+
+def has_any(c: Column, needles: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for n in needles:
+        out = out | c.contains(n)
+    return out
+
+
+def find_all(t: Column, pattern: str, group: int, worth: Column) -> Column:
+    """All matches, looked for only where a cheap necessary condition holds."""
+    return F.when(worth, F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+
+def matches(t: Column, pattern: str, worth: Column) -> Column:
+    return F.when(worth, t.rlike(pattern)).otherwise(F.lit(False))
+
+
 # ---- entities ---------------------------------------------------------------
 
 def _trim_anchors(raw: Column) -> Column:
@@ -109,9 +137,9 @@ def extract_urls(flat: Column) -> Column:
     """Distinct URLs and bare domains of an :func:`entity_text`, as host + path."""
 
     def find(t: Column) -> Column:
-        urls = F.regexp_extract_all(t, F.lit(K.URL), F.lit(0))
+        urls = find_all(t, K.URL, 0, t.contains("://"))
         bare = F.filter(
-            F.regexp_extract_all(t, F.lit(K.DOMAIN_PATH), F.lit(0)),
+            find_all(t, K.DOMAIN_PATH, 0, has_any(folded(t), ["." + d for d in K.DOMAIN_ENDS])),
             lambda d: ~t.contains(F.concat(F.lit("/"), d)),
         )
         tidy = F.transform(
@@ -126,13 +154,20 @@ def extract_urls(flat: Column) -> Column:
     return let(flat, find)
 
 
-def extract_paths(c: Column) -> Column:
-    """Distinct absolute paths, minus prefixes that a line break cut short."""
+def extract_paths(c: Column, flat: Column | None = None) -> Column:
+    """Distinct absolute paths, minus prefixes that a line break cut short.
+
+    ``flat`` is the :func:`entity_text` of ``c`` where the caller has it already.
+    """
     joined = _fix_dev_slash(F.replace(_no_nul(c), F.lit("\n"), F.lit("")))
-    hits = F.concat(
-        F.regexp_extract_all(entity_text(c), F.lit(K.POSIX_PATH), F.lit(1)),
-        F.regexp_extract_all(joined, F.lit(K.POSIX_PATH), F.lit(1)),
-    )
+    line = entity_text(c) if flat is None else flat
+    hits = F.when(
+        c.contains("/"),
+        F.concat(
+            F.regexp_extract_all(line, F.lit(K.POSIX_PATH), F.lit(1)),
+            let(joined, lambda j: F.regexp_extract_all(j, F.lit(K.POSIX_PATH), F.lit(1))),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
 
     def drop_truncated(paths: Column) -> Column:
         def keep(p: Column) -> Column:
@@ -147,7 +182,7 @@ def extract_paths(c: Column) -> Column:
 
 
 def extract_files(flat: Column) -> Column:
-    return F.regexp_extract_all(flat, F.lit(K.FILE_TOKEN), F.lit(0))
+    return let(flat, lambda t: find_all(t, K.FILE_TOKEN, 0, t.rlike(r"\.\S")))
 
 
 def extract_words(flat: Column) -> Column:
@@ -165,7 +200,7 @@ def keyword_hits(c: Column) -> Column:
         markers = F.filter(
             F.array(*[F.lit(m) for m in K.KEYWORD_MARKERS]), lambda m: flat.contains(m)
         )
-        strong = F.concat(extract_files(flat), extract_paths(c), extract_urls(flat), markers)
+        strong = F.concat(extract_files(flat), extract_paths(c, flat), extract_urls(flat), markers)
         weak = F.concat(extract_words(flat), extract_ja_runs(flat))
         return let(strong, lambda s: F.when(F.size(s) > 0, s).otherwise(weak))
 
@@ -254,9 +289,9 @@ def snippet_score(line: Column) -> Column:
         for m in K.OUTPUT_MARKERS[1:]:
             output = output | s.contains(m)
         total = (
-            add(s.rlike(K.URL) | s.rlike(K.DOMAIN_PATH), p["url"])
-            + add(s.rlike(K.POSIX_PATH), p["path"])
-            + add(s.rlike(K.FILE_TOKEN), p["file"])
+            add(matches(s, K.URL, s.contains("://")) | matches(s, K.DOMAIN_PATH, s.rlike(r"\.\S")), p["url"])
+            + add(matches(s, K.POSIX_PATH, s.contains("/")), p["path"])
+            + add(matches(s, K.FILE_TOKEN, s.rlike(r"\.\S")), p["file"])
             + add(output, p["output"])
             + add(s.contains("github.com"), p["repo"])
             + add(s.contains("openai.com"), p["api"])
@@ -325,9 +360,12 @@ def rank_snippets(c: Column, limit: int = 3, width: int = 120) -> Column:
 
         return let(found, finish)
 
-    urls = F.transform(extract_urls(entity_text(c)), lambda u: shorten_token(u, width))
-    paths = F.transform(extract_paths(c), lambda p: shorten_path(p, width))
-    return let(urls, lambda u: let(paths, lambda p: let(text_lines(c), lambda ls: pick(u, p, ls))))
+    def from_flat(flat: Column) -> Column:
+        urls = F.transform(extract_urls(flat), lambda u: shorten_token(u, width))
+        paths = F.transform(extract_paths(c, flat), lambda p: shorten_path(p, width))
+        return let(urls, lambda u: let(paths, lambda p: let(text_lines(c), lambda ls: pick(u, p, ls))))
+
+    return let(entity_text(c), from_flat)
 
 
 def evidence_score(tok: Column) -> Column:

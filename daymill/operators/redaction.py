@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from daymill.functions import fixed as K
 from daymill.functions import redact as R
+from daymill.functions import text as T
+
+
+def _count(text: Column, pattern: str, worth: Column | None = None) -> Column:
+    n = F.regexp_count(text, F.lit(pattern))
+    return n if worth is None else F.when(worth, n).otherwise(0)
 
 
 def hit_counts(text: Column, hints: list[str] | None = None, key_names: list[str] | None = None) -> dict[str, Column]:
     """Hits per rule in one text, each rule on the text as it stands."""
-    secrets = F.regexp_count(text, F.lit(R.secret_pair_pattern(key_names)))
-    for pattern, _ in K.SECRET_PATTERNS:
-        secrets = secrets + F.regexp_count(text, F.lit(pattern))
+    names = R.worth_looking(key_names or K.SECRET_KEY_NAMES)
+    secrets = _count(text, R.secret_pair_pattern(key_names), names(text))
+    for pattern, _, sign in K.SECRET_PATTERNS:
+        secrets = secrets + _count(text, pattern, text.contains(sign))
     terms = F.lit(0)
-    for pattern, _ in K.SENSITIVE_PATTERNS:
-        terms = terms + F.regexp_count(text, F.lit(pattern))
+    for pattern, _, signs in K.SENSITIVE_PATTERNS:
+        terms = terms + _count(text, pattern, T.has_any(T.folded(text), signs))
     return {
-        "email": F.regexp_count(text, F.lit(K.EMAIL)),
-        "phone": F.regexp_count(text, F.lit(K.PHONE)),
+        "email": _count(text, K.EMAIL, text.contains("@")),
+        "phone": _count(text, K.PHONE),
         "card": F.size(R.card_hits(text)),
-        "auth": F.regexp_count(text, F.lit(R.auth_pattern(hints))),
+        "auth": _count(text, R.auth_pattern(hints), R.worth_looking(hints or K.AUTH_HINTS)(text)),
         "secret": secrets,
         "term": terms,
     }
