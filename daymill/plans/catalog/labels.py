@@ -148,8 +148,8 @@ _HM = lambda x: f"CASE WHEN {x} >= 3600 THEN ({x} // 3600) || '時間' ELSE '' E
 @query("a7_daily_report_lines", f"""
 WITH c AS (SELECT source_id, day, count(*) AS n, count(*) FILTER (WHERE NOT excl AND NOT err) AS v, count(*) FILTER (WHERE excl) AS x, count(*) FILTER (WHERE err) AS e,
    min(ts) AS a, max(ts) AS b, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS w FROM ev GROUP BY ALL),
-t AS (SELECT h.source_id, h.day, h.f, s.g FROM (SELECT source_id, day, CAST(sum(active_sec) AS BIGINT) AS f FROM hours GROUP BY ALL) h
-   JOIN (SELECT source_id, day, CAST(sum(duration_sec) AS BIGINT) AS g FROM segt GROUP BY ALL) s ON h.source_id = s.source_id AND h.day = s.day),
+t AS (SELECT h.source_id, h.day, h.f, COALESCE(s.g, 0) AS g FROM (SELECT source_id, day, CAST(sum(active_sec) AS BIGINT) AS f FROM hours GROUP BY ALL) h
+   LEFT JOIN (SELECT source_id, day, CAST(sum(duration_sec) AS BIGINT) AS g FROM segt GROUP BY ALL) s ON h.source_id = s.source_id AND h.day = s.day),
 tt AS (SELECT source_id, day, list(title ORDER BY i) AS l FROM (SELECT source_id, day, title, min(idx) AS i FROM hidx GROUP BY ALL) GROUP BY ALL),
 sm AS (SELECT source_id, day, arg_min(CASE WHEN length(summary) > 90 THEN rtrim(left(summary, 89)) || '…' ELSE summary END, idx) AS s FROM hidx WHERE summary <> '' GROUP BY ALL),
 tl2 AS (SELECT source_id, day, string_agg('### ' || strftime(hr, '%H:00') || '〜' || strftime(hr, '%H:59') || '（推定稼働: ' || (active_sec // 60) || '分）' || chr(10) || chr(10) || '- 主な作業: ' || title
@@ -160,10 +160,10 @@ SELECT c.source_id, CAST(c.day AS VARCHAR) AS day, '# 作業ログ ' || c.day ||
  || '- 推定総時間: ' || {_HM('g')} || '（有効分のみ） / ' || {_HM('f')} || '（除外・失敗も含む）' || chr(10) || '- LLM使用量（内訳）:' || chr(10)
  || '  - segment-llm（任意: enrich）: 未実行' || chr(10) || '  - hour-llm（タイムライン用）: 未実行' || chr(10) || '  - daily-llm（総括用）: 未実行' || chr(10)
  || '  - hour-enrich-llm（目的・意味付け）: 未実行' || chr(10) || '  - 合計: input 0 / output 0 tokens（cost: n/a / n/a）' || chr(10) || chr(10) || '</details>' || chr(10) || chr(10)
- || '## 本日のメイン作業（総括）' || chr(10) || chr(10) || '- 推定: ' || array_to_string(l[1:6], ' / ') || chr(10) || '- 概要: ' || sm.s || chr(10) || chr(10) || '### ハイライト' || chr(10) || chr(10)
+ || '## 本日のメイン作業（総括）' || chr(10) || chr(10) || '- 推定: ' || array_to_string(l[1:6], ' / ') || COALESCE(chr(10) || '- 概要: ' || sm.s, '') || chr(10) || chr(10) || '### ハイライト' || chr(10) || chr(10)
  || array_to_string(list_transform(l[1:5], lambda z: '- ' || z), chr(10)) || chr(10) || chr(10) || '## タイムライン（推定・1時間）' || chr(10) || chr(10) || tl2.body || chr(10) || chr(10)
  || '## 参考（データ品質）' || chr(10) || chr(10) || '- 除外: ' || x || '回' || chr(10) || '- スクショ/OCR失敗: ' || e || '回' || chr(10) AS report
-FROM c JOIN t ON c.source_id = t.source_id AND c.day = t.day JOIN tt ON c.source_id = tt.source_id AND c.day = tt.day JOIN sm ON c.source_id = sm.source_id AND c.day = sm.day
+FROM c JOIN t ON c.source_id = t.source_id AND c.day = t.day JOIN tt ON c.source_id = tt.source_id AND c.day = tt.day LEFT JOIN sm ON c.source_id = sm.source_id AND c.day = sm.day
 JOIN tl2 ON c.source_id = tl2.source_id AND c.day = tl2.day""")
 def a7(spark, sf):
     return R.as_document(day_lines(spark, sf), GROUP)
