@@ -157,14 +157,14 @@ def rule_segment_model(items: list[dict]) -> list[dict]:
 # ---- jobs ----------------------------------------------------------------------
 
 def label_hours(
-    packs: DataFrame, existing: DataFrame | None = None, model_fn: ModelFn = rule_hour_model,
-    by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int = K.HOUR_MAX_COUNT, version: int = 1,
+    packs: DataFrame, clusters: DataFrame, timeline: DataFrame, existing: DataFrame | None = None,
+    model_fn: ModelFn = rule_hour_model, by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int = K.HOUR_MAX_COUNT, version: int = 1,
 ) -> DataFrame:
     """Hour labels for eligible hours that have none yet, merged with the existing ones."""
     wanted = eligible_hours(packs, by, min_sec, max_hours)
     if existing is not None:
         wanted = missing_keys(wanted, existing, HOUR)
-    payload = staged(H.hourly_model_input(wanted), "hour_payload")
+    payload = staged(H.hourly_model_input(wanted, clusters, timeline), "hour_payload")
     batches = make_batches(payload, by, ["hour_key"], "payload", K.HOUR_BATCH_ITEMS, K.HOUR_BATCH_CHARS)
     good, _ = parse_model_output(call_model(batches, by, model_fn), "hours")
     keys = wanted.select(*HOUR, "hour_start_ts")

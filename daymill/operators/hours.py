@@ -101,31 +101,36 @@ def cluster_timelines(clusters: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def hour_packs(hours: DataFrame, commons: DataFrame, clusters: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One row per hour with its common texts (at most 20) and contexts (at most 3)."""
+    """One row per hour with its common texts (at most 20) and contexts (at most 3).
+
+    Timelines stay rows; a pack carries the first text of each context only, and a
+    context without a timeline is dropped.
+    """
     texts = commons.groupBy(*HOUR).agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_c"))
-    kept = cluster_timelines(clusters, timeline).groupBy(*HOUR).agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "label", "segment_key", "segment_ids", "active_timeline"))).alias("_k"))
-    shape = lambda c: F.struct(
-        F.array(c["segment_key"]["app"], c["segment_key"]["domain"], c["segment_key"]["title"]).alias("segment_key"),
-        c["segment_ids"].alias("segment_ids"), c["active_timeline"].alias("active_timeline"))
+    first = timeline.groupBy(*HOUR, "segment_key").agg(F.min_by("ocr_text", F.struct("ts", "id")).alias("_first"))
+    kept = clusters.join(first, [*HOUR, "segment_key"]).groupBy(*HOUR).agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "label", "segment_key", "segment_ids", "_first"))).alias("_k"))
+    none = F.array().cast("array<string>")
     return (
         hours.join(texts, HOUR, "left").join(kept, HOUR, "left")
-        .withColumn("hour_common_texts", F.coalesce(F.transform("_c", lambda c: c["text"]), F.array().cast("array<string>")))
-        .withColumn("cluster_labels", F.coalesce(
-            F.array_distinct(F.transform("_k", lambda c: c["label"])), F.array().cast("array<string>")))
-        .withColumn("clusters", F.transform(F.coalesce("_k", F.slice("_k", 1, 1)), shape))
-        .withColumn("observation", hour_observation(F.col("clusters"), F.col("hour_common_texts")))
+        .withColumn("hour_common_texts", F.coalesce(F.transform("_c", lambda c: c["text"]), none))
+        .withColumn("cluster_labels", F.coalesce(F.array_distinct(F.transform("_k", lambda c: c["label"])), none))
+        .withColumn("clusters", F.transform("_k", lambda c: F.struct(
+            _key_array(c["segment_key"]).alias("segment_key"), c["segment_ids"].alias("segment_ids"))))
+        .withColumn("observation", hour_observation(F.transform("_k", lambda c: c["_first"]), F.col("hour_common_texts")))
         .drop("_c", "_k")
     )
 
 
-def hour_observation(clusters: Column, common: Column) -> Column:
-    """First timeline text by context order, else the first common text, shortened."""
-    shown = F.filter(
-        F.flatten(F.transform(clusters, lambda c: F.transform(c["active_timeline"], lambda t: F.trim(t["ocr_text"])))),
-        lambda t: t != "")
-    spare = F.filter(F.transform(common, lambda t: F.trim(t)), lambda t: t != "")
-    return T.shorten(F.coalesce(F.get(shown, F.lit(0)), F.get(spare, F.lit(0))))
+def _key_array(key: Column) -> Column:
+    return F.array(key["app"], key["domain"], key["title"])
+
+
+def hour_observation(shown: Column, common: Column) -> Column:
+    """First text on screen by context order, else the first common text, shortened."""
+    texts = F.concat(F.coalesce(shown, F.array().cast("array<string>")), common)
+    some = F.filter(F.transform(texts, lambda t: F.trim(t)), lambda t: t != "")
+    return T.shorten(F.get(some, F.lit(0)))
 
 
 def latest_by_key(labels: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
@@ -172,15 +177,22 @@ def daily_inputs(labelled: DataFrame) -> DataFrame:
         F.col("_t").alias("hour_title"), T.shorten(F.col("_s"), 240).alias("hour_summary"))
 
 
-def hourly_model_input(packs: DataFrame) -> DataFrame:
-    """The payload of a model call per hour; hours with nothing to show are left out."""
+def hourly_model_input(packs: DataFrame, clusters: DataFrame, timeline: DataFrame) -> DataFrame:
+    """The payload of a model call per hour; hours with nothing to show are left out.
+
+    Timelines are nested here and only for the hours asked for: one hour is one payload.
+    """
     some = F.coalesce(F.size("clusters") > 0, F.lit(False)) | (F.size("hour_common_texts") > 0)
-    empty = F.array().cast(packs.schema["clusters"].dataType)
-    return packs.filter(some).select(
+    want = packs.filter(some).select(*HOUR, "active_sec_est", "hour_start_ts", "hour_end_ts", "hour_common_texts")
+    nested = cluster_timelines(clusters.join(want.select(*HOUR), HOUR, "left_semi"), timeline).select(*HOUR, F.struct(
+        "rank", _key_array(F.col("segment_key")).alias("segment_key"), "segment_ids", "active_timeline").alias("_c"))
+    per_hour = nested.groupBy(*HOUR).agg(F.transform(
+        F.array_sort(F.collect_list("_c")), lambda c: c.dropFields("rank")).alias("clusters"))
+    empty = F.array().cast(per_hour.schema["clusters"].dataType)
+    return want.join(per_hour, HOUR, "left").select(
         *HOUR, "active_sec_est",
         F.to_json(F.struct(
-            "hour_start_ts", "hour_end_ts", "hour_common_texts",
-            F.coalesce("clusters", empty).alias("clusters"))).alias("payload"))
+            "hour_start_ts", "hour_end_ts", "hour_common_texts", F.coalesce("clusters", empty).alias("clusters"))).alias("payload"))
 
 
 def snapshot_hours(labelled: DataFrame) -> DataFrame:

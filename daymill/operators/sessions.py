@@ -16,7 +16,7 @@ from daymill.operators.ordered import GROUP, SLICE_SEC, number_runs
 
 def default_interval(events: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     """The day's default: the interval of the last line in log order, else 300."""
-    last = F.max_by(F.struct(F.col("interval_sec").try_cast("int").alias("v")), "ingest_seq")["v"]
+    last = F.max_by(F.col("interval_sec").try_cast("int"), "ingest_seq")
     return events.groupBy(*group).agg(
         F.coalesce(F.nullif(last, F.lit(0)), F.lit(K.DEFAULT_INTERVAL_SEC)).alias("default_interval_sec")
     )

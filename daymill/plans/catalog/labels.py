@@ -38,9 +38,13 @@ def packs(spark, sf) -> DataFrame:
     return text_job(spark, sf).packs
 
 
+def hour_labels(spark, sf) -> DataFrame:
+    j = text_job(spark, sf)
+    return M.label_hours(j.packs, j.clusters, j.timeline, min_sec=MIN_SEC)
+
+
 def labelled(spark, sf) -> DataFrame:
-    p = packs(spark, sf)
-    return H.with_labels(p, M.label_hours(p, min_sec=MIN_SEC))
+    return H.with_labels(packs(spark, sf), hour_labels(spark, sf))
 
 
 @query("c7_hours_overview", f"WITH {LAB}, {OV} SELECT {KEY}, hour_end_ts, t AS hour_title, s AS hour_summary FROM ov WHERE t <> '' OR s <> ''")
@@ -66,14 +70,15 @@ def c10(spark, sf):
 @query("c11_hourly_model_input", f"SELECT {KEY}, active_sec AS active_sec_est, len(labels) AS clusters, len(texts) AS texts FROM packs WHERE len(labels) > 0 OR len(texts) > 0")
 def c11(spark, sf):
     n = lambda p: F.json_array_length(F.get_json_object("payload", p)).cast("long")
-    return H.hourly_model_input(packs(spark, sf)).select(
+    j = text_job(spark, sf)
+    return H.hourly_model_input(j.packs, j.clusters, j.timeline).select(
         *GROUP, F.get_json_object("payload", "$.hour_start_ts").alias("hour_start_ts"), "active_sec_est",
         n("$.clusters").alias("clusters"), n("$.hour_common_texts").alias("texts"))
 
 
 @query("m1_label_hours", f"WITH {LAB} SELECT source_id, CAST(day AS VARCHAR) AS day, strftime(hr, '%H') AS hour, hour_title, hour_summary FROM lab")
 def m1(spark, sf):
-    return M.label_hours(packs(spark, sf), min_sec=MIN_SEC).select(
+    return hour_labels(spark, sf).select(
         *GROUP, F.date_format("hour_key", "HH").alias("hour"), "hour_title", "hour_summary")
 
 
@@ -81,7 +86,7 @@ def m1(spark, sf):
 def f6(spark, sf):
     p = packs(spark, sf)
     want = B.eligible_hours(p, GROUP)
-    return M.missing_keys(want, M.label_hours(p, min_sec=MIN_SEC), H.HOUR).select(*GROUP, F.date_format("hour_key", "HH").alias("hour"))
+    return M.missing_keys(want, hour_labels(spark, sf), H.HOUR).select(*GROUP, F.date_format("hour_key", "HH").alias("hour"))
 
 
 @query("m2_summarize_day", f"WITH {DAILY} SELECT source_id, CAST(day AS VARCHAR) AS day, daily_title, daily_summary FROM daily")

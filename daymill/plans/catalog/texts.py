@@ -202,8 +202,9 @@ def b10(spark, sf):
 @query("b11_is_near_duplicate")
 def b11(spark, sf):
     """Turn texts next to the previous turn's text and to a lightly edited copy."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = A.table(spark, sf, "conversations").withColumn("prev", F.lag("text").over(w))
+    turns = A.table(spark, sf, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev"))
+    t = turns.join(before, ["conv_id", "turn"], "left")
     edited = F.regexp_replace("text", r"(\w+)\s", "$1, ")
     both = t.select("conv_id", "turn", F.lit("prev").alias("kind"), "text", F.coalesce("prev", F.lit("")).alias("other")).unionByName(
         t.select("conv_id", "turn", F.lit("edited").alias("kind"), "text", edited.alias("other")))

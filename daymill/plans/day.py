@@ -77,7 +77,7 @@ class DayJob:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        return H.active_timeline(self.new_texts, self.clusters)
+        return self.keep(H.active_timeline(self.new_texts, self.clusters), "timeline")
 
     @cached_property
     def packs(self) -> DataFrame:
