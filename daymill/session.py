@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,30 +28,44 @@ def build_session(app: str = "daymill", master: str | None = None, **extra: str)
     return b.getOrCreate()
 
 
-_OWN: list[tempfile.TemporaryDirectory] = []
+_RUNS: dict[str, str] = {}
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster.
+    """The folder of this application's intermediate tables.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset and the
-    master is local does the process make a folder of its own, gone when it ends.
+    It lies under ``spark.checkpoint.dir``, or where that is unset under the warehouse; both
+    are folders that every executor reaches.  It is deleted when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if base:
-        return base
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if not _OWN:
-        _OWN.append(tempfile.TemporaryDirectory(prefix="daymill-", ignore_cleanup_errors=True))
-    return _OWN[0].name
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        base = (spark.conf.get("spark.checkpoint.dir", None)
+                or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+                or spark.conf.get("spark.sql.warehouse.dir"))
+        _RUNS[app] = f"{base.rstrip('/')}/daymill-{app}"
+        atexit.register(drop_work, spark)
+    return _RUNS[app]
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables; a stopped context leaves nothing to ask."""
+    if spark.sparkContext._jsc is None:
+        return
+    folder = _RUNS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        at, fs = _hadoop_path(spark, folder)
+        fs.delete(at, True)
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under :func:`shared_base`."""
-    return os.path.join(shared_base(spark), f"{purpose}-{uuid.uuid4().hex}")
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
