@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from daymill.llm import bpe, chat, fingerprints, token_counts  # noqa: F401
+from daymill.llm import bpe, chat, fingerprints, mixing, token_counts  # noqa: F401
 from daymill.llm.base import ORACLES, QUERIES  # noqa: F401
