@@ -6,8 +6,9 @@ pre-token is encoded once and its number of pieces joins all its frequencies; th
 summed per document.  Pre-tokens that are vocabulary entries themselves are one token and are
 added up in the first pass.
 
-Hot pre-tokens: a block sends one row per pre-token at most, and one held by many of its documents
-goes to one of ``SALTS`` places (it is then encoded that many times at most).
+Pre-tokens travel packed by hash bucket.  Hot pre-tokens: a block sends one entry list per pre-token
+at most, and one held by many of its documents goes to one of ``SALTS`` buckets (it is then encoded
+that many times at most).
 
 Rows: null or empty texts count 0 tokens; each input row gives a row, repeated rows and repeated
 or null keys included; an empty table gives an empty table; extra columns are left out.  Rows of a
@@ -17,10 +18,12 @@ partition must come in a stable order, as a table's do: a lost task is run again
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +44,9 @@ def normalise(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
-def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of the sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class _Block:
@@ -63,7 +66,7 @@ class _Block:
         self.known.append(specials)
         self.bytes += n
 
-    def rows(self, block: int, vocabulary, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int, vocabulary, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         n = len(self.keys)
         doc = np.repeat(np.arange(n), [len(p) for p in self.pieces])
         piece = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.int64)
@@ -83,30 +86,36 @@ class _Block:
             times = np.full(len(code), 255)
             times[last] = rest_times
         piece, doc = code >> 16, (code & 0xFFFF).astype("<u2")
-        ends = np.append(np.flatnonzero(np.diff(piece)) + 1, len(piece)) if len(piece) else np.zeros(0, np.int64)
-        held = np.diff(ends, prepend=0)
-        m = len(ends)
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        held = np.diff(starts, append=len(piece))  # entries of each pre-token
+        sought = words[piece[starts]].tolist()
+        salt = np.where(held * HOT_SHARE > n, block * 0x9E3779B1 % SALTS, 0)
+        bucket = (np.array([zlib.crc32(w.encode()) for w in sought], np.int64) + salt) % buckets
         yield pa.RecordBatch.from_pydict({
-            "block": [block], "salt": [block], "piece": [None], "docs": [b""], "times": [b""],
+            "block": [block], "bucket": [block], "pieces": [None], "held": [None], "docs": [b""], "times": [b""],
             "keys": [self.keys], "sizes": [self.sizes], "known": [known.tolist()]}, schema)
-        step = 50_000
-        for i in range(0, m, step):
-            j = min(i + step, m)
-            at = ends[i - 1] if i else 0
-            cut = slice(at, ends[j - 1])
-            empty = pa.nulls(j - i)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(j - i, block)), pa.array(np.where(held[i:j] * HOT_SHARE > n, block * 0x9E3779B1 % SALTS, 0)),
-                pa.array(words[piece[ends[i:j] - 1]].tolist(), pa.string()), _binary(doc[cut], (ends[i:j] - at) * 2),
-                _binary(times[cut].astype(np.uint8), ends[i:j] - at), *(empty.cast(t) for t in schema.types[-3:])], schema=schema)
+        order = np.argsort(bucket, kind="stable")
+        entry = np.repeat(starts[order], held[order]) + _ramp(held[order])
+        doc, times, held = doc[entry], times[entry].astype(np.uint8), held[order]
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+        ends = np.concatenate([[0], np.cumsum(held)])
+        for i, j in zip(cuts, cuts[1:]):
+            yield pa.RecordBatch.from_pydict({
+                "block": [block], "bucket": [int(bucket[order[i]])], "pieces": [" ".join([sought[k] for k in order[i:j]])],
+                "held": [held[i:j].astype("<u4").tobytes()], "docs": [doc[ends[i]:ends[j]].tobytes()], "times": [times[ends[i]:ends[j]].tobytes()],
+                "keys": [None], "sizes": [None], "known": [None]}, schema)
 
 
 def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
-    """Per block: a row with its documents, and a row per pre-token to be looked up."""
+    """Per block: a row with its documents, and a row per bucket of pre-tokens to be looked up.
+
+    Pre-tokens have no white space, so a blank parts them; ``held`` has each one's number of entries.
+    """
     kind = docs.schema[key].dataType
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("salt", T.LongType()), T.StructField("piece", T.StringType()),
-        T.StructField("docs", T.BinaryType()), T.StructField("times", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)),
+        T.StructField("block", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("pieces", T.StringType()),
+        T.StructField("held", T.BinaryType()), T.StructField("docs", T.BinaryType()), T.StructField("times", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)),
         T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("known", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +126,7 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
         split, find = special_splitter(v.specials), regex.compile(WORD_PATTERN).findall
         number, block, out = TaskContext.get().partitionId() << 24, _Block(), None
         for b in slices(batches, "text"):
-            out = out or pa.schema([("block", pa.int64()), ("salt", pa.int64()), ("piece", pa.string()), ("docs", pa.binary()), ("times", pa.binary()),
+            out = out or pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("pieces", pa.string()), ("held", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()),
                                     ("keys", pa.list_(b.schema.field("key").type)), ("sizes", pa.list_(pa.int64())), ("known", pa.list_(pa.int64()))])
             for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 t = t or ""
@@ -127,10 +136,10 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
                     words += find(normalise(p))
                 block.add(k, t, words, len(parts) // 2)
                 if block.bytes >= BLOCK_BYTES or len(block.keys) >= BLOCK_DOCS:
-                    yield from block.rows(number, v, out)
+                    yield from block.rows(number, v, buckets, out)
                     number, block = number + 1, _Block()
         if block.keys:
-            yield from block.rows(number, v, out)
+            yield from block.rows(number, v, buckets, out)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
@@ -138,7 +147,7 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_bytes`` (UTF-8) and ``n_tokens`` of each row, for a vocabulary with word ends."""
     rows = frequencies(docs, path, key, text)
-    sums = T.StructType([f for f in rows.schema if f.name not in ("salt", "piece")])
+    sums = T.StructType([f for f in rows.schema if f.name not in ("bucket", "pieces", "held")])
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, pieces, held = vocabulary(path), {}, {}
@@ -155,33 +164,26 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             if not b.num_rows:
                 continue
             out = out or pa.schema([b.schema.field(n) for n in ("block", "docs", "times", "keys", "sizes", "known")])
-            words, blocks = b.column("piece").to_pylist(), b.column("block").to_numpy()
-            heads = [i for i, w in enumerate(words) if w is None]
-            if heads:
-                yield pa.RecordBatch.from_arrays([b.column(n).take(pa.array(heads)) for n in out.names], schema=out)
-            counts = np.zeros(len(words), np.int64)
-            for i, w in enumerate(words):
-                if w is None:
+            for block, words, sizes, docs, times in zip(*(b.column(n).to_pylist() for n in ("block", "pieces", "held", "docs", "times")), strict=True):
+                if words is None:
                     continue
-                n = pieces.get(w)
-                if n is None:
-                    if len(pieces) >= KEEP_WORDS:
-                        pieces.clear()
-                    n = pieces[w] = len(v.ranks(v.word(w)))
-                counts[i] = n
-            times, docs = b.column("times"), b.column("docs")
-            sizes = np.diff(np.frombuffer(times.buffers()[1], np.int32)[times.offset:times.offset + len(times) + 1])
-            price_of = np.repeat(counts, sizes)
-            at = np.repeat(blocks, sizes)
-            doc = np.frombuffer(b"".join(docs.to_pylist()), "<u2")
-            product = price_of * np.frombuffer(b"".join(times.to_pylist()), np.uint8)
-            for block in np.unique(at).tolist():
-                mine = at == block
+                counts = []
+                for w in words.split(" "):
+                    n = pieces.get(w)
+                    if n is None:
+                        if len(pieces) >= KEEP_WORDS:
+                            pieces.clear()
+                        n = pieces[w] = len(v.ranks(v.word(w)))
+                    counts.append(n)
                 if block not in held:
                     while len(held) >= OPEN_BLOCKS:
                         yield close(next(iter(held)), out)
                     held[block] = np.zeros(BLOCK_DOCS, np.int64)
-                held[block] += np.bincount(doc[mine], product[mine], BLOCK_DOCS).astype(np.int64)
+                product = np.repeat(counts, np.frombuffer(sizes, "<u4")) * np.frombuffer(times, np.uint8)
+                held[block] += np.bincount(np.frombuffer(docs, "<u2"), product, BLOCK_DOCS).astype(np.int64)
+            heads = pa.compute.indices_nonzero(b.column("pieces").is_null())
+            if len(heads):
+                yield pa.RecordBatch.from_arrays([b.column(n).take(heads) for n in out.names], schema=out)
         for block in list(held):
             yield close(block, out)
 
@@ -195,7 +197,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         return pa.table({key: head["keys"].combine_chunks().flatten(), "n_bytes": head["sizes"].combine_chunks().flatten(), "n_tokens": tokens})
 
     result = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.repartition("piece", "salt").mapInArrow(price, sums).groupBy("block").applyInArrow(total, result)
+    return rows.repartition("bucket").mapInArrow(price, sums).groupBy("block").applyInArrow(total, result)
 
 
 @query("op5_token_counts")
