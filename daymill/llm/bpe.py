@@ -92,11 +92,6 @@ class Vocabulary:
                     break
         self.pairs: dict[int, bool] = {}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        by_id = {i: t.rstrip(WORD_END).encode("latin-1") + (b" " if t.endswith(WORD_END) else b"") for t, i in ids.items()}
-        by_id |= {i: t.encode() for t, i in self.specials.items()}
-        parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
 
     def compatible(self, a: int, b: int) -> bool:
         """No merge crosses the border between entries ``a`` and ``b`` before both are complete."""
@@ -159,10 +154,27 @@ class Vocabulary:
     def word(self, text: str) -> str:
         return (text if text.isascii() else text.encode().decode("latin-1")) + self.end
 
+
+class Offsets:
+    """The bytes of all entries of a vocabulary file, joined, and where each id's begin."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain, suffix = byte_alphabet(), spec["model"].get("end_of_word_suffix") or ""
+        by_id = {}
+        for t, i in spec["model"]["vocab"].items():
+            ends = bool(suffix) and t.endswith(suffix)
+            by_id[i] = "".join(plain[c] for c in (t[: -len(suffix)] if ends else t)).encode("latin-1") + b" " * ends
+        by_id |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of ``ids``: places in the joined entries come from the offset table."""
-        starts = self.offsets[ids]
-        sizes = self.offsets[ids + 1] - starts
+        """The bytes of ``ids``, gathered at the places that the offset table gives."""
+        starts = self.starts[ids]
+        sizes = self.starts[ids + 1] - starts
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.blob[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)].tobytes()
@@ -187,6 +199,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def offsets(path: str) -> Offsets:
+    return Offsets(path)
+
+
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> _Pieces:
     return _Pieces(vocabulary(path))
@@ -240,9 +257,9 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     kept = schema.names[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        entries = offsets(path)
         for b in slices(batches, ids):
-            out = [v.decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
+            out = [entries.decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, text])
 
     return docs.mapInArrow(run, schema)
