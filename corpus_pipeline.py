@@ -1,20 +1,70 @@
-"""The corpus pipeline over ``documents``, as written stages."""
+"""The corpus pipeline over ``documents``: five stages, each written as Parquet and read by the next.
+
+Language identification rejects what it cannot name, line dedup cuts repeated chunks, the n-gram
+join leaves one document of each group, mixing takes each document as often as its source's target
+asks, and the last stage encodes and decodes what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from daymill.llm import bpe, langid, line_dedup, mixing, ngram_join
 from daymill.session import staged
 
-STAGES: list = []
+#: Texts without a letter, or with a score below this, are rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; learned from ``lang`` where it is given."""
+    known = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return known.select(*docs.columns)
+
+
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated chunks; those that consist of nothing else go."""
+    cut = line_dedup.remove_repeated_chunks(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def ngram_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of similar ones."""
+    others = ngram_join.similar_components(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix_sources(docs, F.array("source"), mixing.words("text"))
+    return mixed.withColumn("copy", F.explode("copies")).select(*docs.columns)
+
+
+def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the text that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
+    return bpe.decode(coded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_chunks),
+    ("n-gram Jaccard join", ngram_groups),
+    ("source mix", source_mix),
+    ("BPE encoding and decoding", bpe_codec),
+]
+#: Language identification and merging by rank are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each is written as Parquet and read by the next."""
+    """Apply the stages to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name.replace(" ", "_"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
