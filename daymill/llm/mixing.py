@@ -39,11 +39,14 @@ class Mix:
     seed: int = 17
 
 
-def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
-    """Words per source: by weight, at most ``repeats`` times its size, the excess shared by weight again."""
+def targets(sizes: dict[str | None, int], mix: Mix, total: int | None = None) -> dict[str | None, float]:
+    """Words per source: by weight, at most ``repeats`` times its size, the excess shared by weight again.
+
+    ``total`` has all words once, where sources overlap.
+    """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(order)}
-    left, rest = mix.share * sum(sizes.values()), sum(weight.values())
+    left, rest = mix.share * (sum(sizes.values()) if total is None else total), sum(weight.values())
     full, level = 0, float("inf")
     for s in sorted(order, key=lambda s: (mix.repeats * sizes[s] / weight[s], order.index(s))):
         level = (left - full) / rest
@@ -144,7 +147,7 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, mix: Mix = Mix()
     for r in stats:
         for s in r["s"]:
             sizes[s] += r["n"]
-    wanted = targets(sizes, mix)
+    wanted = targets(sizes, mix, sum(r["n"] for r in stats if r["s"]))
     quotas = {s: int(t + 0.5) for s, t in wanted.items()}
     taken = route([(tuple(r["s"]), r["n"]) for r in stats], quotas, mix.repeats)
     stretches = []  # pattern, repetition, from, to, source: places within a repetition
