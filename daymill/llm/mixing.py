@@ -7,8 +7,8 @@ takes from it is a stretch of that order, repeated, so every document knows from
 how often and for which source it is taken.  Places are never computed for all documents: a cut
 of the stretch is found through sums of hash ranges and turned into the key of one document.
 
-Rows: a null or empty text has size 0; null sources count as one source, ordered last; repeated rows are
-taken together with their equals in no promised order; an empty table gives an empty table.
+Rows: a null or empty text has size 0; null sources count as one source, ordered last; rows equal in all
+columns are taken together; an empty table gives an empty table.
 Columns are kept; a column of the name of a result gives way to it.
 """
 
@@ -132,13 +132,13 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, mix: Mix = Mix()
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
-    place = T.StructType([T.StructField("h", T.StringType()), T.StructField("k", kind), T.StructField("n", T.LongType())])
+    place = T.StructType([T.StructField("h", T.StringType()), T.StructField("k", kind), T.StructField("n", T.LongType()), T.StructField("t", T.LongType())])
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), size.alias("size"), F.col(key).alias("k"),
         F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))).alias("sources"))
     seeded = F.md5(F.encode(F.concat(F.lit(f"{mix.seed}:"), F.coalesce(F.col("k").cast("string"), F.lit(""))), "UTF-8"))
     rows = rows.select("row", "size", "sources", F.to_json("sources").alias("pattern"),
-                       F.struct(seeded.alias("h"), "k", F.col("size").alias("n")).alias("place"))
+                       F.struct(seeded.alias("h"), "k", F.col("size").alias("n"), F.xxhash64("row").alias("t")).alias("place"))
     narrow = staged(rows.select("pattern", "place", "sources"), "mix")
     stats = narrow.groupBy("pattern").agg(F.first("sources").alias("s"), F.sum("place.n").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(stats) > MOST_PATTERNS:
