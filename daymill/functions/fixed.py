@@ -10,17 +10,12 @@ DEFAULT_INTERVAL_SEC = 300
 MIN_GAP_SEC = 120
 GAP_FACTOR = 2.5
 TITLE_CHARS = 80
-PREVIEW_CHARS = 4000
 SLEEP_TOLERANCE_SEC = 900
-TOP_COMMON_TEXTS = 20
-TOP_CLUSTERS = 3
 HOUR_MIN_SEC = 120
-HOUR_MAX_COUNT = 24
 HOUR_BATCH_ITEMS, HOUR_BATCH_CHARS = 6, 32000
 DAY_BATCH_ITEMS, DAY_BATCH_CHARS = 4, 6000
 ENRICH_BATCH_ITEMS, ENRICH_BATCH_CHARS = 4, 5000
 MIN_BATCH_CHARS = 512
-SEGMENTS_PER_DAY = 80
 OUTPUT_RETENTION_DAYS = 14
 SNAPSHOT_RETENTION_DAYS = 20
 RETRY_DELAY_MIN = 10
@@ -115,7 +110,6 @@ SENTENCE_ENDS = "。.!?！？"
 FIRST_SENTENCE = r"^.*?(?:[。.!?！？▶→・|•](?= )|$)"
 QUOTES = "\"'“”‘’（）()【】[]<>"
 PUNCT = "、。.!?！？・|•▶→"
-COMMON_TEXT_CHARS = 240
 SIMILARITY_STRIP = (
     r"(?U)[\s\u3000、。.,!?！？:：;；\-–—/\\()（）「」『』【】\[\]{}<>＜＞\"'・]"
 )

@@ -244,8 +244,7 @@ def sentence_norm(c: Column) -> Column:
 
 
 def common_text_norm(c: Column) -> Column:
-    tight = F.replace(sentence_norm(c), F.lit(" "), F.lit(""))
-    return F.substring(tight, 1, K.COMMON_TEXT_CHARS)
+    return F.replace(sentence_norm(c), F.lit(" "), F.lit(""))
 
 
 def similarity_norm(c: Column) -> Column:
@@ -326,7 +325,7 @@ def rank_snippets(c: Column, limit: int = 3, width: int = 120) -> Column:
     """
 
     def pick(urls: Column, paths: Column, lines: Column) -> Column:
-        rest = F.concat(F.slice(urls, 2, 100000), F.slice(paths, 2, 100000))
+        rest = F.concat(F.slice(urls, F.lit(2), F.greatest(F.size(urls), F.lit(1))), F.slice(paths, F.lit(2), F.greatest(F.size(paths), F.lit(1))))
         lead = F.concat(F.slice(urls, 1, 1), F.slice(paths, 1, 1))
         found = F.slice(F.array_distinct(F.filter(F.concat(lead, rest), lambda x: x != "")), 1, limit)
         scored = F.array_sort(

@@ -139,7 +139,7 @@ def rule_day_model(items: list[dict]) -> list[dict]:
     notes = [i["hour_summary"] for i in items if i["hour_summary"]]
     return [{
         "daily_title": titles[0] if titles else "", "daily_summary": ", ".join(titles),
-        "daily_detail": " ".join(notes[:3]), "highlights": titles[:3], "confidence": 0.5, "evidence": notes[:3]}]
+        "daily_detail": " ".join(notes), "highlights": titles, "confidence": 0.5, "evidence": notes}]
 
 
 def rule_enrich_model(items: list[dict]) -> list[dict]:
@@ -158,7 +158,7 @@ def rule_segment_model(items: list[dict]) -> list[dict]:
 
 def label_hours(
     packs: DataFrame, clusters: DataFrame, timeline: DataFrame, existing: DataFrame | None = None,
-    model_fn: ModelFn = rule_hour_model, by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int = K.HOUR_MAX_COUNT, version: int = 1,
+    model_fn: ModelFn = rule_hour_model, by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int | None = None, version: int = 1,
 ) -> DataFrame:
     """Hour labels for eligible hours that have none yet, merged with the existing ones."""
     wanted = eligible_hours(packs, by, min_sec, max_hours)
@@ -220,9 +220,9 @@ def enrich_hours(
 
 def label_segments(
     segments: DataFrame, model_fn: ModelFn = rule_segment_model, by: Sequence[str] = GROUP,
-    per_day: int = K.SEGMENTS_PER_DAY, batch_items: int = 20,
+    per_day: int | None = None, batch_items: int = 20,
 ) -> DataFrame:
-    """Labels for the first segments of every day (that many is the rule)."""
+    """Labels for the segments of every day, or the first ``per_day`` of them."""
     first = top_k(segments, by, [F.col("segment_id")], per_day, "_n")
     rows = first.withColumn("payload", F.to_json(F.struct("segment_id", "label", "captures", "duration_sec")))
     batches = rows.groupBy(*by, F.floor((F.col("_n") - 1) / batch_items).alias("batch")).agg(

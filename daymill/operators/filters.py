@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -13,8 +14,6 @@ from daymill.functions import fixed as K
 from daymill.functions import text as T
 from daymill.operators.ordered import asof_latest, top_k
 
-MAX_RULES = 10000
-
 
 @dataclass(frozen=True)
 class ExclusionRules:
@@ -37,20 +36,34 @@ def exclusion_reason(
     Order: app (any case), lock screen, domain keyword (any case), text keyword (exact
     case).  The rules are configuration, so they are folded into the expression: no join.
     """
-    name = T.strip_ws(T.text_of(app))
-    host = F.lower(T.text_of(domain))
     hay = F.concat(T.text_of(title), F.lit("\n"), T.text_of(preview) if preview is not None else F.lit(""))
-    low_apps = sorted({a.lower() for a in rules.apps})
-    reason = F.when(
-        (name != "") & F.lower(name).isin(low_apps) if low_apps else F.lit(False), F.concat(F.lit("app:"), name)
-    ).when(F.lower(name) == K.LOCKED_APP, F.lit("locked:" + K.LOCKED_APP))
-    for kw in rules.domain_keywords:
-        if kw:
-            reason = reason.when(host.contains(kw.lower()), F.lit("domain_kw:" + kw))
-    for kw in rules.text_keywords:
-        if kw:
-            reason = reason.when(hay.contains(kw), F.lit("text_kw:" + kw))
-    return reason
+    ranked = [("app", a) for a in rules.apps] + [("locked", K.LOCKED_APP)]
+    ranked += [("domain_kw", k) for k in rules.domain_keywords] + [("text_kw", k) for k in rules.text_keywords]
+    return first_rule(ranked, app, domain, hay)
+
+
+def first_rule(ranked: Sequence[tuple[str, str]], app: Column, domain: Column, text: Column) -> Column:
+    """Reason of the first rule (kind, pattern) that holds, null when none does.
+
+    Rules are one literal array, searched inside the row.  An app rule reports the app as the
+    event spells it, a keyword rule reports the keyword.
+    """
+    listed = [{"kind": k, "pattern": p, "low": p.lower()} for k, p in ranked if p]
+    name = T.strip_ws(T.text_of(app))
+    row = F.struct(name.alias("name"), F.lower(name).alias("low"), F.lower(T.text_of(domain)).alias("host"), T.text_of(text).alias("text"))
+    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<kind:string,pattern:string,low:string>>")
+
+    def search(e: Column) -> Column:
+        def holds(r: Column) -> Column:
+            return (
+                F.when(r["kind"].isin("app", "locked"), (e["low"] != "") & (e["low"] == r["low"]))
+                .when(r["kind"] == "domain_kw", e["host"].contains(r["low"]))
+                .otherwise(e["text"].contains(r["pattern"])))
+
+        return T.let(F.get(F.filter(table, holds), F.lit(0)), lambda r: F.concat(
+            r["kind"], F.lit(":"), F.when(r["kind"] == "app", e["name"]).otherwise(r["pattern"])))
+
+    return T.let(row, search)
 
 
 def exclude_by_rules(df: DataFrame, rules: ExclusionRules, preview: str | None = None) -> DataFrame:
@@ -65,45 +78,33 @@ def exclude_by_rules(df: DataFrame, rules: ExclusionRules, preview: str | None =
 def match_rules(df: DataFrame, rules: DataFrame, app: Column, domain: Column, text: Column) -> DataFrame:
     """First matching row of a rule table ``(kind, pattern, rank)`` per row of ``df``.
 
-    A rule table is configuration of checked size; it travels as one literal array and
-    is searched in rank order, so rows never multiply.
+    A rule table is configuration; it is searched in rank order by :func:`first_rule`, so rows
+    never multiply.
     """
-    found = rules.select("kind", "pattern", "rank").limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    ranked = sorted(found, key=lambda r: (r["rank"], r["kind"], r["pattern"]))
-    name, host = F.lower(T.strip_ws(T.text_of(app))), F.lower(T.text_of(domain))
-    reason = F.lit(None).cast("string")
-    for r in reversed(ranked):
-        kind, pat = r["kind"], r["pattern"]
-        if not pat:
-            continue
-        hit = {
-            "app": name == pat.lower(),
-            "locked": name == pat.lower(),
-            "domain_kw": host.contains(pat.lower()),
-            "text_kw": T.text_of(text).contains(pat),
-        }[kind]
-        reason = F.when(hit, F.lit(f"{kind}:{pat}")).otherwise(reason)
-    return df.withColumn("rule_reason", reason)
+    found = sorted(rules.select("kind", "pattern", "rank").collect(), key=lambda r: (r["rank"], r["kind"], r["pattern"]))
+    return df.withColumn("rule_reason", first_rule([(r["kind"], r["pattern"]) for r in found], app, domain, text))
 
 
 def exclude_two_stage(
-    events: DataFrame, rules: ExclusionRules, preview_chars: int = K.PREVIEW_CHARS
+    events: DataFrame, rules: ExclusionRules, preview_chars: int | None = None
 ) -> DataFrame:
     """Metadata first, then every display's text; see :func:`rollup_display_exclusion`.
 
-    Stage 1 hits become stubs.  Stage 2 looks at the preview of each display, blanks
-    the text of the excluded ones and keeps their reason.
+    Stage 1 hits become stubs.  Stage 2 looks at the text of each display (its first
+    ``preview_chars`` characters, if given), blanks the excluded ones and keeps their reason.
     """
     meta = exclusion_reason(
         F.col("active_app"), F.col("browser.domain"), F.col("window_title"), None, rules
     )
 
+    def shown(d: Column) -> Column:
+        whole = T.text_of(d["ocr_text"])
+        return whole if preview_chars is None else F.substring(whole, 1, preview_chars)
+
     def judge(d: Column) -> Column:
         why = exclusion_reason(
             F.col("active_app"), F.col("browser.domain"), F.col("window_title"),
-            F.substring(T.text_of(d["ocr_text"]), 1, preview_chars), rules,
+            shown(d), rules,
         )
         return T.let(why, lambda r: F.struct(
             d["display"].alias("display"),
@@ -163,11 +164,11 @@ def drop_asleep_captures(
 
 
 def eligible_hours(
-    hours: DataFrame, by: Sequence[str], min_sec: int = K.HOUR_MIN_SEC, max_hours: int = K.HOUR_MAX_COUNT
+    hours: DataFrame, by: Sequence[str], min_sec: int = K.HOUR_MIN_SEC, max_hours: int | None = None
 ) -> DataFrame:
-    """Hours with enough activity; of too many, the most active (this limit is the rule)."""
+    """Hours with enough activity; with ``max_hours``, the most active of them."""
     enough = hours.filter(F.col("active_sec_est") >= min_sec)
-    if max_hours <= 0:
+    if not max_hours:
         return enough
     return top_k(enough, by, [F.desc("active_sec_est"), F.col("hour_key")], max_hours, "_rank").drop("_rank")
 

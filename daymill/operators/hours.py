@@ -33,7 +33,7 @@ def hourly_active_seconds(timed: DataFrame, group: Sequence[str] = GROUP) -> Dat
     return out.withColumn("hour_end_ts", hour_end_text(F.col("hour_start_ts")))
 
 
-def hour_common_texts(new_texts: DataFrame, common: DataFrame, limit: int = K.TOP_COMMON_TEXTS) -> DataFrame:
+def hour_common_texts(new_texts: DataFrame, common: DataFrame, limit: int | None = None) -> DataFrame:
     """Texts common to the segments active in an hour, by number of (segment, display).
 
     ``new_texts`` tells in which hours a (segment, display) puts something out.
@@ -67,7 +67,7 @@ def active_events(new_texts: DataFrame) -> DataFrame:
     return with_hour(new_texts.filter(F.col("is_active_display")))
 
 
-def hour_clusters(new_texts: DataFrame, intervals: DataFrame, limit: int = K.TOP_CLUSTERS) -> DataFrame:
+def hour_clusters(new_texts: DataFrame, intervals: DataFrame, limit: int | None = None) -> DataFrame:
     """Contexts of an hour by the seconds of their distinct active-display events."""
     seg = (
         active_events(new_texts).groupBy(*HOUR, "segment_key", "id")
@@ -101,7 +101,7 @@ def cluster_timelines(clusters: DataFrame, timeline: DataFrame) -> DataFrame:
 
 
 def hour_packs(hours: DataFrame, commons: DataFrame, clusters: DataFrame, timeline: DataFrame) -> DataFrame:
-    """One row per hour with its common texts (at most 20) and contexts (at most 3).
+    """One row per hour with its common texts and contexts.
 
     Timelines stay rows; a pack carries the first text of each context only, and a
     context without a timeline is dropped.
@@ -211,7 +211,7 @@ def hour_timeline_rows(labelled: DataFrame) -> DataFrame:
         F.nullif("hour_title", F.lit("")), F.nullif(first_label(F.col("cluster_labels")), F.lit("")), F.lit("（不明）"))
     summary = F.coalesce(F.nullif("hour_summary", F.lit("")), F.col("observation"))
     rows = labelled.withColumn("display_title", title).withColumn("display_summary", summary).withColumn(
-        "screens", F.array_join(F.slice("cluster_labels", 1, 2), ", "))
+        "screens", F.array_join("cluster_labels", ", "))
     judged = with_near_duplicate(rows, "display_summary", "hour_summary_enriched", "_near")
     intent = (
         F.when(F.col("hour_summary_enriched") == "", F.lit(""))

@@ -118,10 +118,11 @@ def asof_latest(
     )
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per group; the limit is applied before the shuffle as well."""
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per group, or all with their rank; a limit is applied before the shuffle as well."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def ordered_distinct(

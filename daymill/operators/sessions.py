@@ -34,14 +34,14 @@ def gap_limit(default_sec: Column) -> Column:
 
 
 def with_context(events: DataFrame) -> DataFrame:
-    """Adds ``segment_key`` (app, domain, title) and ``segment_label``."""
+    """Adds ``segment_key`` (app, domain, whole title) and ``segment_label`` (with the title shortened)."""
     app = T.strip_ws(T.text_of(F.col("active_app")))
     domain = T.strip_ws(T.text_of(F.col("browser.domain")))
-    title = T.shorten(F.col("window_title"))
+    title = T.collapse(F.col("window_title"))
     return (
         events.withColumn("_app", app).withColumn("_dom", domain).withColumn("_title", title)
         .withColumn("segment_key", F.struct(F.col("_app").alias("app"), F.col("_dom").alias("domain"), F.col("_title").alias("title")))
-        .withColumn("segment_label", T.context_label(F.col("_app"), F.col("_dom"), F.col("_title")))
+        .withColumn("segment_label", T.context_label(F.col("_app"), F.col("_dom"), T.shorten(F.col("_title"))))
         .drop("_app", "_dom", "_title")
     )
 

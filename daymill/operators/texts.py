@@ -52,7 +52,7 @@ def sentence_counts(sentences: DataFrame, by: Sequence[str] = PLACE) -> DataFram
     return sentences.groupBy(*by, "norm").agg(F.count(F.lit(1)).alias("entries"), first.alias("first"))
 
 
-def segment_common_texts(counts: DataFrame, limit: int = K.TOP_COMMON_TEXTS, by: Sequence[str] = PLACE) -> DataFrame:
+def segment_common_texts(counts: DataFrame, limit: int | None = None, by: Sequence[str] = PLACE) -> DataFrame:
     """Common sentences per place, most frequent first, then first seen."""
     common = counts.filter(F.col("entries") >= 2)
     ranked = top_k(common, by, [F.desc("entries"), F.col("first.entry"), F.col("first.pos")], limit)

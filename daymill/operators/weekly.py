@@ -73,11 +73,11 @@ def day_notes(snapshots: DataFrame, rich: bool = False) -> DataFrame:
     summary and the enriched hours and falls back step by step.
     """
     if not rich:
-        base = snapshots.withColumn("_titles", distinct_texts(_hour_texts("hour_title"), 4)).withColumn(
-            "_notes", distinct_texts(_hour_texts("hour_summary"), 4))
+        base = snapshots.withColumn("_titles", distinct_texts(_hour_texts("hour_title"))).withColumn(
+            "_notes", distinct_texts(_hour_texts("hour_summary")))
         return _note_columns(
             base.withColumn("title", _lead_title(F.col("_titles"))).withColumn("overview", _first(F.col("_notes")))
-            .withColumn("detail", F.when(F.size("_notes") >= 2, F.array_join(F.slice("_notes", 2, 2), " ")).otherwise(""))
+            .withColumn("detail", F.when(F.size("_notes") >= 2, F.array_join(F.slice("_notes", F.lit(2), F.size("_notes")), " ")).otherwise(""))
             .withColumn("highlights", F.array().cast("array<string>")))
 
     def either(rich_name: str, name: str) -> Column:
@@ -89,16 +89,16 @@ def day_notes(snapshots: DataFrame, rich: bool = False) -> DataFrame:
     hl = F.col("highlights")
     pre, sep, end = K.NOTE_TEXTS["points"]
     key_pre, key_end = K.NOTE_TEXTS["keys"]
-    top = F.array_join(F.slice(hl, 1, 3), sep)
+    top = F.array_join(hl, sep)
     base = (
-        snapshots.withColumn("_titles", distinct_texts(either("hour_title_enriched", "hour_title"), 4))
-        .withColumn("_notes", distinct_texts(either("hour_summary_enriched", "hour_summary"), 4))
-        .withColumn("highlights", distinct_texts(F.coalesce("daily.highlights", F.array().cast("array<string>")), 5))
+        snapshots.withColumn("_titles", distinct_texts(either("hour_title_enriched", "hour_title")))
+        .withColumn("_notes", distinct_texts(either("hour_summary_enriched", "hour_summary")))
+        .withColumn("highlights", distinct_texts(F.coalesce("daily.highlights", F.array().cast("array<string>"))))
         .withColumn("_dt", daily("daily_title")).withColumn("_ds", daily("daily_summary")).withColumn("_dd", daily("daily_detail"))
         .withColumn("title", F.when(F.col("_dt") != "", F.col("_dt")).otherwise(_lead_title(F.col("_titles"))))
         .withColumn("overview", F.when(F.col("_ds") != "", F.col("_ds")).when(F.col("_dd") != "", F.col("_dd")).otherwise(_first(F.col("_notes"))))
         .withColumn("detail", F.when((F.col("_dd") != "") & (F.col("_dd") != F.col("overview")), F.col("_dd"))
-                    .when(F.size("_notes") >= 2, F.array_join(F.slice("_notes", 2, 2), " "))
+                    .when(F.size("_notes") >= 2, F.array_join(F.slice("_notes", F.lit(2), F.size("_notes")), " "))
                     .when(F.size(hl) > 0, F.concat(F.lit(pre), top, F.lit(end))).otherwise(""))
         .withColumn("overview", F.when((F.col("overview") == "") & (F.col("title") != ""), F.concat("title", F.lit(K.NOTE_TEXTS["overview"]))).otherwise(F.col("overview")))
         .withColumn("detail", F.when((F.col("detail") == "") & (F.size(hl) >= 2), F.concat(F.lit(key_pre), top, F.lit(key_end))).otherwise(F.col("detail")))
@@ -149,7 +149,7 @@ def cluster_name(items: DataFrame) -> Column:
     summary = F.trim(F.col("hour_summary"))
     cut = F.when(F.length(summary) > 40, F.concat(F.substring(summary, 1, 40), F.lit("…"))).otherwise(summary)
     return (
-        F.when(F.size(labels) > 0, F.array_join(F.slice(labels, 1, 2), " / "))
+        F.when(F.size(labels) > 0, F.array_join(labels, " / "))
         .when(F.trim("hour_title") != "", F.trim("hour_title"))
         .when(summary != "", cut).otherwise(K.UNNAMED_TASK)
     )
@@ -256,7 +256,7 @@ def _weeks_of_notes(notes: DataFrame) -> DataFrame:
     return notes.groupBy(*WEEK).agg(F.array_sort(F.collect_list(row)).alias("_notes"))
 
 
-def week_themes(notes: DataFrame, limit: int = 3) -> DataFrame:
+def week_themes(notes: DataFrame, limit: int | None = None) -> DataFrame:
     return _weeks_of_notes(notes).select(*WEEK, distinct_texts(_note_texts(F.col("_notes")), limit).alias("themes"))
 
 
@@ -265,7 +265,7 @@ def week_summary_fallback(notes: DataFrame) -> DataFrame:
     t = K.WEEK_TEXTS
     live = F.filter("_notes", lambda n: (clean(n["overview"]) != "") | (clean(n["detail"]) != "") | (clean(n["title"]) != ""))
     themes, act, lead = F.col("_themes"), F.col("_act"), F.col("_lead")
-    seed = F.array_join(F.slice(themes, 1, 2), t["title_join"])
+    seed = F.array_join(themes, t["title_join"])
     title = F.when(F.size(themes) > 0, F.concat(
         F.when(F.length(seed) <= t["title_limit"], seed).otherwise(lead), F.lit(t["title_end"]))).otherwise(
         F.concat(F.col("week_start").cast("string"), F.lit(" - "), week_end(F.col("week_start")).cast("string"), F.lit(t["title_plain"])))
@@ -279,17 +279,17 @@ def week_summary_fallback(notes: DataFrame) -> DataFrame:
         coherent = (F.size(n["highlights"]) > 0) | ((F.trim(n["status"]) == "complete") & (clean(n["title"]) != ""))
         return F.when(coherent, F.concat(n["day"].cast("string"), F.lit("（"), n["weekday"], F.lit("）は"), body))
 
-    per_day = F.filter(F.transform(F.slice(act, 1, 4), day_text), lambda x: x.isNotNull())
+    per_day = F.filter(F.transform(act, day_text), lambda x: x.isNotNull())
     whole = F.when(F.size(themes) > 0, F.concat(F.lit(t["whole"][0]), lead, F.lit(t["whole"][1])))
     detail = F.concat_ws(" ", per_day, whole, F.when(F.size(act) > 0, F.lit(t["next"])))
     some = lambda c, spare: F.when(c == "", F.lit(spare)).otherwise(c)
     return (
-        _weeks_of_notes(notes).withColumn("_themes", distinct_texts(_note_texts(F.col("_notes")), 3))
+        _weeks_of_notes(notes).withColumn("_themes", distinct_texts(_note_texts(F.col("_notes"))))
         .withColumn("_act", live).withColumn("_lead", _first(F.col("_themes")))
         .select(
             *WEEK, title.alias("weekly_title"), some(summary, t["summary_none"]).alias("weekly_summary"),
             some(detail, t["detail_none"]).alias("weekly_detail"),
-            distinct_texts(_note_texts(act), 3).alias("highlights"),
+            distinct_texts(_note_texts(act)).alias("highlights"),
             F.lit(0.0).alias("confidence"), F.lit("fallback").alias("source"))
     )
 
@@ -300,7 +300,7 @@ def merge_week_summary(primary: DataFrame, fallback: DataFrame, by: Sequence[str
     texts = {
         c: F.coalesce(F.nullif(clean(F.col(f"_p.{c}")), F.lit("")), F.col(c))
         for c in ("weekly_title", "weekly_summary", "weekly_detail")}
-    hl = distinct_texts(F.coalesce("_p.highlights", F.array().cast("array<string>")), 5)
+    hl = distinct_texts(F.coalesce("_p.highlights", F.array().cast("array<string>")))
     return fallback.join(p, list(by), "left").withColumns({
         **texts, "highlights": F.when(F.size(hl) > 0, hl).otherwise(F.col("highlights")),
         "confidence": F.coalesce("_p.confidence", "confidence"),
@@ -327,4 +327,4 @@ def summarize_week(notes: DataFrame, model_fn: Callable[[list[dict]], list[dict]
 def rule_week_model(notes: list[dict]) -> list[dict]:
     titles = list(dict.fromkeys(n["title"] for n in notes if n["title"]))
     return [{"weekly_title": titles[0] if titles else "", "weekly_summary": f"{len(notes)} days", "weekly_detail": "",
-             "highlights": titles[:2], "confidence": 0.6}]
+             "highlights": titles, "confidence": 0.6}]

@@ -133,7 +133,7 @@ PARTS: dict[str, str] = {
         arg_min(e.seq, (e.ts, e.seq, n.pos)) AS seq, arg_min(n.pos, (e.ts, e.seq, n.pos)) AS pos
         FROM ent e JOIN docnorm n ON e.doc = n.doc_id GROUP BY ALL""",
     "common": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, day, seg, display
-        ORDER BY entries DESC, first_at) AS rank FROM cnt WHERE entries >= 2) WHERE rank <= 20""",
+        ORDER BY entries DESC, first_at) AS rank FROM cnt WHERE entries >= 2)""",
     "newt": """SELECT e.source_id, e.day, e.seg, e.display, e.seq, e.id, e.ts, e.hr, e.app, e.dom, e.act = e.display AS active,
         COALESCE(u.txt, f.sent) AS txt
         FROM ent e LEFT JOIN (SELECT source_id, day, seg, display, seq, string_agg(sent, ' / ' ORDER BY pos) AS txt
@@ -150,7 +150,7 @@ PARTS: dict[str, str] = {
         list_sort(list_distinct(list(seg))) AS segs FROM newt WHERE active GROUP BY ALL) s
         ON c.source_id = s.source_id AND c.day = s.day AND c.hr = s.hr AND c.app = s.app AND c.dom = s.dom""",
     "clu": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, day, hr ORDER BY active_sec DESC, label, app) AS rank
-        FROM clu1) WHERE rank <= 3""",
+        FROM clu1)""",
     "tl": """SELECT * EXCLUDE (n) FROM (SELECT w.*, c.rank, c.label, row_number() OVER (PARTITION BY w.source_id, w.day, w.hr, w.app, w.dom, w.id
         ORDER BY w.ts, w.seq) AS n FROM newt w JOIN clu c ON w.source_id = c.source_id AND w.day = c.day AND w.hr = c.hr
           AND w.app = c.app AND w.dom = c.dom WHERE w.active) WHERE n = 1 AND trim(txt) <> ''""",
@@ -159,10 +159,10 @@ PARTS: dict[str, str] = {
         SELECT l.source_id, l.day, l.hr, c.n240 AS norm, count(*) AS places,
           arg_min(c.sent, (l.seg, l.display, c.rank)) AS txt, min((l.seg, l.display, c.rank)) AS fs
         FROM (SELECT DISTINCT source_id, day, hr, seg, display FROM newt) l
-        JOIN (SELECT source_id, day, seg, display, left(replace(norm, ' ', ''), 240) AS n240,
-                min(rank) AS rank, arg_min(sent, rank) AS sent FROM common GROUP BY ALL HAVING left(replace(norm, ' ', ''), 240) <> '') c
+        JOIN (SELECT source_id, day, seg, display, replace(norm, ' ', '') AS n240,
+                min(rank) AS rank, arg_min(sent, rank) AS sent FROM common WHERE replace(norm, ' ', '') <> '' GROUP BY source_id, day, seg, display, replace(norm, ' ', '')) c
           ON l.source_id = c.source_id AND l.day = c.day AND l.seg = c.seg AND l.display = c.display
-        GROUP BY ALL)) WHERE rank <= 20""",
+        GROUP BY ALL))""",
     "kept": """SELECT DISTINCT c.source_id, c.day, c.hr, c.rank, c.label, c.app, c.dom, c.segs FROM clu c JOIN tl
         ON c.source_id = tl.source_id AND c.day = tl.day AND c.hr = tl.hr AND c.app = tl.app AND c.dom = tl.dom""",
     "pack": """SELECT h.source_id, h.day, h.hr, h.active_sec, COALESCE(k.labels, []) AS labels, COALESCE(c.texts, []) AS texts,
@@ -215,3 +215,14 @@ def with_parts(sql: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {heads},\n{body[5:]}"
     return f"WITH {heads}\n{body}"
+
+
+def near_duplicate_sql(a: str, b: str) -> str:
+    """SQL of the near-duplicate rule for two text expressions."""
+    strip = "[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{3000}、。.,!?！？:：;；\\-–—/\\\\()（）「」『』【】\\[\\]{}<>＜＞\"''・]"
+    norm = lambda c: f"regexp_replace(lower(trim(coalesce({c}, ''))), '{strip}', '', 'g')"
+    pairs = lambda v: f"list_distinct(list_transform(range(1, greatest(length({v}) - 1, 1) + 1), lambda i: substring({v}, i, 2)))"
+    return f"""(SELECT CASE WHEN x = '' OR y = '' THEN false
+      WHEN x = y OR (length(x) >= 12 AND (contains(y, x) OR contains(x, y))) THEN true
+      ELSE 2.0 * len(list_intersect({pairs('x')}, {pairs('y')})) / (len({pairs('x')}) + len({pairs('y')})) >= 0.88 END
+      FROM (SELECT {norm(a)} AS x, {norm(b)} AS y))"""

@@ -131,8 +131,10 @@ g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM m),
 b AS (SELECT doc_id, min(i) AS i, string_agg(ln, chr(10) ORDER BY i) AS u FROM g GROUP BY doc_id, grp HAVING trim(string_agg(ln, chr(10) ORDER BY i), ' ' || chr(9) || chr(13)) <> ''),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS seq, CASE WHEN starts_with(u, '### ') THEN 'heading_3' WHEN starts_with(u, '## ') THEN 'heading_2' WHEN starts_with(u, '# ') THEN 'heading_1'
   WHEN starts_with(u, '|') THEN 'code' WHEN starts_with(u, '- ') THEN 'bulleted_list_item' WHEN regexp_matches(u, '^\d+\.\s') THEN 'numbered_list_item' ELSE 'paragraph' END AS kind FROM b),
-c AS (SELECT *, CASE WHEN kind = 'code' THEN u WHEN kind = 'numbered_list_item' THEN trim(regexp_replace(u, '^\d+\.\s', '')) WHEN kind = 'paragraph' THEN trim(u) ELSE trim(regexp_replace(u, '^(#{1,3}|-) ', '')) END AS t FROM k)
-SELECT doc_id, seq, (seq - 1) // 100 AS block_batch, kind, md5(CASE WHEN length(t) > 2000 AND NOT starts_with(kind, 'heading') THEN left(t, 1997) || '...' ELSE t END) AS content_md5 FROM c""")
+c AS (SELECT *, CASE WHEN kind = 'code' THEN u WHEN kind = 'numbered_list_item' THEN trim(regexp_replace(u, '^\d+\.\s', '')) WHEN kind = 'paragraph' THEN trim(u) ELSE trim(regexp_replace(u, '^(#{1,3}|-) ', '')) END AS t FROM k),
+s AS (SELECT doc_id, seq AS unit, kind, t, unnest(range(CASE WHEN starts_with(kind, 'heading') THEN 1 ELSE greatest(1, (length(t) + 1999) // 2000) END)) AS part FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit, part) AS seq FROM s)
+SELECT doc_id, seq, (seq - 1) // 100 AS block_batch, kind, md5(CASE WHEN starts_with(kind, 'heading') THEN t ELSE substring(t, part * 2000 + 1, 2000) END) AS content_md5 FROM r""")
 def a12(spark, sf):
     text = F.concat(F.lit("# Doc "), "doc_id", F.lit("\n| a | b |\n| 1 | 2 |\n2. second\n"), "text")
     blocks = R.report_blocks(A.table(spark, sf, "documents").select("doc_id", text.alias("x")), ["doc_id"], "x")

@@ -11,7 +11,7 @@ from daymill.operators import hours as H
 from daymill.operators import stats as ST
 from daymill.operators.ordered import GROUP, pack_batches
 from daymill.plans import report as R
-from daymill.plans.catalog.base import query
+from daymill.plans.catalog.base import near_duplicate_sql, query
 from daymill.plans.catalog.segments import job, text_job
 from daymill.sources import samples as A
 
@@ -124,13 +124,16 @@ def c15(spark, sf):
 
 
 @query("c16_hour_timeline_rows", f"""WITH {LAB} SELECT {KEY}, active_sec // 60 AS active_min, CASE WHEN lt <> '' THEN lt WHEN labels[1] IS NOT NULL THEN labels[1] ELSE '（不明）' END AS display_title,
- CASE WHEN ls <> '' THEN ls ELSE obs END AS display_summary, array_to_string(labels[1:2], ', ') AS screens FROM lp""")
+ CASE WHEN ls <> '' THEN ls ELSE obs END AS display_summary, array_to_string(labels, ', ') AS screens FROM lp""")
 def c16(spark, sf):
     return H.hour_timeline_rows(labelled(spark, sf)).select(
         *GROUP, "hour_start_ts", "active_min", "display_title", "display_summary", "screens")
 
 
-@query("c16_hour_intents")
+@query("c16_hour_intents", f"""WITH {DAILY}, {OV}, x AS (SELECT ov.source_id, ov.day, ov.hour_start_ts, CASE WHEN ls <> '' THEN ls ELSE obs END AS shown,
+  CASE WHEN t <> '' OR s <> '' THEN t || ' (' || daily_title || ')' ELSE '' END AS rich
+  FROM ov LEFT JOIN daily ON ov.source_id = daily.source_id AND ov.day = daily.day)
+SELECT {KEY}, CASE WHEN rich = '' THEN '' WHEN {near_duplicate_sql('x.shown', 'x.rich')} THEN '（観測の要約と近いため省略）' ELSE rich END AS intent FROM x""")
 def c16i(spark, sf):
     lab, _, enr = enriched(spark, sf)
     both = lab.drop("hour_title_enriched", "hour_summary_enriched").join(enr.drop("version"), H.HOUR, "left")
@@ -158,15 +161,15 @@ t AS (SELECT h.source_id, h.day, h.f, COALESCE(s.g, 0) AS g FROM (SELECT source_
 tt AS (SELECT source_id, day, list(title ORDER BY i) AS l FROM (SELECT source_id, day, title, min(idx) AS i FROM hidx GROUP BY ALL) GROUP BY ALL),
 sm AS (SELECT source_id, day, arg_min(CASE WHEN length(summary) > 90 THEN rtrim(left(summary, 89)) || '…' ELSE summary END, idx) AS s FROM hidx WHERE summary <> '' GROUP BY ALL),
 tl2 AS (SELECT source_id, day, string_agg('### ' || strftime(hr, '%H:00') || '〜' || strftime(hr, '%H:59') || '（推定稼働: ' || (active_sec // 60) || '分）' || chr(10) || chr(10) || '- 主な作業: ' || title
-   || CASE WHEN summary <> '' THEN chr(10) || '- 概要: ' || summary ELSE '' END || chr(10) || '- 主な作業画面: ' || array_to_string(labels[1:2], ', ') || chr(10), chr(10) ORDER BY hr) AS body FROM hrow GROUP BY ALL)
+   || CASE WHEN summary <> '' THEN chr(10) || '- 概要: ' || summary ELSE '' END || chr(10) || '- 主な作業画面: ' || array_to_string(labels, ', ') || chr(10), chr(10) ORDER BY hr) AS body FROM hrow GROUP BY ALL)
 SELECT c.source_id, CAST(c.day AS VARCHAR) AS day, '# 作業ログ ' || c.day || chr(10) || chr(10) || '<details>' || chr(10) || '<summary>📊 LLMサマリー</summary>' || chr(10) || chr(10)
  || '- 記録期間: ' || strftime(a, '%H:%M') || ' 〜 ' || strftime(b, '%H:%M') || CASE WHEN w > 0 THEN '（約' || {_HM('w')} || '）' ELSE '' END || chr(10)
  || '- キャプチャ数: ' || n || '回（有効 ' || v || ' / 除外 ' || x || ' / 失敗 ' || e || '）' || chr(10)
  || '- 推定総時間: ' || {_HM('g')} || '（有効分のみ） / ' || {_HM('f')} || '（除外・失敗も含む）' || chr(10) || '- LLM使用量（内訳）:' || chr(10)
  || '  - segment-llm（任意: enrich）: 未実行' || chr(10) || '  - hour-llm（タイムライン用）: 未実行' || chr(10) || '  - daily-llm（総括用）: 未実行' || chr(10)
  || '  - hour-enrich-llm（目的・意味付け）: 未実行' || chr(10) || '  - 合計: input 0 / output 0 tokens（cost: n/a / n/a）' || chr(10) || chr(10) || '</details>' || chr(10) || chr(10)
- || '## 本日のメイン作業（総括）' || chr(10) || chr(10) || '- 推定: ' || array_to_string(l[1:6], ' / ') || COALESCE(chr(10) || '- 概要: ' || sm.s, '') || chr(10) || chr(10) || '### ハイライト' || chr(10) || chr(10)
- || array_to_string(list_transform(l[1:5], lambda z: '- ' || z), chr(10)) || chr(10) || chr(10) || '## タイムライン（推定・1時間）' || chr(10) || chr(10) || tl2.body || chr(10) || chr(10)
+ || '## 本日のメイン作業（総括）' || chr(10) || chr(10) || '- 推定: ' || array_to_string(l, ' / ') || COALESCE(chr(10) || '- 概要: ' || sm.s, '') || chr(10) || chr(10) || '### ハイライト' || chr(10) || chr(10)
+ || array_to_string(list_transform(l, lambda z: '- ' || z), chr(10)) || chr(10) || chr(10) || '## タイムライン（推定・1時間）' || chr(10) || chr(10) || tl2.body || chr(10) || chr(10)
  || '## 参考（データ品質）' || chr(10) || chr(10) || '- 除外: ' || x || '回' || chr(10) || '- スクショ/OCR失敗: ' || e || '回' || chr(10) AS report
 FROM c JOIN t ON c.source_id = t.source_id AND c.day = t.day JOIN tt ON c.source_id = tt.source_id AND c.day = tt.day LEFT JOIN sm ON c.source_id = sm.source_id AND c.day = sm.day
 JOIN tl2 ON c.source_id = tl2.source_id AND c.day = tl2.day""")

@@ -116,8 +116,8 @@ def f7(spark, sf):
 
 
 def _doc_hit(t: str) -> str:
-    return f"""CASE WHEN contains(left({t}, 4000), 'token') THEN 'text_kw:token' WHEN contains(left({t}, 4000), 'licensed')
-      THEN 'text_kw:licensed' WHEN contains(left({t}, 4000), 'The ') THEN 'text_kw:The ' END"""
+    return f"""CASE WHEN contains({t}, 'token') THEN 'text_kw:token' WHEN contains({t}, 'licensed')
+      THEN 'text_kw:licensed' WHEN contains({t}, 'The ') THEN 'text_kw:The ' END"""
 
 
 SHOWN2 = """s2 AS (SELECT e.*, CASE WHEN off1 THEN '' ELSE a.text END AS t1, CASE WHEN off2 THEN '' ELSE b.text END AS t2, a.text AS raw1

@@ -147,9 +147,9 @@ def e15(spark, sf):
 
 @query("b6_eligible_hours", """
 SELECT source_id, CAST(day AS VARCHAR) AS day, strftime(hr, '%H') AS hour, active_sec AS active_sec_est FROM (
- SELECT *, row_number() OVER (PARTITION BY source_id, day ORDER BY active_sec DESC, hr) AS rn FROM hours WHERE active_sec >= 800) WHERE rn <= 8""")
+ SELECT *, row_number() OVER (PARTITION BY source_id, day ORDER BY active_sec DESC, hr) AS rn FROM hours WHERE active_sec >= 800)""")
 def b6(spark, sf):
-    kept = eligible_hours(job(spark, sf).hours, ["source_id", "day"], min_sec=800, max_hours=8)
+    kept = eligible_hours(job(spark, sf).hours, ["source_id", "day"], min_sec=800)
     return kept.select("source_id", "day", F.substring("hour_start_ts", 12, 2).alias("hour"), "active_sec_est")
 
 

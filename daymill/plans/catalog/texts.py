@@ -11,7 +11,7 @@ from daymill.functions.similarity import with_near_duplicate
 from daymill.operators import texts as X
 from daymill.operators.context import select_primary_text
 from daymill.operators.ordered import ordered_distinct
-from daymill.plans.catalog.base import TS, query
+from daymill.plans.catalog.base import TS, near_duplicate_sql, query
 from daymill.plans.catalog.segments import job, text_job
 from daymill.sources import samples as A
 
@@ -90,7 +90,7 @@ def i8(spark, sf):
         "doc_id", "pos", F.md5(T.sentence_norm(F.col("s"))).alias("norm_md5"))
 
 
-@query("i9_common_text_norm", f"SELECT doc_id, left(replace({NORM.replace('lower(s)', 'lower(col)')}, ' ', ''), 240) AS norm FROM coldoc")
+@query("i9_common_text_norm", f"SELECT doc_id, replace({NORM.replace('lower(s)', 'lower(col)')}, ' ', '') AS norm FROM coldoc")
 def i9(spark, sf):
     return docs(spark, sf).select("doc_id", T.common_text_norm(F.col("text")).alias("norm"))
 
@@ -199,7 +199,12 @@ def b10(spark, sf):
     return docs(spark, sf).select("doc_id", T.is_abstract(F.concat(lead, F.col("text"))).alias("abstract"))
 
 
-@query("b11_is_near_duplicate")
+@query("b11_is_near_duplicate", f"""
+WITH t AS (SELECT a.conv_id, a.turn, a.text, coalesce(b.text, '') AS prev FROM conversations a
+    LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
+k AS (SELECT conv_id, turn, 'prev' AS kind, text, prev AS other FROM t
+    UNION ALL SELECT conv_id, turn, 'edited', text, regexp_replace(text, '([0-9A-Za-z_]+)[ \\t\\n\\x0b\\f\\r]', '\\1, ', 'g') FROM t)
+SELECT conv_id, turn, kind, {near_duplicate_sql('k.text', 'k.other')} AS is_near_duplicate FROM k""")
 def b11(spark, sf):
     """Turn texts next to the previous turn's text and to a lightly edited copy."""
     turns = A.table(spark, sf, "conversations")

@@ -35,7 +35,7 @@ def c12(spark, sf):
 
 NOTE = """nt AS (SELECT source_id, day, lower(title) AS low, arg_min(title, idx) AS t, min(idx) AS i FROM hidx GROUP BY source_id, day, lower(title)),
 ns AS (SELECT source_id, day, lower(summary) AS low, arg_min(summary, idx) AS t, min(idx) AS i FROM hidx WHERE summary <> '' GROUP BY source_id, day, lower(summary)),
-note AS (SELECT s.source_id, s.day, s.week_start, s.status, s.reason, s.total, t.l[1:4] AS titles, COALESCE(n.l, [])[1:4] AS notes FROM snap s
+note AS (SELECT s.source_id, s.day, s.week_start, s.status, s.reason, s.total, t.l AS titles, COALESCE(n.l, []) AS notes FROM snap s
  JOIN (SELECT source_id, day, list(t ORDER BY i) AS l FROM nt GROUP BY ALL) t ON s.source_id = t.source_id AND s.day = t.day
  LEFT JOIN (SELECT source_id, day, list(t ORDER BY i) AS l FROM ns GROUP BY ALL) n ON s.source_id = n.source_id AND s.day = n.day)"""
 WEEKDAY = "(['月', '火', '水', '木', '金', '土', '日'])[isodow({d})]"
@@ -43,7 +43,7 @@ WEEKDAY = "(['月', '火', '水', '木', '金', '土', '日'])[isodow({d})]"
 
 @query("c14_day_note_hourly", f"""
 WITH {NOTE} SELECT source_id, CAST(week_start AS VARCHAR) AS week_start, CAST(day AS VARCHAR) AS day, {WEEKDAY.format(d='day')} AS weekday, titles[1] AS title,
- COALESCE(notes[1], '') AS overview, array_to_string(notes[2:3], ' ') AS detail, '' AS highlights, array_to_string(titles, '|') AS hour_titles,
+ COALESCE(notes[1], '') AS overview, array_to_string(notes[2:], ' ') AS detail, '' AS highlights, array_to_string(titles, '|') AS hour_titles,
  array_to_string(notes, '|') AS hour_narratives, status, reason AS incomplete_reason, total AS total_active_sec_est FROM note""")
 def c14(spark, sf):
     return W.day_notes(snaps(spark, sf))
@@ -55,7 +55,7 @@ q AS (SELECT note.*, extract(day FROM note.day) % 2 = 0 AS dd, fl.ft, fl.lt, fl.
   CASE WHEN lower(fl.ft) = lower(fl.lt) THEN [fl.ft, 'see http://x.com'] ELSE [fl.ft, 'see http://x.com', fl.lt] END AS hl FROM note JOIN fl ON note.source_id = fl.source_id AND note.day = fl.day)
 SELECT source_id, CAST(week_start AS VARCHAR) AS week_start, CAST(day AS VARCHAR) AS day, CASE WHEN dd THEN 'Day of ' || ft ELSE titles[1] || ' again' END AS title,
  CASE WHEN dd THEN n || ' hours seen' WHEN len(notes) > 0 THEN notes[1] ELSE titles[1] || ' againを中心に進めた。' END AS overview,
- CASE WHEN len(notes) >= 2 THEN array_to_string(notes[2:3], ' ') WHEN dd THEN '主な論点は' || array_to_string(hl, '、') || '。' ELSE '' END AS detail,
+ CASE WHEN len(notes) >= 2 THEN array_to_string(notes[2:], ' ') WHEN dd THEN '主な論点は' || array_to_string(hl, '、') || '。' ELSE '' END AS detail,
  CASE WHEN dd THEN array_to_string(hl, '|') ELSE '' END AS highlights FROM q""")
 def c13(spark, sf):
     return W.day_notes(snaps(spark, sf), rich=True).select(*W.WEEK, "day", "title", "overview", "detail", "highlights")
@@ -67,7 +67,7 @@ def e19(spark, sf):
 
 
 FB = """fi AS (SELECT source_id, CAST(date_trunc('week', day) AS DATE) AS week_start, day, idx, CAST(day AS VARCHAR) || ':' || idx AS id,
-  array_to_string(labels[1:2], ' / ') AS name, active_sec FROM hidx),
+  array_to_string(labels, ' / ') AS name, active_sec FROM hidx),
 fb0 AS (SELECT source_id, week_start, lower(name) AS k, arg_min(name, (day, idx)) AS name, CAST(sum(active_sec) AS BIGINT) AS sec, list(id ORDER BY day, idx) AS ids FROM fi GROUP BY ALL),
 fb AS (SELECT *, 'fallback-' || row_number() OVER (PARTITION BY source_id, week_start ORDER BY sec DESC, name) AS cid FROM fb0)"""
 
@@ -103,16 +103,16 @@ def e21(spark, sf):
 
 @query("e24_week_themes", f"""
 WITH {NOTE}, w AS (SELECT source_id, week_start, lower(titles[1]) AS low, arg_min(titles[1], day) AS t, min(day) AS d FROM note GROUP BY source_id, week_start, lower(titles[1]))
-SELECT source_id, CAST(week_start AS VARCHAR) AS week_start, array_to_string(list(t ORDER BY d)[1:3], '|') AS themes FROM w GROUP BY source_id, week_start""")
+SELECT source_id, CAST(week_start AS VARCHAR) AS week_start, array_to_string(list(t ORDER BY d), '|') AS themes FROM w GROUP BY source_id, week_start""")
 def e24(spark, sf):
     return W.week_themes(W.day_notes(snaps(spark, sf)))
 
 
 FALL = f"""{NOTE}, w0 AS (SELECT source_id, week_start, lower(titles[1]) AS low, arg_min(titles[1], day) AS t, min(day) AS d FROM note GROUP BY source_id, week_start, lower(titles[1])),
-w AS (SELECT source_id, week_start, list(t ORDER BY d)[1:3] AS th FROM w0 GROUP BY source_id, week_start),
+w AS (SELECT source_id, week_start, list(t ORDER BY d) AS th FROM w0 GROUP BY source_id, week_start),
 wd AS (SELECT *, row_number() OVER (PARTITION BY source_id, week_start ORDER BY day) AS dn FROM note),
-wa AS (SELECT source_id, week_start, count(*) AS n, COALESCE(string_agg(CASE WHEN dn <= 4 AND status = 'complete' AND notes[1] IS NOT NULL THEN day || '（' || {WEEKDAY.format(d='day')} || '）は' || notes[1] END, ' ' ORDER BY day), '') AS dd FROM wd GROUP BY ALL),
-fall AS (SELECT w.source_id, w.week_start, (CASE WHEN length(array_to_string(th[1:2], 'と')) <= 36 THEN array_to_string(th[1:2], 'と') ELSE th[1] END) || 'を進めた週' AS weekly_title,
+wa AS (SELECT source_id, week_start, count(*) AS n, COALESCE(string_agg(CASE WHEN status = 'complete' AND notes[1] IS NOT NULL THEN day || '（' || {WEEKDAY.format(d='day')} || '）は' || notes[1] END, ' ' ORDER BY day), '') AS dd FROM wd GROUP BY ALL),
+fall AS (SELECT w.source_id, w.week_start, (CASE WHEN length(array_to_string(th, 'と')) <= 36 THEN array_to_string(th, 'と') ELSE th[1] END) || 'を進めた週' AS weekly_title,
  '今週は' || th[1] || 'を軸に進めた。 ' || CASE WHEN n >= 2 THEN n || '日分の記録から、前半から後半にかけて論点を整理しながら作業を前進させたことが読み取れる。' ELSE '記録のある日は限られるものの、継続的に進めたテーマが確認できる。' END AS weekly_summary,
  CASE WHEN dd = '' THEN '' ELSE dd || ' ' END || '週全体では' || th[1] || 'を中心に、関連する判断や整理を積み重ねていた。 次のアクションは、週内で整理した論点を具体的な実装や連携作業へ落とし込むことにある。' AS weekly_detail,
  th AS highlights, n FROM w JOIN wa ON w.source_id = wa.source_id AND w.week_start = wa.week_start)"""
@@ -206,7 +206,7 @@ def m5(spark, sf):
 REPORT = f"""{FALL}, tot AS (SELECT source_id, week_start, CAST(sum(total) AS BIGINT) AS s FROM snap GROUP BY ALL),
 hm AS (SELECT *, CASE WHEN s >= 3600 THEN (s // 3600) || '時間' ELSE '' END || (s % 3600 // 60) || '分' AS hm FROM tot),
 cal AS (SELECT k.source_id, k.week_start, k.week_start + CAST(i AS INTEGER) AS day FROM (SELECT DISTINCT source_id, week_start FROM snap) k, range(0, 7) r(i)),
-dayl AS (SELECT c.source_id, c.week_start, c.day, COALESCE(n.total, 0) AS t, COALESCE(n.notes[1], '') AS ov, COALESCE(array_to_string(n.notes[2:3], ' '), '') AS de
+dayl AS (SELECT c.source_id, c.week_start, c.day, COALESCE(n.total, 0) AS t, COALESCE(n.notes[1], '') AS ov, COALESCE(array_to_string(n.notes[2:], ' '), '') AS de
   FROM cal c LEFT JOIN note n ON c.source_id = n.source_id AND c.day = n.day),
 dl AS (SELECT source_id, week_start, string_agg('### ' || day || '（' || {WEEKDAY.format(d='day')} || '）' || chr(10) || chr(10) || '- 推定作業時間: '
    || CASE WHEN t >= 3600 THEN (t // 3600) || '時間' ELSE '' END || (t % 3600 // 60) || '分'

@@ -95,7 +95,7 @@ def weekly_report_lines(
         _join("- 対象期間: ", span), _join("- 推定総作業時間: ", duration_text(F.col("total_active_sec_est"))), "- 対象日数: 7日"]
     title = _join(WEEK_HEAD, F.col("week_start").cast("string"), " - ", week_end(F.col("week_start")).cast("string"))
     t = {c: F.trim(T.text_of(F.col(c))) for c in ("weekly_title", "weekly_summary", "weekly_detail")}
-    hl = F.slice(F.filter(F.coalesce("highlights", F.array().cast("array<string>")), lambda h: F.trim(h) != ""), 1, 5)
+    hl = F.filter(F.coalesce("highlights", F.array().cast("array<string>")), lambda h: F.trim(h) != "")
     found = F.col("weekly_title").isNotNull() | F.col("weekly_summary").isNotNull()
     body = F.when(found, F.concat(
         _when(t["weekly_title"] != "", _join("- タイトル: ", t["weekly_title"])),
@@ -161,7 +161,7 @@ def daily_report_lines(
                _join("- 推定総時間: ", valid, "（有効分のみ） / ", full, "（除外・失敗も含む）"))
         .otherwise(_join("- 推定総時間: ", valid, "（有効分のみ）")),
         USAGE_HEAD)
-    points = F.slice(F.filter(F.coalesce("highlights", F.array().cast("array<string>")), lambda h: F.trim(h) != ""), 1, 5)
+    points = F.filter(F.coalesce("highlights", F.array().cast("array<string>")), lambda h: F.trim(h) != "")
     by_model = F.concat(
         _when(dt != "", _join("- 推定: ", F.trim("daily_title"))), _when(ds != "", _join("- 概要: ", ds)),
         _when(F.size(points) > 0, "", "### ハイライト", ""), F.transform(points, lambda h: _join("- ", h)))
@@ -169,8 +169,8 @@ def daily_report_lines(
     said = F.filter(F.transform("_hours", lambda h: T.shorten(h["summary"], 90)), lambda x: x != "")
     over = F.coalesce(F.get(said, F.lit(0)), F.get("_hours", F.lit(0))["shown"], F.lit(""))
     by_rule = F.when(F.coalesce(F.size(shown), F.lit(0)) > 0, F.concat(
-        _lines(_join("- 推定: ", F.array_join(F.slice(shown, 1, 6), " / "))), _when(over != "", _join("- 概要: ", over)),
-        _lines("", "### ハイライト", ""), F.transform(F.slice(shown, 1, 5), lambda h: _join("- ", h)))).otherwise(F.array(F.lit(NO_LOG)))
+        _lines(_join("- 推定: ", F.array_join(shown, " / "))), _when(over != "", _join("- 概要: ", over)),
+        _lines("", "### ハイライト", ""), F.transform(shown, lambda h: _join("- ", h)))).otherwise(F.array(F.lit(NO_LOG)))
     top = F.concat(
         _lines(title, "", *FOLD), facts, _usage_lines(DAY_STAGES, usage is not None), _lines(*UNFOLD),
         _lines("## 本日のメイン作業（総括）", ""), F.when((dt != "") | (ds != ""), by_model).otherwise(by_rule),
@@ -193,28 +193,31 @@ def daily_report_lines(
 
 # ---- blocks ------------------------------------------------------------------------------
 
-def report_blocks(df: DataFrame, by: Sequence[str], text: str) -> DataFrame:
+def report_blocks(df: DataFrame, by: Sequence[str], text: str, block_chars: int = K.BLOCK_CHARS) -> DataFrame:
     """Typed blocks of a report text: ``by, seq, block_batch, kind, content``.
 
     One pattern finds the blocks, a run of table lines counting as one, so a text is
-    split inside its own row and nothing is shuffled.
+    split inside its own row and nothing is shuffled.  A block longer than ``block_chars``
+    continues in further blocks of its kind; headings stay whole.
     """
     units = F.filter(
         F.regexp_extract_all(F.col(text), F.lit(r"(?md)^(\|[^\n]*(?:\n\|[^\n]*)*+|[^\n]+)$"), F.lit(1)),
         lambda u: T.strip_ws(u) != "")
-    rows = df.select(*by, F.posexplode(units).alias("_i", "_u"))
-    u = F.col("_u")
-    kind = (
+    kind = lambda u: (
         F.when(u.startswith("### "), "heading_3").when(u.startswith("## "), "heading_2").when(u.startswith("# "), "heading_1")
         .when(u.startswith("|"), "code").when(u.startswith("- "), "bulleted_list_item")
         .when(u.rlike(r"(?U)^\d+\.\s"), "numbered_list_item").otherwise("paragraph"))
-    raw = (
-        F.when(F.col("kind") == "code", u).when(F.col("kind") == "numbered_list_item", T.strip_ws(F.regexp_replace(u, r"(?U)^\d+\.\s", "")))
-        .when(F.col("kind") == "paragraph", T.strip_ws(u))
-        .otherwise(T.strip_ws(F.regexp_replace(u, "^(#{1,3}|-) ", ""))))
-    capped = (F.length("_c") > K.BLOCK_CHARS) & ~F.col("kind").startswith("heading")
-    return rows.withColumn("kind", kind).withColumn("_c", raw).select(
-        *by, (F.col("_i") + 1).alias("seq"), F.floor(F.col("_i") / K.BLOCKS_PER_BATCH).alias("block_batch"), "kind",
-        F.when(capped, _join(F.substring("_c", 1, K.BLOCK_CHARS - 3), "...")).otherwise(F.col("_c")).alias("content"))
 
+    def content(u: Column, k: Column) -> Column:
+        return (
+            F.when(k == "code", u).when(k == "numbered_list_item", T.strip_ws(F.regexp_replace(u, r"(?U)^\d+\.\s", "")))
+            .when(k == "paragraph", T.strip_ws(u)).otherwise(T.strip_ws(F.regexp_replace(u, "^(#{1,3}|-) ", ""))))
 
+    def parts(k: Column, c: Column) -> Column:
+        last = F.when(k.startswith("heading"), 0).otherwise(F.greatest(F.lit(0), F.floor((F.length(c) - 1) / block_chars).cast("int")))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+            k.alias("kind"), F.when(k.startswith("heading"), c).otherwise(F.substr(c, i * block_chars + 1, F.lit(block_chars))).alias("content")))
+
+    blocks = F.flatten(F.transform(units, lambda u: T.let(kind(u), lambda k: T.let(content(u, k), lambda c: parts(k, c)))))
+    return df.select(*by, F.posexplode(blocks).alias("_i", "_b")).select(
+        *by, (F.col("_i") + 1).alias("seq"), F.floor(F.col("_i") / K.BLOCKS_PER_BATCH).alias("block_batch"), "_b.kind", "_b.content")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import difflib
 import json
 import random
 
@@ -233,10 +232,10 @@ def test_blocks(spark):
     df = spark.createDataFrame([(1, "# h\n- b\n|t1\n|t2\n\n p \n1. one\n" + "z" * 2500)], "d int, x string")
     got = [(r["kind"], r["content"]) for r in P.report_blocks(df, ["d"], "x").orderBy("seq").collect()]
     assert got[:5] == [("heading_1", "h"), ("bulleted_list_item", "b"), ("code", "|t1\n|t2"), ("paragraph", "p"), ("numbered_list_item", "one")]
-    assert len(got[5][1]) == 2000 and got[5][1].endswith("...")
+    assert got[5:] == [("paragraph", "z" * 2000), ("paragraph", "z" * 500)]
 
 
-def test_near_duplicates_match_plain_difflib(spark):
+def test_near_duplicates_match_a_plain_count(spark):
     rng = random.Random(3)
     base = ["".join(rng.choices("abcde fgh.", k=rng.randint(0, 40))) for _ in range(60)]
     pairs = [(a, rng.choice(base) if rng.random() < 0.5 else a[: rng.randint(0, len(a))] + rng.choice(["", "x", "yz"])) for a in base]
@@ -246,11 +245,40 @@ def test_near_duplicates_match_plain_difflib(spark):
         x, y = strip(a), strip(b)
         if not x or not y:
             return False
-        return x == y or (len(x) >= 12 and (x in y or y in x)) or difflib.SequenceMatcher(None, x, y).ratio() >= 0.88
+        p, q = ({s[i:i + 2] for i in range(max(1, len(s) - 1))} for s in (x, y))
+        return x == y or (len(x) >= 12 and (x in y or y in x)) or 2 * len(p & q) / (len(p) + len(q)) >= 0.88
 
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     got = {r["i"]: r["is_near_duplicate"] for r in with_near_duplicate(df, "a", "b").collect()}
     assert got == {i: plain(a, b) for i, (a, b) in enumerate(pairs)}
+    assert 5 < sum(got.values()) < 55
+
+
+def test_nothing_is_cut(spark):
+    """A rule at the end of a long text, long titles, long blocks, the 25th hour and the 81st segment."""
+    from daymill.operators.enrich import label_segments
+    from daymill.operators.filters import ExclusionRules, eligible_hours, exclude_two_stage, exclusion_reason, match_rules
+    from daymill.operators.sessions import with_context
+    from daymill.plans.report import report_blocks
+
+    shown = "array<struct<display:int,ocr_text:string,excluded:boolean,excluded_reason:string>>"
+    df = spark.createDataFrame(
+        [("a", "t" * 90 + "1", None, [(1, "x" * 5000 + "SECRET", None, None)], 1, ""), ("a", "t" * 90 + "2", None, [], 1, "")],
+        f"active_app string, window_title string, browser struct<name:string,url:string,domain:string>, ocr_by_display {shown}, active_display int, ocr_text string")
+    rules = ExclusionRules(apps=["Src3"], domain_keywords=["Bank"], text_keywords=["SECRET"])
+    assert exclude_two_stage(df, rules).first()["excluded_reason"] == "text_kw:SECRET"
+    assert with_context(df).select("segment_key").distinct().count() == 2
+    blocks = report_blocks(spark.createDataFrame([(1, "p" * 5000 + "\nq")], "i int, t string"), ["i"], "t").orderBy("seq").collect()
+    assert [len(b["content"]) for b in blocks] == [2000, 2000, 1000, 1] and [b["seq"] for b in blocks] == [1, 2, 3, 4]
+    hours = spark.createDataFrame([("s", h, 600) for h in range(25)], "s string, hour_key int, active_sec_est int")
+    assert eligible_hours(hours, ["s"]).count() == 25 and eligible_hours(hours, ["s"], max_hours=24).count() == 24
+    segments = spark.createDataFrame([("s", dt.date(2024, 1, 1), i, "l", 1, 1) for i in range(90)], "source_id string, day date, segment_id long, label string, captures int, duration_sec int")
+    assert label_segments(segments).count() == 90
+    apps = spark.createDataFrame([("SRC3", "x.BANK.com"), ("other", "my.bank.org"), (None, None)], "a string, d string")
+    why = exclusion_reason(F.col("a"), F.col("d"), F.lit(""), None, rules).alias("w")
+    table = spark.createDataFrame([("app", "Src3", 0), ("domain_kw", "Bank", 1), *[("text_kw", f"no such {i}", i + 2) for i in range(5000)]], "kind string, pattern string, rank int")
+    assert [r.w for r in apps.select(why).collect()] == ["app:SRC3", "domain_kw:Bank", None]
+    assert [r.rule_reason for r in match_rules(apps, table, F.col("a"), F.col("d"), F.lit("")).collect()] == ["app:SRC3", "domain_kw:Bank", None]
 
 
 def test_snippets(spark):

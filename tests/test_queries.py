@@ -18,6 +18,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not here")
 
 
+# Queries beyond SQL, held against hand-made rows in test_golden.py; the added ones have tests of their own.
+TESTED_ELSEWHERE = {"g7_rank_snippets", "e23_segment_snippets"}
+ADDED = ("op", "pipeline")
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -30,7 +35,8 @@ def test_query(spark, con, name):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert df.columns and df.count() >= 0
+        assert name in TESTED_ELSEWHERE or name.startswith(ADDED)
+        assert df.columns and df.count() > 0
     else:
         diff, _ = compare(df, con, sql)
         assert diff is None
