@@ -5,9 +5,10 @@
    shingles are shared, so most documents end here.  Collisions only let a few more go on.
 2. *Groups.*  Documents with equal sets are one class.  Shingles are ordered from rare to frequent; two sets
    that are similar enough share one in their prefixes.  Classes with identical prefix and size are one group.
-3. *Pairs.*  Groups that share a prefix shingle, fit in size and are not connected yet are paired: first
-   each shingle's groups with the first of them, for some rounds, then all remaining pairs, filtered by
-   the largest overlap that their prefixes allow.  Pairs of groups expand to pairs of classes.
+3. *Pairs.*  Groups that share a prefix shingle, fit in size, have enough left behind it and are not
+   connected yet are paired: first each shingle's groups with one of them (the one with the fewest
+   shingles of its own, then others), for some rounds, then all remaining pairs.  Pairs of groups
+   expand to pairs of classes.
 4. *Verification* counts the common shingles of each pair; links join components.
 
 No set of rows is held whole: shingle lists are split by hash, joins by key, and a hot shingle
@@ -34,10 +35,10 @@ from daymill.llm.base import query, slices, table
 from daymill.llm.components import components
 from daymill.session import staged
 
-BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_DOCS = 6 << 20, 1 << 15
 #: Rounds of pairing with the first group of a shingle before all remaining pairs are formed.
 STAR_ROUNDS = 3
-KEEP_WORDS = 400_000
+KEEP_WORDS = 150_000
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -207,7 +208,11 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, c, n, rest): the prefix shingles of each class that another class has too; ``rest`` is the size beyond the prefix."""
+    """(token, c, n, place, own): the prefix shingles of each class that another class has too.
+
+    ``place`` counts from 1 in the class's order, ``own`` is the number of shingles that no other class
+    has (they come first).
+    """
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, n, s in zip(*(b.column(x).to_pylist() for x in ("c", "n", "set")), strict=True):
@@ -221,8 +226,9 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return staged(
         tokens.join(shared, "token").select(
-            "token", "c", "n", (F.row_number().over(mine.orderBy("df", "token")) + F.col("n") - F.count("*").over(mine)).alias("place"))
-        .where(F.col("place") <= length).select("token", "c", "n", (F.col("n") - length).alias("rest")), "prefixes")
+            "token", "c", "n", (F.col("n") - F.count("*").over(mine)).alias("own"), F.row_number().over(mine.orderBy("df", "token")).alias("i"))
+        .select("token", "c", "n", (F.col("own") + F.col("i")).alias("place"), "own")
+        .where(F.col("place") <= length), "prefixes")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,26 +260,23 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     links = staged(verify(groups.where("g <> c").select(F.col("g").alias("a"), F.col("c").alias("b")), sets, percent), "links")
     done = [links]
     roots = components(links.where("ok"))
-    # members that differ from their group's first class are looked for on their own
-    alone = groups.where("g <> c").join(links.where("ok").select(F.col("b").alias("c")), "c", "left_anti").select("c")
+    # members that do not link to their group's first class are groups of their own
+    alone = staged(groups.where("g <> c").join(links.where("ok").select(F.col("b").alias("c")), "c", "left_anti").select("c"), "alone")
+    members = staged(groups.join(alone, "c", "left_anti").select("g", "c").union(alone.select("c", "c")), "members")
     heads = staged(heads.unionByName(posted.join(alone, "c", "left_semi").withColumnRenamed("c", "g")), "heads")
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    for number in range(STAR_ROUNDS + 1):
+    # at their first common shingle, two similar sets have enough left behind it; and no smaller size fits
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    fits = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
+
+    def live(roots: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+        """The posted shingles with the component of their group, and those that lie in several components."""
         now = heads.join(roots.select(F.col("node").alias("g"), "root"), "g", "left").withColumn("root", F.coalesce("root", "g"))
-        live = now.groupBy("token").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.hash("g", F.lit(number)), "g", "n", "root")).alias("f")).where("lo <> hi")
-        if number < STAR_ROUNDS:
-            pairs = now.join(live.select("token", "f"), "token").select(
-                F.least("g", F.col("f.g")).alias("a"), F.greatest("g", F.col("f.g")).alias("b"), "n", F.col("f.n").alias("n2"), "root", F.col("f.root").alias("root2")
-            ).where(fits & (F.col("root") != F.col("root2"))).select("a", "b").distinct()
-        else:
-            now = staged(now.join(live.select("token"), "token", "left_semi"), "rest")
-            other = now.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "rest", "root")))
-            pairs = now.join(other, "token").where(fits & (F.col("g") < F.col("g2")) & (F.col("root") != F.col("root2"))).groupBy(
-                F.col("g").alias("a"), F.col("g2").alias("b")).agg(
-                F.count("*").alias("common"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("rest").alias("rest"), F.first("rest2").alias("rest2"))
-            most = F.col("common") + F.greatest("rest", "rest2")
-            pairs = pairs.where((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))).select("a", "b")
+        central = F.struct(F.when(F.lit(number) == 0, F.col("own")).alias("own"), F.hash("g", F.lit(number)).alias("h"), "g", "n", "place", "root")
+        spread = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(central).alias("f")).where("lo <> hi")
+        return now, spread.select("token", "f")
+
+    def settle(roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Verify the new pairs and unite what they link; also how many there were."""
         for d in done:
             pairs = pairs.join(d.select("a", "b"), ["a", "b"], "left_anti")
         found = staged(verify(staged(pairs, "pairs"), sets, percent), "links")
@@ -281,9 +284,23 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         n = found.agg(F.count("*"), F.count_if("ok")).first()
         if n[1]:
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found.where("ok").select("a", "b")))
-        if not n[0] and number < STAR_ROUNDS:
+        return roots, n[0]
+
+    for number in range(STAR_ROUNDS):
+        now, spread = live(roots, number)
+        roots, new = settle(roots, now.join(spread, "token").select(
+            F.least("g", F.col("f.g")).alias("a"), F.greatest("g", F.col("f.g")).alias("b"), "n", F.col("f.n").alias("n2"),
+            "place", F.col("f.place").alias("place2"), "root", F.col("f.root").alias("root2")
+        ).where(fits & (F.col("root") != F.col("root2"))).select("a", "b").distinct())
+        if not new:
             break
-    return roots
+    now, spread = live(roots, STAR_ROUNDS)
+    now = staged(now.join(spread.select("token"), "token", "left_semi"), "rest")
+    other = now.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "n", "place", "root")))
+    across = fits & (F.col("g") < F.col("g2")) & (F.col("root") != F.col("root2"))
+    pairs = now.join(other, "token").where(across).select("g", "g2").distinct()
+    whole = pairs.join(members.toDF("g", "x"), "g").join(members.toDF("g2", "y"), "g2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return settle(roots, whole)[0]
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:

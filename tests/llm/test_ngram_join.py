@@ -60,3 +60,20 @@ def test_components(spark):
     want = roots({n for e in edges for n in e}, edges)
     assert got == {n: r for n, r in want.items() if n in got} and {n for e in edges if e[0] != e[1] for n in e} == set(got)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_of_members_beyond_their_groups_first(spark, monkeypatch):
+    """Sets with one prefix and size whose members differ in the rest: every member's links count."""
+    rng = random.Random(9)
+    docs, at = {}, 0
+    for family in range(12):
+        core = [f"f{family}w{i}" for i in range(40)]
+        for _ in range(14):
+            tail = rng.sample([f"f{family}t{i}" for i in range(6)], 3)
+            docs[at] = " ".join(core + tail * rng.randint(1, 4))
+            at += 1
+    for rounds in (0, 2):
+        monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df).collect()}
+        assert got == jaccard_components(docs)
