@@ -43,14 +43,15 @@ def a1_bad(spark, sf):
     return logs.read_events(spark, path)[1]
 
 
-@query("a2_append_events", """SELECT source_id, CAST(day AS VARCHAR) AS day, count(*) AS events, CAST(sum(ivl) AS BIGINT) AS interval_sum, count(*) FILTER (WHERE err) AS errors FROM ev GROUP BY ALL""")
+@query("a2_append_events", """SELECT source_id, CAST(day AS VARCHAR) AS day, row_number() OVER (PARTITION BY source_id, day ORDER BY seq % 2, seq) - 1 AS ingest_seq,
+ id, ivl AS interval_sec, err AS has_error FROM ev""")
 def a2(spark, sf):
     path = work_folder(spark, "logs")
     ev = A.events(spark, sf)
     logs.append_events(ev.filter("ingest_seq % 2 = 0"), path)
     logs.append_events(ev.filter("ingest_seq % 2 = 1"), path)
     good, _ = logs.read_events(spark, path)
-    return good.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("events"), F.sum("interval_sec").alias("interval_sum"), F.count_if("has_error").alias("errors"))
+    return good.select(*GROUP, "ingest_seq", "id", "interval_sec", "has_error")
 
 
 @query("a3_read_keyed_artifact", """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '{"role":"' || role || '"}' ELSE '{}' END AS artifact FROM conversations""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,31 +21,59 @@ FALSY = ["{}", "[]", '""', "null", "false", "0"]
 
 # ---- lines ---------------------------------------------------------------------
 
+#: Folders of appended logs; ``append`` grows with every append.
+LOG_SCHEMA = "value string, source_id string, day date, append long"
+_LAST = [0]
+
+
+def _children(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in a folder, or None where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else None
+
+
 def path_keys(file: Column) -> tuple[Column, Column]:
-    """Source and day from ``…/source_id=S/day=D/…`` or ``…/S/D.jsonl``."""
-    src = F.coalesce(F.nullif(F.regexp_extract(file, "source_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)/\d{4}-\d{2}-\d{2}[^/]*$", 1))
-    day = F.regexp_extract(file, r"(?:day=|/)(\d{4}-\d{2}-\d{2})[^0-9]", 1)
-    return src, day.try_cast("date")
+    """Source and day from ``…/S/D.jsonl``; the path is URL-encoded."""
+    plain = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    day = F.regexp_extract(plain, r"/(\d{4}-\d{2}-\d{2})[^0-9/][^/]*$", 1)
+    return F.regexp_extract(plain, r"([^/]+)/\d{4}-\d{2}-\d{2}[^/]*$", 1), day.try_cast("date")
+
 
+def raw_lines(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """``value, source_id, day`` and a line's place: append, file, block of the file, row.
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    ``where`` may name sources and days; of appended logs only their folders are opened.  A
+    missing folder has no lines.
+    """
+    names = _children(spark, path)
+    if names is None:
+        empty = spark.createDataFrame([], LOG_SCHEMA + ", _p string, _f string, _b long")
+        return empty.withColumn("_i", F.monotonically_increasing_id())
+    if any(n.startswith("source_id=") for n in names):
+        lines = spark.read.schema(LOG_SCHEMA).text(path)
+    else:
+        src, day = path_keys(F.col("_metadata.file_path"))
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+            "value", src.alias("source_id"), day.alias("day"), F.lit(0).cast("long").alias("append"), "_metadata")
+    if where is not None:
+        lines = lines.where(where)
+    return lines.select("value", *GROUP, "append", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_name").alias("_f"),
+                        F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+
+
+def read_lines(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """``source_id, day, ingest_seq, value``: lines of all logs under ``path``.
 
-    The position of a line is the number of lines before it in its source and day.
-    Files are counted split by split; only one row per split meets the others, so a
-    log of any size is numbered without passing through one task.
+    The position of a line is the number of lines before it in its source and day, in the order of
+    appends, then files, then lines.  Files are counted block by block; only one row per block
+    meets the others, so a log of any size is numbered without passing through one task.
     """
-    src, day = path_keys(F.col("_metadata.file_path"))
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        "value", src.alias("source_id"), day.alias("day"), F.col("_metadata.file_modification_time").alias("_m"),
-        F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
-        F.monotonically_increasing_id().alias("_i"))
-    rows = staged(raw, "log_lines")
-    unit = [*GROUP, "_m", "_f", "_b"]
-    splits = rows.groupBy(*unit).agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*GROUP).orderBy("_m", "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return rows.join(offsets, unit).select(
+    rows = raw_lines(spark, path, where)
+    blocks = rows.groupBy(*GROUP, "append", "_f", "_p", "_b").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*GROUP).orderBy("append", "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_p", "_b", "_lo", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return rows.join(offsets, ["_p", "_b"]).select(
         *GROUP, (F.col("_before") + F.col("_i") - F.col("_lo")).alias("ingest_seq"), "value")
 
 
@@ -88,9 +117,9 @@ def parse_events(lines: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(ok).select(*keep, *project_event(F.col("_v"))), rows.filter(~ok).select(*keep, "value")
 
 
-def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Events and bad lines of all logs under ``path``."""
-    return parse_events(read_lines(spark, path), *GROUP, "ingest_seq")
+def read_events(spark: SparkSession, path: str, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events and bad lines of the logs under ``path``, of all sources and days or those of ``where``."""
+    return parse_events(read_lines(spark, path, where), *GROUP, "ingest_seq")
 
 
 def event_json(events: DataFrame) -> Column:
@@ -107,10 +136,13 @@ def event_json(events: DataFrame) -> Column:
 def append_lines(lines: DataFrame, path: str) -> None:
     """Append ``source_id, day, ingest_seq, value`` as text, in order.
 
-    Rows are range-partitioned, so a big day spreads over files whose numbers keep the order.
+    Rows are range-partitioned, so a big day spreads over files whose numbers keep the order; the
+    folder of an append has a number larger than those before.
     """
     order = [*GROUP, "ingest_seq"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value", *GROUP).write.mode("append").partitionBy(*GROUP).text(path)
+    _LAST[0] = max(_LAST[0] + 1, time.time_ns() // 1000)
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value", *GROUP, F.lit(_LAST[0]).alias("append"))
+    rows.write.mode("append").partitionBy(*GROUP, "append").text(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

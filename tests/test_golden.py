@@ -376,3 +376,48 @@ def test_keywords_fall_back_to_words(spark):
     for r in X.top_keywords(df, ["d"], "t").orderBy("d", "rank").collect():
         got.setdefault(r["d"], []).append(r["token"])
     assert got == {1: ["words", "plain", "here"], 2: ["a.py", "x.com/y"]}
+
+
+def test_logs_keep_order_and_names(spark):
+    """One day over many files keeps the written order; names come back as they were; days are pruned."""
+    from daymill.session import work_folder
+
+    path = work_folder(spark, "logs")
+    names = ["a b:c", "x/y%41+z", "12345", "日本"]
+    day = dt.date(2024, 1, 2)
+    for lo in (0, 5000):
+        rows = spark.range(lo, lo + 5000).select(
+            F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 4 + 1).cast("int")).alias("source_id"),
+            F.lit(day).alias("day"), F.col("id").alias("ingest_seq"), F.col("id").cast("string").alias("value"))
+        logs.append_lines(rows.repartition(16), path)
+    logs.append_lines(rows.limit(3).withColumn("day", F.lit(dt.date(2024, 1, 3))), path)
+    got = logs.read_lines(spark, path, F.col("day") == F.lit(day))
+    assert len(got.inputFiles()) > 8
+    order = Window.partitionBy("source_id").orderBy("ingest_seq")
+    bad = got.withColumn("want", F.col("value").cast("long")).withColumn("before", F.lag("want").over(order))
+    assert bad.where(F.col("want") <= F.col("before")).count() == 0
+    r = got.groupBy("source_id").agg(F.count("*").alias("n"), F.min("ingest_seq").alias("lo"), F.max("ingest_seq").alias("hi")).collect()
+    assert sorted((x.source_id, x.n, x.lo, x.hi) for x in r) == sorted((n, 2500, 0, 2499) for n in names)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert logs.read_lines(spark, path + "-none").count() == 0
+
+
+def test_late_rows_and_blank_ids_of_streams(spark):
+    from daymill.session import work_folder
+    from daymill.streaming import jobs as J
+
+    base = work_folder(spark, "late")
+    path, day = f"{base}/logs", dt.date(2024, 1, 1)
+
+    def append(*rows):
+        lines = [("s", day, i, json.dumps({"ts": f"2024-01-01T{h:02}:00:00+00:00", "id": name, "interval_sec": sec})) for i, (h, name, sec) in enumerate(rows)]
+        logs.append_lines(spark.createDataFrame(lines, "source_id string, day date, ingest_seq long, value string"), path)
+        for job, name in ((J.stream_hourly_active, "hours"), (J.stream_dedupe, "ids")):
+            job(J.stream_events(spark, path), f"{base}/{name}", f"{base}/{name}-check").awaitTermination()
+
+    append((8, "a", 0), (16, "b", 100), (16, "", 60))
+    append((8, "c", 0), (8, "a", 0), (20, "", 60), (20, "b", 240))
+    hours = {r.hour_key.hour: r.active_sec_est for r in J.hourly_totals(spark, f"{base}/hours").collect()}
+    assert hours == {8: 720, 16: 160, 20: 300}  # rows without an interval take the day's last, 240
+    assert sorted(r.id for r in spark.read.parquet(f"{base}/ids").collect()) == ["", "", "a", "b", "c"]
