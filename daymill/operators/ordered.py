@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daymill.session import staged
+
 GROUP = ("source_id", "day")
 SLICE_SEC = 900
 
@@ -32,7 +34,8 @@ def number_runs(
     """Number the runs of equal ``key`` in time order, 0-based per group.
 
     A run ends when the key changes or when ``ts`` moves on by more than
-    ``max_gap_sec`` (strictly).  ``order[0]`` is the timestamp.
+    ``max_gap_sec`` (strictly).  ``order[0]`` is the timestamp.  The marked rows are written
+    once and read twice, so ``df`` should be narrow.
     """
     ts = order[0]
     unit = [*group, "_slice"]
@@ -45,19 +48,14 @@ def number_runs(
     within = Window.partitionBy(*unit).orderBy(*order)
     breaks = ~F.col("_key").eqNullSafe(F.col("_pkey")) | (F.col("_us") - F.col("_pus") > F.col("_gap"))
 
-    def marked(d: DataFrame) -> DataFrame:
-        """Breaks against the previous row of the same slice; a slice head has none."""
-        return (
-            d.withColumn("_pkey", F.lag("_key").over(within))
-            .withColumn("_pus", F.lag("_us").over(within))
-            .withColumn("_brk", F.when(F.col("_pus").isNull(), 0).otherwise(breaks.cast("int")))
-        )
-
-    spread = rows.repartition(*[F.col(c) for c in unit])
-    narrow = marked(spread.select(*unit, *order, "_key", "_gap", "_us"))
+    # breaks against the previous row of the same slice; a slice head has none
+    marked = staged(
+        rows.withColumn("_pkey", F.lag("_key").over(within)).withColumn("_pus", F.lag("_us").over(within))
+        .withColumn("_brk", F.when(F.col("_pus").isNull(), 0).otherwise(breaks.cast("int")))
+        .withColumn("_n", F.sum("_brk").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_pkey", "_pus"), "runs")
     at = F.struct(*order)
     edge = F.struct("_key", "_us")
-    slices = narrow.groupBy(*unit).agg(
+    slices = marked.groupBy(*unit).agg(
         F.min_by(edge, at).alias("_first"), F.max_by(edge, at).alias("_last"),
         F.max("_gap").alias("_gap"), F.sum("_brk").alias("_inner"),
     )
@@ -74,12 +72,10 @@ def number_runs(
             across.rowsBetween(Window.unboundedPreceding, 0)))
         .select(*unit, (F.col("_upto") - F.col("_inner") - 1).alias("_base"))
     )
-    inner = F.sum("_brk").over(within.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        marked(spread).withColumn("_n", inner)
-        .join(base, unit)
+        marked.join(base, unit)
         .withColumn(out, (F.col("_base") + F.col("_n")).cast("long"))
-        .drop("_key", "_gap", "_us", "_slice", "_pkey", "_pus", "_brk", "_n", "_base")
+        .drop("_key", "_gap", "_us", "_slice", "_brk", "_n", "_base")
     )
 
 

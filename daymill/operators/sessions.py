@@ -52,7 +52,12 @@ def sessionize(events: DataFrame, group: Sequence[str] = GROUP, slice_sec: int =
     A segment ends when the key changes or the time since the previous event exceeds
     ``max(120, 2.5 * default interval)``.
     """
-    ready = with_context(valid_events(with_effective_interval(events, group)))
+    return sessionize_timed(with_effective_interval(events, group), group, slice_sec)
+
+
+def sessionize_timed(timed: DataFrame, group: Sequence[str] = GROUP, slice_sec: int = SLICE_SEC) -> DataFrame:
+    """:func:`sessionize` for events that have their durations."""
+    ready = with_context(valid_events(timed))
     return number_runs(
         ready, F.col("segment_key"), gap_limit(F.col("default_interval_sec")), group=group, slice_sec=slice_sec
     )

@@ -29,15 +29,18 @@ class DayJob:
 
     @cached_property
     def timed(self) -> DataFrame:
-        return S.with_effective_interval(self.events.drop(*TEXT))
+        return S.with_effective_interval(self.keep(self.events.drop(*TEXT), "narrow_events"))
 
     @cached_property
-    def sessions(self) -> DataFrame:
-        return S.sessionize(self.events)
+    def narrow_sessions(self) -> DataFrame:
+        return self.keep(S.sessionize_timed(self.timed), "sessions")
 
     @cached_property
-    def narrow_sessions(self) -> DataFrame:
-        return S.sessionize(self.events.drop(*TEXT))
+    def sessions(self) -> DataFrame:
+        """Sessions with text: cut on narrow rows, joined on the event's place in its log."""
+        at = ["source_id", "day", "ingest_seq"]
+        held = [c for c in TEXT if c in self.events.columns]
+        return self.narrow_sessions.join(self.events.select(*at, *held), at) if held else self.narrow_sessions
 
     @cached_property
     def segments(self) -> DataFrame:
