@@ -31,9 +31,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 #: Stands for the end of a word in vocabularies with an end-of-word suffix; no byte has this code.
 WORD_END = "Ā"
-#: Results kept per task and pair tests kept per worker; beyond that a table starts afresh.
-KEEP_WORDS = 400_000
-KEEP_PAIRS = 500_000
+#: Results and pair tests kept during a task; beyond that a table starts afresh.
+KEEP_WORDS = 250_000
+KEEP_PAIRS = 250_000
 _NEVER = 1 << 60
 
 
@@ -204,11 +204,6 @@ def offsets(path: str) -> Offsets:
     return Offsets(path)
 
 
-@lru_cache(maxsize=2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(vocabulary(path))
-
-
 def special_splitter(specials):
     """Cuts a text at special strings, which stay in the result at odd places."""
     import re
@@ -232,7 +227,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        v, pieces = vocabulary(path), _pieces(path)
+        v = vocabulary(path)
+        pieces = _Pieces(v)
         split, find, of = special_splitter(v.specials), regex.compile(BYTE_PATTERN).findall, pieces.__getitem__
         special = {s: np.array([i], "<u4").tobytes() for s, i in v.specials.items()}
         for b in slices(batches, text):
@@ -247,6 +243,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in kept), pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())],
                 names=[*kept, ids, count])
+        v.pairs.clear()  # idle workers keep the vocabulary only
 
     return docs.mapInArrow(run, schema)
 

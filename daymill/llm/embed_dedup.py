@@ -182,6 +182,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     return both.select(F.col("key").alias(key), "n_links", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-@query("op9_projection_passes")
+@query("op9_projection_passes", """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(d, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.b, c.r FROM c JOIN e ON c.d = e.a)
+SELECT d AS vec_id, (SELECT count(*) FROM e WHERE e.a = d) AS n_links, min(r) AS component_id, min(r) = d AS kept FROM c GROUP BY d""")
 def op9_projection_passes(spark, sf):
     return near_duplicates(table(spark, sf, "embeddings"))

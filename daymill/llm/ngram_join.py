@@ -35,10 +35,10 @@ from daymill.llm.base import query, slices, table
 from daymill.llm.components import components
 from daymill.session import staged
 
-BLOCK_BYTES, BLOCK_DOCS = 6 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 1 << 15
 #: Rounds of pairing with the first group of a shingle before all remaining pairs are formed.
 STAR_ROUNDS = 3
-KEEP_WORDS = 150_000
+KEEP_WORDS = 100_000
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -318,6 +318,17 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return linked.union(single).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-@query("op8_ngram_jaccard")
+@query("op8_ngram_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(d, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, c.r FROM c JOIN e ON c.d = e.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.r) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN c ON c.d = w.doc_id GROUP BY w.doc_id""")
 def op8_ngram_jaccard(spark, sf):
     return similar_components(table(spark, sf, "documents"))

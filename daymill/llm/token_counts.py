@@ -36,7 +36,7 @@ BLOCK_BYTES, BLOCK_DOCS = 24 << 20, 1 << 15
 #: Pre-tokens in more than a sixteenth of a block's documents go to one of so many places.
 SALTS, HOT_SHARE = 64, 16
 #: Pre-token counts kept in a task, and blocks whose sums are open at a time.
-KEEP_WORDS, OPEN_BLOCKS = 500_000, 4
+KEEP_WORDS, OPEN_BLOCKS = 250_000, 4
 
 
 def normalise(text: str) -> str:
@@ -186,6 +186,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 yield pa.RecordBatch.from_arrays([b.column(n).take(heads) for n in out.names], schema=out)
         for block in list(held):
             yield close(block, out)
+        v.pairs.clear()  # idle workers keep the vocabulary only
 
     def total(t: pa.Table) -> pa.Table:
         head = t.filter(t["keys"].is_valid())
