@@ -115,14 +115,18 @@ def families(means: np.ndarray) -> list[list[int]]:
 def train(labelled: DataFrame, seed: int = 7) -> Model:
     """Fit on ``labelled`` (key, text, lang)."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    langs = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not langs:
         return Model()
     most = max(20, min(PER_LANGUAGE, SAMPLE // len(langs)))
     seeded = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))), "UTF-8"))
-    ranked = labelled.select("lang", "text", seeded.alias("h")).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    # far more rows than wanted lie below such a share of all hashes; the rest need not meet
+    shares = F.create_map(*(F.lit(x) for lang, n in langs.items() for x in (lang, min(1.0, 4 * most / n))))
+    near = labelled.select("lang", "text", seeded.alias("h")).where(
+        F.conv(F.substring("h", 1, 8), 16, 10).cast("long") <= shares[F.col("lang")] * float(1 << 32))
+    ranked = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -132,7 +136,7 @@ def train(labelled: DataFrame, seed: int = 7) -> Model:
 
     rows = ranked.where(F.col("i") <= most).select("lang", "text").mapInArrow(vectors, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["x"]))
-    langs = sorted({r["lang"] for r in rows})
+    langs = sorted({r["lang"] for r in rows})  # those with letters
     if not langs:
         return Model()
     y = np.array([langs.index(r["lang"]) for r in rows])
