@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,14 +50,20 @@ def shared_base(spark: SparkSession) -> str:
                 or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
                 or spark.conf.get("spark.sql.warehouse.dir"))
         _RUNS[app] = f"{base.rstrip('/')}/daymill-{app}"
-        atexit.register(drop_work, spark)
+        at, fs = _hadoop_path(spark, _RUNS[app])
+        atexit.register(_delete, fs, at)
     return _RUNS[app]
 
 
+def _delete(fs, at) -> None:
+    from py4j.protocol import Py4JError
+
+    with suppress(Py4JError, OSError):  # the JVM may have ended
+        fs.delete(at, True)
+
+
 def drop_work(spark: SparkSession) -> None:
-    """Delete the application's intermediate tables; a stopped context leaves nothing to ask."""
-    if spark.sparkContext._jsc is None:
-        return
+    """Delete the application's intermediate tables before its end."""
     folder = _RUNS.pop(spark.sparkContext.applicationId, None)
     if folder:
         at, fs = _hadoop_path(spark, folder)
