@@ -45,10 +45,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids and of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
-    return bpe.decode(coded, path).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [

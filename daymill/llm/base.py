@@ -57,3 +57,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
                 start, held = i, 0
             held += n
         yield b.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker stays idle for a while

@@ -222,8 +222,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
     text become their own ids, none is added.  One pass, no shuffle.
     """
     schema = with_fields(docs, **{ids: T.BinaryType(), count: T.LongType()})
-    kept = schema.names[:-2]
+    return docs.mapInArrow(_encoder(path, text, ids, count, schema.names[:-2]), schema)
 
+
+def _encoder(path: str, text: str, ids: str, count: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
         pieces = _Pieces(v)
         split, find, of = special_splitter(v.specials), regex.compile(BYTE_PATTERN).findall, pieces.__getitem__
         special = {s: np.array([i], "<u4").tobytes() for s, i in v.specials.items()}
-        for b in slices(batches, text):
+        for b in slices(batches, text, 4 << 20):
             out = []
             for t in b.column(text).to_pylist():
                 parts = split(t or "")
@@ -245,29 +247,46 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
                 names=[*kept, ids, count])
         v.pairs.clear()  # idle workers keep the vocabulary only
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of ``ids``, special strings included; a null in ``ids`` gives an empty text."""
     schema = with_fields(docs, **{text: T.StringType()})
-    kept = schema.names[:-1]
+    return docs.mapInArrow(_decoder(path, ids, text, schema.names[:-1]), schema)
+
 
+def _decoder(path: str, ids: str, text: str, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = offsets(path)
-        for b in slices(batches, ids):
+        for b in slices(batches, ids, 4 << 20):
             out = [entries.decode(np.frombuffer(x or b"", "<u4")).decode("utf-8", "replace") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.string())], names=[*kept, text])
 
-    return docs.mapInArrow(run, schema)
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``ids``, ``n_tokens`` and ``decoded`` of each row: :func:`encode` and :func:`decode` in one Python pass."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType()),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
+    there, back = _encoder(path, "text", "ids", "n_tokens", ["key"]), _decoder(path, "ids", "decoded", ["key", "ids", "n_tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in back(there(batches)):
+            yield pa.RecordBatch.from_arrays(b.columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def digests(trips: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``n_tokens`` and the hashes of the ids and of the decoded text."""
+    return trips.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 @query("op6_bpe_codec")
 def op6_bpe_codec(spark, sf):
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    coded = encode(docs, path).select("doc_id", "n_tokens", "ids")
-    return decode(coded, path).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    return digests(round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

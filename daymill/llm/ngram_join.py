@@ -150,7 +150,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                     "prints": [_three_bytes(low1[edges1[b]:edges1[b + 1]]) for b in part], "known": [_three_bytes(low2[edges2[b]:edges2[b + 1]]) for b in part],
                     "keys": [None] * len(part), "sizes": [None] * len(part), "classes": [None] * len(part)}, out)
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             out = out or pa.schema([*_BLOCKS, ("keys", pa.list_(b.schema.field("key").type)), ("sizes", pa.list_(pa.int64())), ("classes", pa.list_(pa.string()))])
             for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
                 keys.append(key)
@@ -194,7 +194,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 2 << 20):
             rows = []
             for text, wanted in zip(b.column("text").to_pylist(), b.column("class").to_pylist(), strict=True):
                 s = shingles(text, k, hashes)

@@ -36,6 +36,12 @@ def test_codec_equals_library(docs):
         assert got[i].decoded == want.decode(e.ids, skip_special_tokens=False)
 
 
+def test_one_pass_equals_two(docs):
+    two = bpe.decode(bpe.encode(docs, BYTES), BYTES).select("doc_id", "ids", "n_tokens", "decoded")
+    one = bpe.round_trip(docs, BYTES)
+    assert one.columns == two.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_every_entry_encodes_as_itself():
     for path in (BYTES, WORDS):
         v = bpe.Vocabulary(path)
