@@ -1,9 +1,13 @@
 """Near-duplicate embeddings by sorted projection passes.
 
 Each pass gives a vector a key of concatenated random hashes (signs of random projections, the
-same for equal vectors), sorts by it, and compares every vector with its next ``window``
-neighbours; verified pairs are united across passes.  The sort is a range partitioning into
-buckets of a bounded size; a pair that a bucket's border parts can only be found in another pass.
+same for equal vectors) and sorts by it.  The sort is a range partitioning into buckets; blocks of
+``bucket`` neighbours in it are compared in full, each also with the ``window`` vectors behind it.
+Verified pairs are united across passes.  Every other pass takes the signs around a vector drawn
+from the table, so that the members of a family of alike vectors also get different keys.
+
+A pair that a border parts can only be found in another pass.  So passes go on, ``quiet`` at a time,
+until that many in a row unite nothing new; how many that takes follows from the table.
 
 Equal vectors are one class from the start, with a count, so copies are never paired.  The links of
 each component that the passes found are then counted in full: its vectors are cut into tiles and
@@ -32,9 +36,10 @@ from daymill.session import staged
 
 @dataclass(frozen=True)
 class Passes:
-    """``bits`` signs make a key; more vectors want more passes or wider windows."""
+    """``bits`` signs make a key; at least ``passes`` passes are made, and the last ``quiet`` of all unite nothing new."""
 
     passes: int = 16
+    quiet: int = 8
     bits: int = 40
     window: int = 32
     bucket: int = 2000
@@ -63,12 +68,27 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keyed(classes: DataFrame, how: Passes, least: float) -> DataFrame:
-    """Edges (a, b) that tie the vectors which the passes found alike, a spanning set per bucket."""
+def _parts(linked: np.ndarray) -> Iterator[np.ndarray]:
+    """Members of each component of at least two in a symmetric matrix with an empty diagonal."""
+    left = linked.any(axis=1)
+    for i in np.flatnonzero(left):
+        if left[i]:
+            members = [np.array([i])]
+            left[i] = False
+            while len(members[-1]):
+                members.append(np.flatnonzero(linked[members[-1]].any(axis=0) & left))
+                left[members[-1]] = False
+            yield np.concatenate(members)
+
+
+def _keyed(classes: DataFrame, sizes: dict[int, int], how: Passes, least: float, passes: range) -> DataFrame:
+    """Edges (a, b) that tie the vectors which ``passes`` found alike, a spanning set per block."""
     fields = "pass int, size int, key long, c long, vector binary"
+    drawn = [F.min_by("vector", F.xxhash64("class", F.lit(p))).alias(f"p{p}") for p in passes if p % 2]
+    centres = {r["size"]: _unit(list(r[1:])) for r in classes.groupBy((F.length("vector") / 8).cast("int").alias("size")).agg(*drawn).collect()}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, list[np.ndarray]] = {}
         weights = 1 << np.arange(how.bits - 1, -1, -1, dtype=np.int64)
         for b in batches:
             c, vectors = b.column("c").to_numpy(), b.column("vector").to_pylist()
@@ -77,18 +97,18 @@ def _keyed(classes: DataFrame, how: Passes, least: float) -> DataFrame:
                 mine = np.flatnonzero(sizes == size)
                 x = _unit([vectors[i] for i in mine])
                 if size not in planes:
-                    planes[size] = np.random.default_rng([how.seed, size]).standard_normal((how.passes, size, how.bits))
+                    planes[size] = [np.random.default_rng([how.seed, size, p]).standard_normal((size, how.bits)) for p in passes]
                 # equal keys are told apart by class, so a bucket's border can fall between them
                 tie = (c[mine].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 + how.bits - 62)).astype(np.int64)
-                for p in range(how.passes):
-                    key = ((x @ planes[size][p] > 0) @ weights << (62 - how.bits)) | tie
+                for k, p in enumerate(passes):
+                    moved = x - centres[size][k // 2] if p % 2 else x
+                    key = ((moved @ planes[size][k] > 0) @ weights << (62 - how.bits)) | tie
                     yield pa.RecordBatch.from_pydict({
                         "pass": pa.array([p] * len(mine), pa.int32()), "size": pa.array([size] * len(mine), pa.int32()), "key": key, "c": c[mine],
                         "vector": [vectors[i] for i in mine]}, pa.schema([
                             ("pass", pa.int32()), ("size", pa.int32()), ("key", pa.int64()), ("c", pa.int64()), ("vector", pa.binary())]))
 
     rows = classes.select("c", "vector").mapInArrow(keys, fields)
-    sizes = {r["size"]: r["count"] for r in classes.groupBy((F.length("vector") / 8).cast("int").alias("size")).count().collect()}
     most = max(1, min(4096, max(sizes.values(), default=0) // how.bucket))
     shares = [i / most for i in range(1, most)]
     bounds: dict[tuple[int, int], np.ndarray] = {}
@@ -110,26 +130,31 @@ def _keyed(classes: DataFrame, how: Passes, least: float) -> DataFrame:
     def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("key")
         c, x = t["c"].to_numpy(), _unit(t["vector"].to_pylist())
-        group = np.arange(len(c))
-
-        def find(i):
-            while group[i] != i:
-                group[i] = i = group[group[i]]
-            return i
-
         a, b = [], []
-        for d in range(1, min(how.window, len(c) - 1) + 1):
-            for i in np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= least).tolist():
-                u, v = find(i), find(i + d)
-                if u != v:
-                    group[v] = u
-                    a.append(c[i])
-                    b.append(c[i + d])
+        for start in range(0, len(c), how.bucket):
+            block = slice(start, start + how.bucket + how.window)
+            linked = x[block] @ x[block].T >= least
+            np.fill_diagonal(linked, False)
+            for members in _parts(linked):
+                a += [c[start + members[0]]] * (len(members) - 1)
+                b += c[start + members[1:]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.mapInArrow(place, fields + ", bucket int").groupBy("pass", "size", "bucket").applyInArrow(compare, "a long, b long")
 
 
+def _united(classes: DataFrame, how: Passes, least: float) -> DataFrame:
+    """(node, root) of the classes that the passes found alike."""
+    sizes = {r["size"]: r["count"] for r in classes.groupBy((F.length("vector") / 8).cast("int").alias("size")).count().collect()}
+    roots, unions, done = None, 0, 0
+    while True:
+        edges = _keyed(classes, sizes, how, least, range(done, done + how.quiet))
+        roots = components(edges if roots is None else edges.union(roots.select("root", "node")))
+        before, unions, done = unions, roots.where("node <> root").count(), done + how.quiet
+        if done >= how.passes and unions == before:
+            return roots
+
+
 def _count_links(members: DataFrame, how: Passes, least: float) -> DataFrame:
     """(c, links): vectors linked to each class, from all pairs of each component (root, c, copies, vector)."""
     size = members.groupBy("root").agg(F.ceil(F.count("*") / how.tile).cast("int").alias("tiles"))
@@ -170,7 +195,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = rows.where("class is not null").groupBy("class").agg(
         F.count("*").alias("copies"), F.min("key").alias("first"), F.any_value("vector").alias("vector"))
     classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    roots = components(_keyed(classes, how, least))
+    roots = _united(classes, how, least)
     members = classes.join(roots.withColumnRenamed("node", "c"), "c")
     links = _count_links(members.select("root", "c", "copies", "vector"), how, least)
     known = staged(classes.join(roots.withColumnRenamed("node", "c"), "c", "left").join(links, "c", "left").select(

@@ -44,3 +44,29 @@ def test_null_ids_repeats_and_empty(spark):
     got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True)]
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def hot_family(n, pairs, family, seed=3, size=64):
+    """``n`` vectors, a share of them with mutual cosines about 0.8, and planted pairs at 0.96 within that share."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((n, size)))
+    hot = int(n * family)
+    centre = unit(rng.standard_normal(size))
+    own = unit(x[:hot] - (x[:hot] @ centre)[:, None] * centre)
+    other = unit(rng.standard_normal((pairs, size)))
+    other = unit(other - (other @ centre)[:, None] * centre - np.einsum("ij,ij->i", other, own[:pairs])[:, None] * own[:pairs])
+    own[pairs:2 * pairs] = 0.8 * own[:pairs] + 0.6 * other
+    x[:hot] = 0.8 ** 0.5 * centre + 0.2 ** 0.5 * own
+    return dict(enumerate(x.tolist()))
+
+
+@pytest.mark.parametrize("family", [1.0, 0.4])
+def test_passes_go_on_until_nothing_is_new(spark, family):
+    vs = hot_family(4000, 300, family)
+    df = spark.createDataFrame(list(vs.items()), "vec_id long, embedding array<double>").repartition(3)
+    how = Passes(passes=2, window=8, bucket=250)  # too few and too narrow for one go
+    got = {r.vec_id: r.n_links for r in near_duplicates(df, how=how).collect()}
+    x = np.array(list(vs.values()))
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() >= 550 and got == dict(enumerate(want.tolist()))
