@@ -6,7 +6,7 @@ square root of the number of languages).  Linear support vector machines tell ea
 within the best family, one machine per pair of languages votes with its margin.
 
 The machines are fitted on a bounded sample of labelled rows: ``PER_LANGUAGE`` rows of each language
-(fewer beyond ``SAMPLE`` in all), those with the smallest seeded hash.  Everything else covers all rows.
+(fewer beyond ``SAMPLE`` in all), those with the smallest seeded hash of id and text.  Everything else covers all rows.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0; null labels are not learned from;
 without labels all texts are ``und``; a single language is always the answer; repeated rows
@@ -114,17 +114,18 @@ def families(means: np.ndarray) -> list[list[int]]:
 
 def train(labelled: DataFrame, seed: int = 7) -> Model:
     """Fit on ``labelled`` (key, text, lang)."""
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    # with the text, as rows may share a key or have none
+    seeded = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("text")), "UTF-8"))
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", seeded.alias("h"))
+    langs = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not langs:
         return Model()
     most = max(20, min(PER_LANGUAGE, SAMPLE // len(langs)))
-    seeded = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit(""))), "UTF-8"))
-    # far more rows than wanted lie below such a share of all hashes; the rest need not meet
+    # far more hashes than rows wanted lie below such a share of all hashes; the rest need not meet
     shares = F.create_map(*(F.lit(x) for lang, n in langs.items() for x in (lang, min(1.0, 4 * most / n))))
-    near = labelled.select("lang", "text", seeded.alias("h")).where(
+    near = labelled.where(
         F.conv(F.substring("h", 1, 8), 16, 10).cast("long") <= shares[F.col("lang")] * float(1 << 32))
     ranked = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
 

@@ -48,3 +48,13 @@ def test_machine_separates():
     x = rng.standard_normal((200, 5)) + 0.0
     y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
     assert ((x @ langid.support_vectors(x, y) > 0) == (y > 0)).mean() > 0.97
+
+
+@pytest.mark.parametrize("key, texts", [(None, 6000), (5, 6000), (5, 1)])
+def test_rows_of_one_id_are_learned_from(spark, key, texts):
+    rows = [(key, f"the cat and the dog number {w}{i % texts}" if texts > 1 else "the cat and the dog", "en") for i, w in enumerate(["aa", "bb", "cc"] * 2000)]
+    rows += [(i, f"der hund und die katze {i}", "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "key long, text string, lang string").repartition(4)
+    assert langid.train(df).languages == ["de", "en"]
+    got = langid.predict(df.where("lang = 'en'"), langid.train(df))
+    assert {r.lang_pred for r in got.select("lang_pred").distinct().collect()} == {"en"}
