@@ -1,6 +1,6 @@
 """The corpus pipeline over ``documents``: five stages, each written as Parquet and read by the next.
 
-Language identification rejects what it cannot name, line dedup cuts repeated chunks, the n-gram
+Language identification rejects texts without a letter, line dedup cuts repeated chunks, the n-gram
 join leaves one document of each group, mixing takes each document as often as its source's target
 asks, and the last stage encodes and decodes what is left.
 """
@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 from daymill.llm import bpe, langid, line_dedup, mixing, ngram_join
 from daymill.session import staged
 
-#: Texts without a letter, or with a score below this, are rejected.
-LEAST_SCORE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; learned from ``lang`` where it is given."""
-    known = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Documents with a named language, learned from ``lang`` where it is given; where no row has a label, those with a letter."""
+    known = langid.identify(docs).where((F.col("lang_pred") != "und") | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return known.select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ import os
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -31,6 +32,17 @@ def test_language_rejects_only_what_it_cannot_name(kept):
     assert {(r.doc_id, r.text) for r in kept[1]} <= {(r.doc_id, r.text) for r in kept[0]}
 
 
+def test_language_keeps_each_document_with_a_letter(spark, kept):
+    assert {r.doc_id for r in kept[1]} == {r.doc_id for r in kept[0] if any(c.isalpha() for c in r.text or "")}
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(30)] + [(100 + i, f"le chat et le chien {i}", "fr") for i in range(30)]
+    rows += [(200 + i, f"il gatto e il cane {i}", "it") for i in range(30)] + [(300 + i, f"der hund und die katze {i}", "de") for i in range(30)]
+    rows += [(900, "Re.", "en"), (901, "q", None), (902, "zz xx", None), (903, "12 !", "en"), (904, None, None), (905, "\u65e5\u672c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r[0] for r in rows} - {903, 904}
+    for given in (docs, docs.withColumn("lang", F.lit(None).cast("string"))):
+        assert {r.doc_id for r in corpus_pipeline.language_id(spark, given, "").collect()} == want
+
+
 def test_lines(kept):
     want = brute_lines({r.doc_id: r.text for r in kept[1]})
     lines = {r.doc_id: r.text.count("\n") + 1 for r in kept[1]}
