@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from daymill.llm import bpe, chat, embed_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, token_counts, warc  # noqa: F401
+from daymill.llm import bpe, centroids, chat, embed_dedup, fingerprints, langid, line_dedup, mixing, ngram_join, packing, phrases, token_counts, warc  # noqa: F401
 from daymill.llm.base import ORACLES, QUERIES  # noqa: F401
