@@ -43,6 +43,38 @@ def test_language_keeps_each_document_with_a_letter(spark, kept):
         assert {r.doc_id for r in corpus_pipeline.language_id(spark, given, "").collect()} == want
 
 
+def test_language_fills_missing_labels_with_the_prediction(spark, monkeypatch):
+    rows = [(i, f"the cat and the dog {i}", "en") for i in range(30)] + [(100 + i, f"le chat et le chien {i}", "fr") for i in range(30)]
+    rows += [(900, "the dog and the cat", None), (901, "le chien et le chat", None), (902, "le chat", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert got == {r[0]: r[2] for r in rows} | {900: "en", 901: "fr"}
+    monkeypatch.setattr(corpus_pipeline.langid, "identify", lambda d: d.withColumns({"lang_pred": F.lit("zz"), "score": F.lit(1.0)}))
+    assert {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}[900] == "zz"
+
+
+def test_other_columns_keep_their_values(spark):
+    names = ["score", "lang_pred", "size", "copies", "copy", "source_stats", "n_lines", "n_removed", "col", "key", "row", "goes", "_others"]
+    base = spark.createDataFrame([(i, f"le chat numero {i} est ici\nligne {i}", "fr", "s", 9) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.withColumns({n: F.lit(i) + F.col("doc_id") for i, n in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r[n] == i + r.doc_id for r in rows for i, n in enumerate(names))
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_one_row_of_copies_without_or_with_equal_ids(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (None, text, "d"), (None, text, "d"), (None, "alone in this table " * 3, "e"), (None, None, "f"), (None, None, "f"), (3, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.ngram_groups(spark, docs, "").collect()]
+    assert len(got) == 5 and sum(t == text for _, t, _ in got) == 1 and [d for d, t, _ in got if t == text] == [1]
+    nulls = spark.createDataFrame([(None, text, "a")] * 4, docs.schema)
+    assert [tuple(r) for r in corpus_pipeline.ngram_groups(spark, nulls, "").collect()] == [(None, text, "a")]
+
+
 def test_lines(kept):
     want = brute_lines({r.doc_id: r.text for r in kept[1]})
     lines = {r.doc_id: r.text.count("\n") + 1 for r in kept[1]}
