@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from daymill.llm.base import query, slices, table
 from daymill.llm.bpe import BYTE_PATTERN, byte_alphabet
-from daymill.session import staged
+from daymill.session import staged, work_folder
 
 #: Rows of one bucket at most, about; a bucket is numbered in one task.
 BUCKET_ROWS = 250_000
@@ -214,8 +214,10 @@ def pack(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", capacity: int
     document's whole window come first; every sequence but one is full.
     """
     n = F.coalesce(F.octet_length(F.col(f"`{ids}`")), F.lit(0)).cast("long") / 4
-    rows = staged(tokens.select(
-        F.col(f"`{key}`").alias("key"), F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n"), F.col(f"`{ids}`").alias("ids")), "token_ids")
+    rows = tokens.select(F.col(f"`{key}`").alias("key"), F.monotonically_increasing_id().alias("row"), n.cast("long").alias("n"), F.col(f"`{ids}`").alias("ids"))
+    path = work_folder(tokens.sparkSession, "token-ids")
+    rows.write.option("compression", "zstd").parquet(path)  # ids take two of their four bytes
+    rows = tokens.sparkSession.read.schema(rows.schema).parquet(path)
     narrow = rows.where("n > 0").select("row", "n")
     length, full = F.col("n") % capacity, F.floor(F.col("n") / capacity)
     counts = narrow.groupBy(length.alias("length")).agg(F.count(F.lit(1)).alias("c"), F.sum(full).alias("f")).collect()

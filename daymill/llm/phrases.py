@@ -35,7 +35,7 @@ from daymill.llm.base import query, slices, table
 from daymill.session import staged, work_folder
 
 #: Bytes of text in one row of words.
-CHUNK = 24 << 20
+CHUNK = 10 << 20
 #: Size of a bitmap over fingerprints: 2**26 bits are 8 MB.
 FILTER_BITS = 26
 _BASE = 0x9E3779B97F4A7C15
@@ -108,6 +108,7 @@ def word_rows(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
                 yield from (row(k, *held.pop(k)) for k in list(held))
                 size = 0
         yield from (row(k, *held.pop(k)) for k in list(held))
+        pa.default_memory_pool().release_unused()
 
     path = work_folder(docs.sparkSession, "words")
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).mapInArrow(run, WORDS)
@@ -121,19 +122,23 @@ class Grams:
     def __init__(self, hashes: bytes, codes: bytes):
         self.codes = np.frombuffer(codes, np.int32)
         n = len(self.codes)
-        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.frombuffer(hashes, np.uint64)[self.codes] * powers[:n])])
-        inverse = pow(_BASE, -1, _WRAP)
-        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), inverse, np.uint64)]))[:n]
-        self.ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.codes == 0, dtype=np.int32)])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.multiply(np.frombuffer(hashes, np.uint64)[self.codes], _powers(_BASE, n), out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
+        self.back = _powers(pow(_BASE, -1, _WRAP), n)
+        self.ends = np.zeros(n + 1, np.int32)
+        np.cumsum(self.codes == 0, dtype=np.int32, out=self.ends[1:])
 
     def fingerprints(self, n: int) -> np.ndarray:
         """The fingerprint of the ``n`` words from each place on, meaningful where :meth:`inside` holds."""
         k = max(len(self.codes) - n + 1, 0)
-        x = (self.sums[n:n + k] - self.sums[:k]) * self.back[:k] + np.uint64(n)
+        x = self.sums[n:n + k] - self.sums[:k]
+        x *= self.back[:k]
+        x += np.uint64(n)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+        x ^= x >> np.uint64(29)
+        return x
 
     def inside(self, n: int) -> np.ndarray:
         """Whether no piece ends within the ``n`` words from each place on."""
@@ -142,8 +147,18 @@ class Grams:
 
     def marked(self, n: int, bits: np.ndarray) -> np.ndarray:
         """Places of n-grams whose fingerprint is in the bitmap."""
-        at = (self.fingerprints(n) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-        return self.inside(n) & ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1)).astype(bool)
+        at = self.fingerprints(n)
+        at &= np.uint64(len(bits) * 8 - 1)
+        bit = (at & np.uint64(7)).astype(np.uint8)
+        at >>= np.uint64(3)
+        return self.inside(n) & (bits[at] >> bit & np.uint8(1)).astype(bool)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
 
 
 def _pairs(values: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -164,6 +179,7 @@ def frequent_fingerprints(rows: DataFrame, n: int, known: np.ndarray | None, lea
                     part = g.marked(n - 1, shared.value)
                     ok &= part[:len(ok)] & part[1:len(ok) + 1]
                 yield from _pairs(*np.unique(g.fingerprints(n)[ok], return_counts=True))
+        pa.default_memory_pool().release_unused()  # a worker stays idle for a while
 
     found = rows.select("hashes", "codes").mapInArrow(run, "fp bigint, a bigint")
     return found.groupBy("fp").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
