@@ -30,19 +30,20 @@ def number_runs(
     group: Sequence[str] = GROUP,
     order: Sequence[str] = ("ts", "ingest_seq"),
     slice_sec: int = SLICE_SEC,
+    end: str | None = None,
 ) -> DataFrame:
     """Number the runs of equal ``key`` in time order, 0-based per group.
 
     A run ends when the key changes or when ``ts`` moves on by more than
-    ``max_gap_sec`` (strictly).  ``order[0]`` is the timestamp.  The marked rows are written
-    once and read twice, so ``df`` should be narrow.
+    ``max_gap_sec`` (strictly).  ``order[0]`` is the timestamp; rows that stand for several events have the time
+    of the last one in ``end``.  The marked rows are written once and read twice, so ``df`` should be narrow.
     """
     ts = order[0]
     unit = [*group, "_slice"]
     rows = (
         df.withColumn("_key", key)
         .withColumn("_gap", (max_gap_sec * 1000000).cast("long"))
-        .withColumn("_us", F.unix_micros(ts))
+        .withColumn("_us", F.unix_micros(ts)).withColumn("_end", F.unix_micros(end or ts))
         .withColumn("_slice", time_slice(F.col(ts), slice_sec))
     )
     within = Window.partitionBy(*unit).orderBy(*order)
@@ -50,11 +51,11 @@ def number_runs(
 
     # breaks against the previous row of the same slice; a slice head has none
     marked = staged(
-        rows.withColumn("_pkey", F.lag("_key").over(within)).withColumn("_pus", F.lag("_us").over(within))
+        rows.withColumn("_pkey", F.lag("_key").over(within)).withColumn("_pus", F.lag("_end").over(within))
         .withColumn("_brk", F.when(F.col("_pus").isNull(), 0).otherwise(breaks.cast("int")))
         .withColumn("_n", F.sum("_brk").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("_pkey", "_pus"), "runs")
     at = F.struct(*order)
-    edge = F.struct("_key", "_us")
+    edge = F.struct("_key", "_us", "_end")
     slices = marked.groupBy(*unit).agg(
         F.min_by(edge, at).alias("_first"), F.max_by(edge, at).alias("_last"),
         F.max("_gap").alias("_gap"), F.sum("_brk").alias("_inner"),
@@ -63,7 +64,7 @@ def number_runs(
     head_break = (
         F.col("_prev").isNull()
         | ~F.col("_first._key").eqNullSafe(F.col("_prev._key"))
-        | (F.col("_first._us") - F.col("_prev._us") > F.col("_gap"))
+        | (F.col("_first._us") - F.col("_prev._end") > F.col("_gap"))
     )
     base = (
         slices.withColumn("_prev", F.lag("_last").over(across))
@@ -75,7 +76,7 @@ def number_runs(
     return (
         marked.join(base, unit)
         .withColumn(out, (F.col("_base") + F.col("_n")).cast("long"))
-        .drop("_key", "_gap", "_us", "_slice", "_brk", "_n", "_base")
+        .drop("_key", "_gap", "_us", "_end", "_slice", "_brk", "_n", "_base")
     )
 
 

@@ -23,10 +23,15 @@ FALSY = ["{}", "[]", '""', "null", "false", "0"]
 
 #: Folders of appended logs; ``append`` grows with every append.
 LOG_SCHEMA = "value string, source_id string, day date, append long"
+#: Line counts of appended files, beside their folders.
+COUNTS = "_counts"
+COUNT_SCHEMA = "file string, n long, source_id string, day date, append long"
+UNIT = [*GROUP, "append", "file", "block"]
+LINES_PER_FILE = 100_000
 _LAST = [0]
 
 
-def _children(spark: SparkSession, path: str) -> list[str] | None:
+def children(spark: SparkSession, path: str) -> list[str] | None:
     """Names in a folder, or None where there is none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -46,35 +51,52 @@ def raw_lines(spark: SparkSession, path: str, where: Column | None = None) -> Da
     ``where`` may name sources and days; of appended logs only their folders are opened.  A
     missing folder has no lines.
     """
-    names = _children(spark, path)
+    names = children(spark, path)
     if names is None:
-        empty = spark.createDataFrame([], LOG_SCHEMA + ", _p string, _f string, _b long")
-        return empty.withColumn("_i", F.monotonically_increasing_id())
-    if any(n.startswith("source_id=") for n in names):
-        lines = spark.read.schema(LOG_SCHEMA).text(path)
+        lines = spark.createDataFrame([], LOG_SCHEMA + ", file string, block long")
+    elif any(n.startswith("source_id=") for n in names):
+        lines = spark.read.schema(LOG_SCHEMA).text(path).select("*", F.col("_metadata.file_name").alias("file"), F.lit(0).cast("long").alias("block"))
     else:
         src, day = path_keys(F.col("_metadata.file_path"))
         lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-            "value", src.alias("source_id"), day.alias("day"), F.lit(0).cast("long").alias("append"), "_metadata")
+            "value", src.alias("source_id"), day.alias("day"), F.lit(0).cast("long").alias("append"),
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if where is not None:
         lines = lines.where(where)
-    return lines.select("value", *GROUP, "append", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_name").alias("_f"),
-                        F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    return lines.select("value", *UNIT, F.monotonically_increasing_id().alias("row"))
+
+
+def line_counts(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """(source_id, day, append, file, block, n): the lines of every file of a log.
+
+    Appended logs have them written beside the lines, as the last step of an append; other logs are counted, by
+    blocks of their files.
+    """
+    names = children(spark, path) or []
+    if COUNTS not in names:
+        return raw_lines(spark, path, where).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"))
+    counts = spark.read.schema(COUNT_SCHEMA).parquet(f"{path}/{COUNTS}")
+    return (counts if where is None else counts.where(where)).withColumn("block", F.lit(0).cast("long"))
+
+
+def placed(rows: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``source_id, day, ingest_seq, value`` of raw lines: the lines before in the same file, plus those of the files before.
+
+    A file has a bounded number of lines; only its count meets the other files.
+    """
+    w = Window.partitionBy(*GROUP).orderBy("append", "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*UNIT, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*UNIT).orderBy("row")) - 1
+    return rows.withColumn("within", within).join(before, UNIT, how).select(*GROUP, (F.col("before") + F.col("within")).alias("ingest_seq"), "value")
 
 
 def read_lines(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """``source_id, day, ingest_seq, value``: lines of all logs under ``path``.
 
     The position of a line is the number of lines before it in its source and day, in the order of
-    appends, then files, then lines.  Files are counted block by block; only one row per block
-    meets the others, so a log of any size is numbered without passing through one task.
+    appends, then files, then lines.  Lines of an append are there once its counts are written.
     """
-    rows = raw_lines(spark, path, where)
-    blocks = rows.groupBy(*GROUP, "append", "_f", "_p", "_b").agg(F.min("_i").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*GROUP).orderBy("append", "_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_p", "_b", "_lo", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    return rows.join(offsets, ["_p", "_b"]).select(
-        *GROUP, (F.col("_before") + F.col("_i") - F.col("_lo")).alias("ingest_seq"), "value")
+    return placed(raw_lines(spark, path, where), line_counts(spark, path, where))
 
 
 def parse_line(value: Column) -> Column:
@@ -137,12 +159,17 @@ def append_lines(lines: DataFrame, path: str) -> None:
     """Append ``source_id, day, ingest_seq, value`` as text, in order.
 
     Rows are range-partitioned, so a big day spreads over files whose numbers keep the order; the
-    folder of an append has a number larger than those before.
+    folder of an append has a number larger than those before.  Then the lines of the new files are counted, which
+    completes the append.
     """
+    spark = lines.sparkSession
     order = [*GROUP, "ingest_seq"]
     _LAST[0] = max(_LAST[0] + 1, time.time_ns() // 1000)
     rows = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value", *GROUP, F.lit(_LAST[0]).alias("append"))
-    rows.write.mode("append").partitionBy(*GROUP, "append").text(path)
+    rows.write.mode("append").option("maxRecordsPerFile", LINES_PER_FILE).partitionBy(*GROUP, "append").text(path)
+    new = spark.read.schema(LOG_SCHEMA).text(path).where(F.col("append") == _LAST[0])
+    counts = new.groupBy(*GROUP, "append", F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    counts.write.mode("append").partitionBy("append").parquet(f"{path}/{COUNTS}")
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -169,12 +196,9 @@ def write_day_snapshot(snapshots: DataFrame, path: str, force: bool = False) ->
     spark = snapshots.sparkSession
     todo = snapshots
     if not force:
-        try:
+        if children(spark, path) is not None:
             done = spark.read.schema(snapshots.schema).parquet(path).filter("status = 'complete'").select(*GROUP)
             todo = staged(snapshots.join(done, list(GROUP), "left_anti"), "snapshots_todo")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
     todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*GROUP).parquet(path)
 
 

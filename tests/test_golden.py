@@ -344,20 +344,55 @@ def test_segment_seconds_equal_valid_seconds(spark):
     assert ids == list(range(len(ids)))
 
 
-def test_stream_equals_batch_in_many_micro_batches(spark, tmp_path):
+def test_stream_equals_batch_in_many_micro_batches(spark):
+    """Late rows, equal times, blank ids and an interval that changes with the last line give the segments of the whole log."""
+    from daymill.session import work_folder
     from daymill.streaming import jobs as J
 
-    rows = [{"at": i * 240, "app": "AAB"[i % 3 if i > 8 else 0], "iv": 300} for i in range(30)]
+    rng = random.Random(5)
+    rows = [{"at": (i * 97 + rng.choice([0, 0, 3600, -3000])) % 80000 // 60 * 60, "app": "AAB"[rng.randint(0, 2)], "iv": rng.choice([0, 60, 300, 900]),
+             "err": i % 11 == 0, "id": "" if i % 5 == 0 else f"e{i % 7}"} for i in range(240)]
     e = ev(spark, rows)
-    path, table, ck = str(tmp_path / "logs"), str(tmp_path / "table"), str(tmp_path / "ck")
-    for lo in range(0, 30, 10):
-        logs.append_events(e.filter(F.col("ingest_seq").between(lo, lo + 9)), path)
-        J.version_table(J.stream_sessionize(J.stream_events(spark, path)), f"{table}/{lo}", ck).awaitTermination()
-    parts = [spark.read.parquet(f"{table}/{lo}/version=*").withColumn("version", F.lit(lo)) for lo in range(0, 30, 10)]
-    runs = O.top_k(parts[0].unionByName(parts[1]).unionByName(parts[2]), [*O.GROUP, "slice"], [F.desc("version"), F.desc("version_us")], 1)
-    got = [tuple(r) for r in J.stitch_runs(runs).orderBy("segment_id").select("segment_id", "start_ts", "end_ts", "duration_sec", "captures").collect()]
-    want = [tuple(r) for r in S.segment_table(S.sessionize(e)).orderBy("segment_id").select("segment_id", "start_ts", "end_ts", "duration_sec", "captures").collect()]
-    assert got == want
+    base = work_folder(spark, "k5")
+    log, cols = f"{base}/logs", ["source_id", "segment_id", "start_ts", "end_ts", "duration_sec", "captures", "label"]
+    for lo, hi in ((0, 80), (80, 90), (90, 240)):
+        logs.append_events(e.filter(F.col("ingest_seq").between(lo, hi - 1)), log)
+        J.stream_sessionize(J.stream_lines(spark, log, 2), log, f"{base}/t", f"{base}/c").awaitTermination()
+        J.stream_append(J.stream_lines(spark, log), log, f"{base}/e", f"{base}/ec").awaitTermination()
+        part = e.filter(F.col("ingest_seq") < hi)
+        want = sorted(tuple(r) for r in S.segment_table(S.sessionize(part)).select(cols).collect())
+        assert sorted(tuple(r) for r in J.stream_segments(spark, f"{base}/t").select(cols).collect()) == want
+        seen = spark.read.parquet(f"{base}/e").select("ingest_seq", "id", "ts").collect()
+        assert sorted(map(tuple, seen)) == sorted(map(tuple, part.select("ingest_seq", "id", "ts").collect()))
+
+
+def test_lines_without_counts_wait(spark):
+    from daymill.session import work_folder
+    from daymill.streaming import jobs as J
+
+    base = work_folder(spark, "counts")
+    day = dt.date(2024, 1, 1)
+    lines = spark.createDataFrame([("s", day, i, f"{{\"id\": \"{i}\"}}") for i in range(5)], "source_id string, day date, ingest_seq long, value string")
+    logs.append_lines(lines, f"{base}/log")
+    lines.select("value", "source_id", "day", F.lit(9_000_000_000_000_000).alias("append")).write.mode("append").partitionBy("source_id", "day", "append").text(f"{base}/log")
+    assert sorted(r.ingest_seq for r in logs.read_lines(spark, f"{base}/log").collect()) == [0, 1, 2, 3, 4]
+    q = J.stream_append(J.stream_lines(spark, f"{base}/log"), f"{base}/log", f"{base}/out", f"{base}/check")
+    with pytest.raises(Exception, match="without counts"):
+        q.awaitTermination()
+
+
+def test_ids_of_other_days_are_not_opened(spark):
+    from daymill.session import work_folder
+    from daymill.streaming import jobs as J
+
+    base = work_folder(spark, "ids")
+    for d in (1, 2, 1):
+        rows = [("s", dt.date(2024, 1, d), i, json.dumps({"id": f"x{i}", "ts": f"2024-01-0{d}T0{i}:00:00+00:00"})) for i in range(4 + d)]
+        logs.append_lines(spark.createDataFrame(rows, "source_id string, day date, ingest_seq long, value string"), f"{base}/log")
+        J.stream_dedupe(J.stream_events(spark, f"{base}/log"), f"{base}/out", f"{base}/check").awaitTermination()
+    got = spark.read.parquet(f"{base}/out").groupBy("day").count().collect()
+    assert sorted((str(r["day"]), r["count"]) for r in got) == [("2024-01-01", 5), ("2024-01-02", 6)]
+    assert sorted(x for x in logs.children(spark, f"{base}/out/_ids") if x.startswith("day=")) == ["day=2024-01-01", "day=2024-01-02"]
 
 
 def test_ordered_distinct_and_calendar(spark):
@@ -413,11 +448,14 @@ def test_late_rows_and_blank_ids_of_streams(spark):
     def append(*rows):
         lines = [("s", day, i, json.dumps({"ts": f"2024-01-01T{h:02}:00:00+00:00", "id": name, "interval_sec": sec})) for i, (h, name, sec) in enumerate(rows)]
         logs.append_lines(spark.createDataFrame(lines, "source_id string, day date, ingest_seq long, value string"), path)
-        for job, name in ((J.stream_hourly_active, "hours"), (J.stream_dedupe, "ids")):
-            job(J.stream_events(spark, path), f"{base}/{name}", f"{base}/{name}-check").awaitTermination()
+        J.stream_hourly_active(J.stream_lines(spark, path), path, f"{base}/hours", f"{base}/hours-check").awaitTermination()
+        J.stream_dedupe(J.stream_events(spark, path), f"{base}/ids", f"{base}/ids-check").awaitTermination()
+        J.stream_capture_stats(J.stream_lines(spark, path), path, f"{base}/stats", f"{base}/stats-check").awaitTermination()
 
     append((8, "a", 0), (16, "b", 100), (16, "", 60))
     append((8, "c", 0), (8, "a", 0), (20, "", 60), (20, "b", 240))
     hours = {r.hour_key.hour: r.active_sec_est for r in J.hourly_totals(spark, f"{base}/hours").collect()}
     assert hours == {8: 720, 16: 160, 20: 300}  # rows without an interval take the day's last, 240
     assert sorted(r.id for r in spark.read.parquet(f"{base}/ids").collect()) == ["", "", "a", "b", "c"]
+    (total,) = J.capture_totals(spark, f"{base}/stats").collect()
+    assert (total.captures, total.last_ts.hour) == (7, 20)
