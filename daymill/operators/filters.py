@@ -45,27 +45,81 @@ def exclusion_reason(
 def first_rule(ranked: Sequence[tuple[str, str]], app: Column, domain: Column, text: Column) -> Column:
     """Reason of the first rule (kind, pattern) that holds, null when none does.
 
-    Rules are one literal array, searched inside the row.  An app rule reports the app as the
+    App rules are looked up by name.  The keywords of domains and of texts are each one pattern that shares their
+    beginnings, so a text is read once however many there are.  Only the longest keyword of a place is reported;
+    its rank is the lowest among the keywords that it begins with.  An app rule reports the app as the
     event spells it, a keyword rule reports the keyword.
     """
-    listed = [{"kind": k, "pattern": p, "low": p.lower()} for k, p in ranked if p]
+    rules = [(k, p) for k, p in ranked if p]
     name = T.strip_ws(T.text_of(app))
     row = F.struct(name.alias("name"), F.lower(name).alias("low"), F.lower(T.text_of(domain)).alias("host"), T.text_of(text).alias("text"))
-    table = F.from_json(F.lit(json.dumps(listed)), "array<struct<kind:string,pattern:string,low:string>>")
+    apps: dict[str, int] = {}
+    hosts: dict[str, int] = {}
+    words: dict[str, int] = {}
+    for i, (kind, pattern) in enumerate(rules):
+        held = apps if kind in ("app", "locked") else hosts if kind == "domain_kw" else words
+        held.setdefault(pattern if held is words else pattern.lower(), i)
+    table = F.from_json(F.lit(json.dumps([{"kind": k, "pattern": p} for k, p in rules])), "array<struct<kind:string,pattern:string>>")
 
     def search(e: Column) -> Column:
-        def holds(r: Column) -> Column:
-            return (
-                F.when(r["kind"].isin("app", "locked"), (e["low"] != "") & (e["low"] == r["low"]))
-                .when(r["kind"] == "domain_kw", e["host"].contains(r["low"]))
-                .otherwise(e["text"].contains(r["pattern"])))
-
-        return T.let(F.get(F.filter(table, holds), F.lit(0)), lambda r: F.concat(
+        ranks = F.array(_rank_of(apps, e["low"]), _first_keyword(hosts, e["host"]), _first_keyword(words, e["text"]))
+        return T.let(F.get(table, F.array_min(ranks)), lambda r: F.concat(
             r["kind"], F.lit(":"), F.when(r["kind"] == "app", e["name"]).otherwise(r["pattern"])))
 
     return T.let(row, search)
 
 
+def _rank_of(ranks: dict[str, int], key: Column) -> Column:
+    if not ranks:
+        return F.lit(None).cast("int")
+    return F.try_element_at(F.from_json(F.lit(json.dumps(ranks)), "map<string,int>"), key)
+
+
+def _first_keyword(ranks: dict[str, int], text: Column) -> Column:
+    """Lowest rank of the keywords that ``text`` holds."""
+    if not ranks:
+        return F.lit(None).cast("int")
+    lowest = {k: min(r for j in range(1, len(k) + 1) if (r := ranks.get(k[:j])) is not None) for k in ranks}
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({keyword_pattern(ranks)}))"), F.lit(1)))
+    return F.array_min(F.transform(hits, lambda k: _rank_of(lowest, k)))
+
+
+def keyword_pattern(keywords: Sequence[str]) -> str:
+    """A pattern that finds the longest of ``keywords`` at a place, one branch for each shared beginning."""
+    quoted = lambda c: c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+    def branch(words: list[str], at: int) -> str:
+        """Continuations of ``words``, which agree in their first ``at`` characters."""
+        out, i = [], int(len(words[0]) == at)
+        ends = i == 1
+        while i < len(words):
+            j = i
+            while j < len(words) and words[j][at] == words[i][at]:
+                j += 1
+            same = at + 1  # as far as all agree
+            while same < len(words[i]) and words[j - 1][:same + 1] == words[i][:same + 1]:
+                same += 1
+            rest = branch(words[i:j], same) if j - i > 1 or len(words[i]) > same else ""
+            out.append((words[i][at], "".join(map(quoted, words[i][at:same])) + rest))
+            i = j
+        if not out:
+            return ""
+        body = f"(?:{either(out)})" if len(out) > 1 or ends else out[0][1]
+        return body + ("?" if ends else "")
+
+    def either(parts: list[tuple[str, str]]) -> str:
+        """Alternatives by their first character; many are split in groups that one character chooses."""
+        if len(parts) <= 6:
+            return "|".join(p for _, p in parts)
+        size = -(-len(parts) // 6)
+        groups = [parts[i:i + size] for i in range(0, len(parts), size)]
+        return "|".join(f"(?=[{''.join(quoted(c) for c, _ in g)}])(?:{either(g)})" for g in groups)
+
+    words = sorted(set(keywords))
+    firsts = "".join(quoted(c) for c in sorted({w[0] for w in words}))
+    return f"(?=[{firsts}]){branch(words, 0)}"
+
+
 def exclude_by_rules(df: DataFrame, rules: ExclusionRules, preview: str | None = None) -> DataFrame:
     """Adds ``rule_reason`` and ``rule_excluded`` from app, domain, title and preview."""
     why = exclusion_reason(
@@ -78,7 +132,7 @@ def exclude_by_rules(df: DataFrame, rules: ExclusionRules, preview: str | None =
 def match_rules(df: DataFrame, rules: DataFrame, app: Column, domain: Column, text: Column) -> DataFrame:
     """First matching row of a rule table ``(kind, pattern, rank)`` per row of ``df``.
 
-    A rule table is configuration; it is searched in rank order by :func:`first_rule`, so rows
+    A rule table is configuration; :func:`first_rule` searches all its rules at once inside the row, so rows
     never multiply.
     """
     found = sorted(rules.select("kind", "pattern", "rank").collect(), key=lambda r: (r["rank"], r["kind"], r["pattern"]))

@@ -366,6 +366,27 @@ def test_stream_equals_batch_in_many_micro_batches(spark):
         assert sorted(map(tuple, seen)) == sorted(map(tuple, part.select("ingest_seq", "id", "ts").collect()))
 
 
+def test_many_rules_at_once_give_the_first_by_rank(spark):
+    from daymill.operators.filters import first_rule
+
+    rng = random.Random(8)
+    part = lambda n: "".join(rng.choice("abcé.(*🙂^]-日") for _ in range(n))
+    texts = [part(rng.randint(0, 60)) for _ in range(200)] + [None]
+    rules = [("text_kw", part(rng.randint(1, 6))) for _ in range(600)] + [("domain_kw", p) for p in ("B.c", "zz", "")] + [("app", "X y"), ("app", ""), ("locked", "q")]
+    rng.shuffle(rules)
+    for some in (rules, rules[:40], [r for r in rules if len(r[1]) > 3], [("text_kw", "a")], []):
+        def want(app, host, text):
+            for k, p in some:
+                low = p.lower()
+                if p and (low == app.lower() if k in ("app", "locked") else low in host.lower() if k == "domain_kw" else p in (text or "")):
+                    return f"{k}:{app if k == 'app' else p}"
+            return None
+
+        df = spark.createDataFrame([(a, h, t) for t in texts for a, h in (("x Y", "zab.C"), ("Q", ""), ("", "ok"))], "a string, h string, t string")
+        rows = df.withColumn("r", first_rule(some, F.col("a"), F.col("h"), F.col("t"))).collect()
+        assert [r.r for r in rows] == [want(r.a, r.h, r.t) for r in rows]
+
+
 def test_lines_without_counts_wait(spark):
     from daymill.session import work_folder
     from daymill.streaming import jobs as J
