@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from daymill.operators.filters import eligible_hours
 from daymill.operators.ordered import GROUP, pack_batches, top_k
 from daymill.session import staged
 
-ModelFn = Callable[[list[dict]], list[dict]]
+ModelFn = Callable[[list[dict]], "list[dict] | Reply"]
 HOUR = H.HOUR
 
 # ---- fixed values: output shapes of the model stages ------------------------
@@ -45,37 +46,105 @@ def make_batches(
         F.transform(F.array_sort(F.collect_list(item)), lambda x: x["payload"]).alias("items"))
 
 
-def call_model(batches: DataFrame, by: Sequence[str], model_fn: ModelFn) -> DataFrame:
-    """``by, batch, output, error``: one JSON object per result row.
+@dataclass(frozen=True)
+class Reply:
+    """What a model function may return instead of plain rows: rows, and the usage of the call."""
+
+    rows: list[dict]
+    model: str | None = None
+    input_tokens: int = 0
+    cached_tokens: int = 0
+    output_tokens: int = 0
+
+
+CALL = "kind string, output string, error string, item string, model string, input_tokens bigint, cached_tokens bigint, output_tokens bigint"
 
-    A failing batch is halved until single items fail; those become error rows.  The
-    answers are written once: a model must not be asked again because a plan is read twice.
+
+def tagged_output(batches: DataFrame, by: Sequence[str], model_fn: ModelFn) -> DataFrame:
+    """``by, batch`` and :data:`CALL`: rows of one pass over the batches, written once.
+
+    ``answer`` rows hold one JSON object each, ``error`` rows the item that a call failed for, and ``call`` rows the usage of a
+    call, failed ones too.  A failing batch is halved until single items fail.  A model must not be asked again
+    because a plan is read twice.
     """
     keys = [*by, "batch"]
     kinds = {f.name: f.dataType.simpleString() for f in batches.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", output string, error string"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + CALL
+    names = [*keys, "kind", "output", "error", "item", "model", "input_tokens", "cached_tokens", "output_tokens"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            out: list[tuple] = []
             for row in frame.to_dict("records"):
-                todo = [[json.loads(x) for x in row["items"]]]
+                key = [row[k] for k in keys]
+                todo = [list(row["items"])]
                 while todo:
                     part = todo.pop()
                     try:
-                        done = [(json.dumps(r, ensure_ascii=False), None) for r in model_fn(part)]
+                        got = model_fn([json.loads(x) for x in part])
+                        reply = got if isinstance(got, Reply) else Reply(got)
+                        rows = [json.dumps(r, ensure_ascii=False) for r in reply.rows]
                     except Exception as e:  # noqa: BLE001 - any model failure is data here
+                        out.append((*key, "call", None, str(e), None, None, 0, 0, 0))
                         if len(part) > 1:
                             mid = len(part) // 2
                             todo += [part[mid:], part[:mid]]
-                            continue
-                        done = [(None, str(e))]
-                    out += [{**{k: row[k] for k in keys}, "output": o, "error": err} for o, err in done]
-            yield pd.DataFrame(out, columns=[*keys, "output", "error"])
+                        else:
+                            out.append((*key, "error", None, str(e), part[0] if part else None, None, 0, 0, 0))
+                        continue
+                    out += [(*key, "answer", r, None, None, None, 0, 0, 0) for r in rows]
+                    out.append((*key, "call", None, None, None, reply.model, reply.input_tokens, reply.cached_tokens, reply.output_tokens))
+            yield pd.DataFrame(out, columns=names)
 
     return staged(batches.select(*keys, "items").mapInPandas(run, schema), "model_output")
 
 
+def call_model(batches: DataFrame, by: Sequence[str], model_fn: ModelFn) -> DataFrame:
+    """``by, batch, output, error``: one JSON object per result row, or the error of a single item."""
+    return tagged_output(batches, by, model_fn).where("kind <> 'call'").select(*by, "batch", "output", "error")
+
+
+@dataclass(frozen=True)
+class ModelPass:
+    """The parts of one pass of a model stage.
+
+    ``answers``: rows that fit; ``lost``: what was asked for and has no answer, with the reason;
+    ``calls``: usage per call (``stage, by, batch, model``, tokens, ``failed``).
+    """
+
+    answers: DataFrame
+    lost: DataFrame
+    calls: DataFrame
+
+
+def model_pass(batches: DataFrame, by: Sequence[str], model_fn: ModelFn, shape: str, stage: str) -> ModelPass:
+    """Ask once and split the output; ``lost`` holds errors and rejected answers (``by, batch, item, reason``)."""
+    tagged = tagged_output(batches, by, model_fn)
+    good, rejects = parse_model_output(tagged.where("kind <> 'call'").select(*by, "batch", "output", "error", "item"), shape)
+    lost = rejects.select(*by, "batch", F.coalesce("item", "output").alias("item"), F.coalesce("error", "reject_reason").alias("reason"))
+    calls = tagged.where("kind = 'call'").select(
+        F.lit(stage).alias("stage"), *by, "batch", "model", "input_tokens", "cached_tokens", "output_tokens", F.col("error").isNotNull().alias("failed"))
+    return ModelPass(good.drop("item"), lost, calls)
+
+
+def lost_keys(asked: DataFrame, got: DataFrame, lost: DataFrame, keys: Sequence[str], field: str) -> DataFrame:
+    """``keys, reason`` of everything ``asked`` that is not in ``got``; ``field`` names a JSON field of a lost item, and the asked column, that tells which it is."""
+    by = [k for k in keys if k in lost.columns and k != "batch"]
+    why = lost.select(*by, F.get_json_object("item", f"$.{field}").alias("_at"), "reason").where("_at is not null").groupBy(*by, "_at").agg(F.min("reason").alias("reason"))
+    gone = asked.select(*keys, F.col(field).cast("string").alias("_at")).join(got.select(*keys), list(keys), "left_anti")
+    return gone.join(why, [*by, "_at"], "left").select(*keys, F.coalesce("reason", F.lit("no answer")).alias("reason"))
+
+
+def stage_summary(asked: DataFrame, p: ModelPass, by: Sequence[str] = GROUP) -> DataFrame:
+    """Per ``by``: things asked, lost, whether the stage is partial, failed calls and tokens; days without loss too."""
+    n = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("asked"))
+    lost = p.lost.groupBy(*by).agg(F.count(F.lit(1)).alias("lost"))
+    used = p.calls.groupBy(*by).agg(
+        F.count_if("failed").alias("failed_calls"), *[F.sum(c).cast("long").alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens")])
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("lost", "failed_calls", "input_tokens", "cached_tokens", "output_tokens")}
+    return n.join(lost, list(by), "left").join(used, list(by), "left").withColumns(zero).withColumn("partial", F.col("lost") > 0)
+
+
 def parse_model_output(raw: DataFrame, shape: str, column: str = "output") -> tuple[DataFrame, DataFrame]:
     """Strict reading of model output: (rows that fit, rejects with a reason).
 
@@ -156,54 +225,82 @@ def rule_segment_model(items: list[dict]) -> list[dict]:
 
 # ---- jobs ----------------------------------------------------------------------
 
-def label_hours(
+def label_hours_pass(
     packs: DataFrame, clusters: DataFrame, timeline: DataFrame, existing: DataFrame | None = None,
     model_fn: ModelFn = rule_hour_model, by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int | None = None, version: int = 1,
-) -> DataFrame:
-    """Hour labels for eligible hours that have none yet, merged with the existing ones."""
+) -> ModelPass:
+    """Labels of eligible hours that have none yet; ``lost`` has one row per hour that was sent and got none."""
     wanted = eligible_hours(packs, by, min_sec, max_hours)
     if existing is not None:
         wanted = missing_keys(wanted, existing, HOUR)
     payload = staged(H.hourly_model_input(wanted, clusters, timeline), "hour_payload")
     batches = make_batches(payload, by, ["hour_key"], "payload", K.HOUR_BATCH_ITEMS, K.HOUR_BATCH_CHARS)
-    good, _ = parse_model_output(call_model(batches, by, model_fn), "hours")
+    got = model_pass(batches, by, model_fn, "hours", "hour")
     keys = wanted.select(*HOUR, "hour_start_ts")
-    fresh = good.drop("batch").join(keys, [*by, "hour_start_ts"]).select(
+    fresh = got.answers.drop("batch").join(keys, [*by, "hour_start_ts"]).select(
         *HOUR, "hour_title", "hour_summary", "confidence", F.lit(version).cast("long").alias("version"))
+    asked = payload.select(*HOUR, F.get_json_object("payload", "$.hour_start_ts").alias("hour_start_ts"))
+    return ModelPass(fresh, lost_keys(asked, fresh, got.lost, HOUR, "hour_start_ts"), got.calls)
+
+
+def label_hours(
+    packs: DataFrame, clusters: DataFrame, timeline: DataFrame, existing: DataFrame | None = None,
+    model_fn: ModelFn = rule_hour_model, by: Sequence[str] = GROUP, min_sec: int = K.HOUR_MIN_SEC, max_hours: int | None = None, version: int = 1,
+) -> DataFrame:
+    """Hour labels for eligible hours that have none yet, merged with the existing ones."""
+    fresh = label_hours_pass(packs, clusters, timeline, existing, model_fn, by, min_sec, max_hours, version).answers
     return fresh if existing is None else upsert(existing, fresh, HOUR)
 
 
+def summarize_day_pass(
+    inputs: DataFrame, model_fn: ModelFn = rule_day_model, by: Sequence[str] = GROUP, max_chars: int = K.DAY_BATCH_CHARS,
+) -> ModelPass:
+    """Day summaries by a tree of calls: chunks of hours first, then calls over chunks until one is left per day.
+
+    No call takes more than ``max_chars`` of items: the texts of an item fill a third of that at most.  ``lost`` has the days
+    that end without a summary.
+    """
+    fields = ["hour_key", "hour_start_ts", "hour_end_ts", "active_min_est", "hour_title", "hour_summary"]
+    texts = {"hour_title": T.shorten(F.col("hour_title"), max_chars // 12), "hour_summary": T.shorten(F.col("hour_summary"), max_chars // 4)}
+    item = F.to_json(F.struct(*fields[1:]))
+    level = inputs.select(*by, *fields)
+    days, done, calls, lost, items = inputs.select(*by).distinct(), None, None, None, K.DAY_BATCH_ITEMS
+    while True:
+        rows = staged(level.withColumns(texts).withColumn("payload", item), "day_inputs")
+        packed = pack_batches(rows, by, ["hour_key"], F.length("payload"), items, max_chars)
+        chunk = staged(packed.groupBy(*by, "batch").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("hour_key", "payload"))), lambda x: x["payload"]).alias("items"),
+            F.min("hour_key").alias("hour_key"), F.min_by("hour_start_ts", "hour_key").alias("hour_start_ts"),
+            F.max_by("hour_end_ts", "hour_key").alias("hour_end_ts"), F.sum("active_min_est").alias("active_min_est"),
+            F.min_by("hour_title", "hour_key").alias("first_title")), "day_chunks")
+        got = model_pass(chunk, by, model_fn, "daily", "daily")
+        parts = staged(got.answers, "day_parts")
+        chunks = chunk.groupBy(*by).agg(F.count(F.lit(1)).alias("chunks"))
+        last = parts.join(chunks.where("chunks = 1").select(*by), list(by), "left_semi").drop("batch")
+        done = last if done is None else done.unionByName(last)
+        calls = got.calls if calls is None else calls.unionByName(got.calls)
+        lost = got.lost if lost is None else lost.unionByName(got.lost)
+        title = F.coalesce(F.nullif(F.trim("daily_title"), F.lit("")), F.col("first_title"))
+        summary = F.coalesce(F.nullif(F.trim("daily_summary"), F.lit("")), F.trim("daily_detail"))
+        many = parts.join(chunks.where("chunks > 1").select(*by), list(by), "left_semi").join(chunk.drop("items"), [*by, "batch"])
+        level = staged(many.select(*by, *fields[:4], title.alias("hour_title"), summary.alias("hour_summary")), "day_level")
+        if level.isEmpty():
+            break
+        items = 1 << 20  # chunks of chunks are bounded by their size alone
+    reason = lost.groupBy(*by).agg(F.min("reason").alias("reason"))
+    gone = days.join(done.select(*by), list(by), "left_anti").join(reason, list(by), "left").select(*by, F.coalesce("reason", F.lit("no answer")).alias("reason"))
+    return ModelPass(done, gone, calls)
+
+
 def summarize_day(inputs: DataFrame, model_fn: ModelFn = rule_day_model, by: Sequence[str] = GROUP) -> DataFrame:
-    """Day summaries: chunks of hours first, then one call over the chunks of a day."""
-    item = F.to_json(F.struct("hour_start_ts", "hour_end_ts", "active_min_est", "hour_title", "hour_summary"))
-    rows = staged(inputs.withColumn("payload", item), "day_inputs")
-    packed = pack_batches(rows, by, ["hour_key"], F.length("payload"), K.DAY_BATCH_ITEMS, K.DAY_BATCH_CHARS)
-    chunk = packed.groupBy(*by, "batch").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("hour_key", "payload"))), lambda x: x["payload"]).alias("items"),
-        F.min("hour_key").alias("hour_key"), F.min_by("hour_start_ts", "hour_key").alias("hour_start_ts"),
-        F.max_by("hour_end_ts", "hour_key").alias("hour_end_ts"), F.sum("active_min_est").alias("active_min_est"),
-        F.min_by("hour_title", "hour_key").alias("first_title"))
-    chunk = staged(chunk, "day_chunks")
-    parts, _ = parse_model_output(call_model(chunk, by, model_fn), "daily")
-    meta = chunk.drop("items")
-    title = F.coalesce(F.nullif(F.trim("daily_title"), F.lit("")), F.col("first_title"))
-    summary = F.coalesce(F.nullif(F.trim("daily_summary"), F.lit("")), F.trim("daily_detail"))
-    rolled = parts.join(meta, [*by, "batch"]).withColumn("payload", F.to_json(F.struct(
-        "hour_start_ts", "hour_end_ts", "active_min_est", title.alias("hour_title"),
-        T.shorten(summary, 160).alias("hour_summary"))))
-    chunks = F.count(F.lit(1)).alias("chunks")
-    finals = rolled.groupBy(*by).agg(
-        chunks, F.transform(F.array_sort(F.collect_list(F.struct("batch", "payload"))), lambda x: x["payload"]).alias("items"))
-    many = finals.filter("chunks > 1").withColumn("batch", F.lit(0))
-    joined, _ = parse_model_output(call_model(many, by, model_fn), "daily")
-    single = parts.join(finals.filter("chunks = 1").select(*by), list(by), "left_semi")
-    return single.drop("batch").unionByName(joined.drop("batch"))
+    """The summaries of :func:`summarize_day_pass`."""
+    return summarize_day_pass(inputs, model_fn, by).answers
 
 
-def enrich_hours(
+def enrich_hours_pass(
     overview: DataFrame, daily: DataFrame, existing: DataFrame | None = None,
     model_fn: ModelFn = rule_enrich_model, by: Sequence[str] = GROUP, version: int = 1,
-) -> DataFrame:
+) -> ModelPass:
     """Hours read again in the light of their day; only hours without a result are sent."""
     todo = overview if existing is None else missing_keys(overview, existing, HOUR)
     some = (F.trim("daily_title") != "") | (F.trim("daily_summary") != "")
@@ -212,23 +309,41 @@ def enrich_hours(
         "hour_start_ts", "hour_end_ts", "hour_title", "hour_summary", "daily_title", "daily_summary")))
     rows = staged(rows, "enrich_payload")
     batches = make_batches(rows, by, ["hour_key"], "payload", K.ENRICH_BATCH_ITEMS, K.ENRICH_BATCH_CHARS)
-    good, _ = parse_model_output(call_model(batches, by, model_fn), "hour_enrich")
-    fresh = good.drop("batch").join(todo.select(*HOUR, "hour_start_ts"), [*by, "hour_start_ts"]).select(
+    got = model_pass(batches, by, model_fn, "hour_enrich", "hour-enrich")
+    fresh = got.answers.drop("batch").join(todo.select(*HOUR, "hour_start_ts"), [*by, "hour_start_ts"]).select(
         *HOUR, "hour_title_enriched", "hour_summary_enriched", F.lit(version).cast("long").alias("version"))
+    return ModelPass(fresh, lost_keys(rows, fresh, got.lost, HOUR, "hour_start_ts"), got.calls)
+
+
+def enrich_hours(
+    overview: DataFrame, daily: DataFrame, existing: DataFrame | None = None,
+    model_fn: ModelFn = rule_enrich_model, by: Sequence[str] = GROUP, version: int = 1,
+) -> DataFrame:
+    """The results of :func:`enrich_hours_pass`, merged with the existing ones."""
+    fresh = enrich_hours_pass(overview, daily, existing, model_fn, by, version).answers
     return fresh if existing is None else upsert(existing, fresh, HOUR)
 
 
-def label_segments(
+def label_segments_pass(
     segments: DataFrame, model_fn: ModelFn = rule_segment_model, by: Sequence[str] = GROUP,
     per_day: int | None = None, batch_items: int = 20,
-) -> DataFrame:
-    """Labels for the segments of every day, or the first ``per_day`` of them."""
+) -> ModelPass:
+    """Labels for the segments of every day, or the first ``per_day`` of them; ``lost`` has the segments without one."""
     first = top_k(segments, by, [F.col("segment_id")], per_day, "_n")
     rows = first.withColumn("payload", F.to_json(F.struct("segment_id", "label", "captures", "duration_sec")))
     batches = rows.groupBy(*by, F.floor((F.col("_n") - 1) / batch_items).alias("batch")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "payload"))), lambda x: x["payload"]).alias("items"))
-    good, _ = parse_model_output(call_model(batches, by, model_fn), "segments")
-    return good.drop("batch")
+    got = model_pass(batches, by, model_fn, "segments", "segment")
+    keys = [*by, "segment_id"]
+    return ModelPass(got.answers.drop("batch"), lost_keys(first, got.answers, got.lost, keys, "segment_id"), got.calls)
+
+
+def label_segments(
+    segments: DataFrame, model_fn: ModelFn = rule_segment_model, by: Sequence[str] = GROUP,
+    per_day: int | None = None, batch_items: int = 20,
+) -> DataFrame:
+    """The labels of :func:`label_segments_pass`."""
+    return label_segments_pass(segments, model_fn, by, per_day, batch_items).answers
 
 
 def with_segment_labels(segments: DataFrame, labels: DataFrame, by: Sequence[str] = GROUP, version: str | None = None) -> DataFrame:

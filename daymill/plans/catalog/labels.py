@@ -180,11 +180,33 @@ def a7(spark, sf):
 # ---- segment labels -----------------------------------------------------------------
 
 @query("m6_label_segments", """SELECT source_id, CAST(day AS VARCHAR) AS day, seg AS segment_id, label AS task_title, captures || ' captures' AS task_summary, 'other' AS category
-FROM segt WHERE seg < 80""")
+FROM segt""")
 def m6(spark, sf):
     return M.label_segments(job(spark, sf).segments).drop("confidence")
 
 
+def _shaky_enrich(items: list[dict]) -> M.Reply:
+    """Fails at every fifth hour of a day, answers every seventh without a title, and counts a token per minute of the hour's start."""
+    hours = [int(i["hour_start_ts"][11:13]) for i in items]
+    if any(h % 5 == 0 for h in hours):
+        raise TimeoutError("timed out")
+    rows = [{"hour_start_ts": i["hour_start_ts"], "hour_title_enriched": i["hour_title"], "hour_summary_enriched": "" if h % 7 else None} for i, h in zip(items, hours)]
+    return M.Reply(rows, "small", 10 * sum(hours), 0, len(items))
+
+
+@query("m8_partial_stages", """SELECT source_id, CAST(day AS VARCHAR) AS day, count(*) AS asked, count(*) FILTER (WHERE h % 5 = 0 OR h % 7 = 0) AS lost,
+ count(*) FILTER (WHERE h % 5 = 0) AS timed_out, count(*) FILTER (WHERE h % 5 = 0 OR h % 7 = 0) > 0 AS partial,
+ CAST(10 * coalesce(sum(h) FILTER (WHERE h % 5 <> 0), 0) AS BIGINT) AS input_tokens, count(*) FILTER (WHERE h % 5 <> 0) AS output_tokens
+FROM (SELECT source_id, day, CAST(extract(hour FROM hr) AS BIGINT) AS h FROM hrow) GROUP BY source_id, day""")
+def m8_partial(spark, sf):
+    rows = A.hour_rows(spark, sf)
+    daily = rows.select(*GROUP).distinct().withColumns({"daily_title": F.lit("Day"), "daily_summary": F.lit("")})
+    p = M.enrich_hours_pass(H.hours_overview(rows), daily, model_fn=_shaky_enrich)
+    late = p.lost.groupBy(*GROUP).agg(F.count_if(F.col("reason") == "timed out").alias("timed_out"))
+    return M.stage_summary(rows, p).join(late, list(GROUP), "left").select(
+        *GROUP, "asked", "lost", F.coalesce("timed_out", F.lit(0)).alias("timed_out"), "partial", "input_tokens", "output_tokens")
+
+
 @query("f1_segments_with_labels", """SELECT source_id, CAST(day AS VARCHAR) AS day, seg AS segment_id, label, CASE WHEN seg % 3 = 0 THEN '' WHEN seg % 3 = 1 THEN 'second ' || app ELSE 'first ' || app END AS task_title,
  CASE WHEN seg % 3 = 0 THEN '' ELSE 'dev' END AS category FROM segt""")
 def f1(spark, sf):

@@ -300,6 +300,50 @@ def test_model_failure_halves_batches(spark):
     assert [r["error"] for r in got if r["error"]] == ["timed out"]
 
 
+def test_lost_hours_and_usage_are_kept(spark):
+    day = dt.date(2024, 1, 1)
+    hours = [("s", day, dt.datetime(2024, 1, 1, h), f"2024-01-01T{h:02}:00:00+00:00", f"2024-01-01T{h:02}:59:59+00:00", f"t{h}", "") for h in range(10)]
+    over = spark.createDataFrame(hours, "source_id string, day date, hour_key timestamp, hour_start_ts string, hour_end_ts string, hour_title string, hour_summary string")
+    daily = spark.createDataFrame([("s", day, "D", "")], "source_id string, day date, daily_title string, daily_summary string")
+
+    def model(items):
+        at = [int(i["hour_title"][1:]) for i in items]
+        if 3 in at:
+            raise RuntimeError("no network")
+        rows = M.rule_enrich_model([i for i, h in zip(items, at) if h != 5])
+        return M.Reply([r | ({"hour_title_enriched": None} if r["hour_start_ts"][11:13] == "07" else {}) for r in rows], "m", 2 * len(items), 1, 3)
+
+    p = M.enrich_hours_pass(over, daily, model_fn=model)
+    assert sorted((r.hour_key.hour, r.reason) for r in p.lost.collect()) == [(3, "no network"), (5, "no answer"), (7, "fields missing or out of range")]
+    assert sorted(r.hour_key.hour for r in p.answers.collect()) == [0, 1, 2, 4, 6, 8, 9]
+    (sums,) = M.stage_summary(over, p).collect()
+    assert (sums.asked, sums.lost, sums.partial, sums.input_tokens) == (10, 3, True, 18) and sums.failed_calls > 1
+    again = M.enrich_hours(over, daily, p.answers, version=2)
+    assert sorted((r.hour_key.hour, r.version) for r in again.collect()) == [(h, 2 if h in (3, 5, 7) else 1) for h in range(10)]
+    broken = M.enrich_hours_pass(over, daily, model_fn=lambda items: 1 / 0)
+    assert broken.lost.count() == 10 and broken.answers.count() == 0
+
+
+def test_day_tree_never_asks_too_much(spark):
+    day = dt.date(2024, 1, 1)
+    rows = spark.range(1500).select(
+        F.lit("s").alias("source_id"), F.lit(day).alias("day"), F.timestamp_seconds(F.col("id") + 1_704_000_000).alias("hour_key"),
+        F.col("id").cast("string").alias("hour_start_ts"), F.col("id").cast("string").alias("hour_end_ts"), F.lit(1).cast("long").alias("active_min_est"),
+        F.concat(F.lit("title "), F.col("id") % 9).alias("hour_title"), F.repeat(F.lit("long text "), 900).alias("hour_summary"))
+    other = rows.limit(3).withColumn("source_id", F.lit("few")).withColumn("hour_summary", F.lit("x"))
+
+    def model(items):
+        if sum(len(json.dumps(i, ensure_ascii=False, separators=(",", ":"))) + 1 for i in items) + 2 > 6000:
+            raise ValueError("too much")
+        return M.rule_day_model(items)
+
+    p = M.summarize_day_pass(rows.unionByName(other), model)
+    assert p.lost.count() == 0 and p.calls.where("failed").count() == 0
+    got = {r.source_id: r for r in p.answers.collect()}
+    assert set(got) == {"s", "few"} and got["few"].daily_summary == ", ".join(dict.fromkeys(r.hour_title for r in other.collect()))
+    assert M.summarize_day_pass(other, lambda items: []).lost.collect()[0].reason == "no answer"
+
+
 def test_ledger_clears_on_success(spark):
     at = spark.createDataFrame([("a", 1, False, "x"), ("a", 2, True, None), ("a", 3, False, "y"), ("a", 4, False, "z"), ("b", 1, False, "x"), ("b", 2, True, None)],
                                "k string, n int, ok boolean, error_kind string").withColumn("ts", F.timestamp_seconds("n"))
