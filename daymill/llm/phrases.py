@@ -2,15 +2,14 @@
 
 1. Texts are split into words once.  Each written row holds the words of some texts of one language:
    their spelling, one 64-bit hash per distinct word, and the sequence as numbers.
-2. For n = 2, 3, ... a pass over these rows takes the fingerprint of every n-gram from prefix
-   polynomials over the word hashes (numpy, modulo 2**64), counts equal ones within the row and sums the counts by
-   fingerprint in a shuffle.  An n-gram is passed over when one of its two (n-1)-grams is known to be rarer
-   than ``least``, as it is then rarer itself.  What is known is a bitmap over fingerprints, filled by Spark and of fixed
-   size; a full bitmap passes more n-grams to the shuffle and never loses one.
-3. A last pass marks, by the same bitmaps, the n-grams whose fingerprints are frequent.  Each
-   row reads a phrase back from the text at the fingerprint's first occurrence, after comparing the words of all
-   its occurrences with it (those that differ are counted apart), and the shuffle sums by the phrase itself.  So
-   counts are exact whatever collides, and only frequent phrases become text.
+2. For n = 1, 2, ... a pass over these rows takes the fingerprint of every n-gram from prefix
+   polynomials over the word hashes (numpy, modulo 2**64), counts equal ones within the row, and a shuffle sums the counts by
+   fingerprint, with a pointer to a row that holds it and a sum of check values from other multipliers.  An n-gram is passed over when
+   one of its two (n-1)-grams is known to be rarer than ``least``, as it is then rarer itself.  What is known is a bitmap over
+   fingerprints, filled by Spark and of fixed size; a full bitmap passes more n-grams to the shuffle and never loses one.
+3. Pointers of frequent fingerprints are sent to their rows, where each is read back as text once.  Its check value
+   times its count must give the sum; where it does not, several phrases share the fingerprint, and these are counted again by
+   their words.  So only frequent phrases become text.
 4. Cuts of a candidate join the counts of their parts; parts of a frequent phrase are frequent.
 
 Tasks hold one row of about ``CHUNK`` bytes of text (or one text) at a time.  Common phrases are counted within
@@ -25,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,12 @@ from daymill.session import staged, work_folder
 CHUNK = 10 << 20
 #: Size of a bitmap over fingerprints: 2**26 bits are 8 MB.
 FILTER_BITS = 26
+#: Bits of a fingerprint; rows of a shuffle are sorted by it, so fewer bits compress well.
+PRINT_BITS = 56
+#: Bits of a check value; times a count it must fit 64 bits.
+CHECK_BITS = 24
+#: Rows of words of one task at most, and the bits of a task number that fingerprints spread pointers over.
+TASK_ROWS, SPREAD = 1 << 12, 0xFFFF
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = 1 << 64
 
@@ -74,7 +81,7 @@ class _Numbers(dict):
         return n
 
 
-WORDS = "lang string, n_words bigint, words binary, hashes binary, codes binary"
+WORDS = "chunk bigint, lang string, n_words bigint, words binary, hashes binary, codes binary"
 
 
 def word_rows(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -83,14 +90,17 @@ def word_rows(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        from pyspark import TaskContext
+
+        chunk = count(TaskContext.get().partitionId() * TASK_ROWS)
 
         def row(name: str, numbers: _Numbers, parts: list[np.ndarray]) -> pa.RecordBatch:
             codes = np.concatenate(parts)
             seed = xxhash.xxh64_intdigest(name.encode())
             hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in numbers], np.uint64)
             return pa.RecordBatch.from_arrays([
-                pa.array([name]), pa.array([int(np.count_nonzero(codes))], pa.int64()), pa.array([b"\n".join(numbers)], pa.binary()),
-                pa.array([hashes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["lang", "n_words", "words", "hashes", "codes"])
+                pa.array([next(chunk)]), pa.array([name]), pa.array([int(np.count_nonzero(codes))], pa.int64()), pa.array([b"\n".join(numbers)], pa.binary()),
+                pa.array([hashes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], names=["chunk", "lang", "n_words", "words", "hashes", "codes"])
 
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         size = 0
@@ -119,11 +129,13 @@ def word_rows(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
 class Grams:
     """The n-grams of one row of words."""
 
-    def __init__(self, hashes: bytes, codes: bytes):
+    def __init__(self, hashes: bytes, codes: bytes, prints: int = PRINT_BITS):
+        self.unused = np.uint64(64 - prints)
         self.codes = np.frombuffer(codes, np.int32)
         n = len(self.codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.multiply(np.frombuffer(hashes, np.uint64)[self.codes], _powers(_BASE, n), out=self.sums[1:])
+        self.hashes = np.frombuffer(hashes, np.uint64)
+        np.multiply(self.hashes[self.codes], _powers(_BASE, n), out=self.sums[1:])
         np.cumsum(self.sums, out=self.sums)
         self.back = _powers(pow(_BASE, -1, _WRAP), n)
         self.ends = np.zeros(n + 1, np.int32)
@@ -138,6 +150,7 @@ class Grams:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
+        x >>= self.unused
         return x
 
     def inside(self, n: int) -> np.ndarray:
@@ -153,6 +166,14 @@ class Grams:
         at >>= np.uint64(3)
         return self.inside(n) & (bits[at] >> bit & np.uint8(1)).astype(bool)
 
+    def checks(self, n: int, places: np.ndarray) -> np.ndarray:
+        """Check values of the n-grams at ``places``, from the words alone."""
+        x = np.zeros(len(places), np.uint64)
+        for j in range(n):
+            x = (x + self.hashes[self.codes[places + j]]) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+        return (x >> np.uint64(64 - CHECK_BITS)).astype(np.int64)
+
 
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of ``base`` modulo 2**64."""
@@ -161,28 +182,44 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def _pairs(values: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(values), 1 << 17):
-        yield pa.RecordBatch.from_arrays([pa.array(values[i:i + (1 << 17)].view(np.int64)), pa.array(counts[i:i + (1 << 17)].astype(np.int64))], names=["fp", "a"])
+FOUND = ["fp", "a", "at", "checks"]
+
+
+def _counted(g: Grams, n: int, ok: np.ndarray, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Columns :data:`FOUND` of the distinct n-grams where ``ok``, in the order of fingerprints."""
+    places = np.flatnonzero(ok)
+    if not len(places):
+        return
+    f = g.fingerprints(n)[places].view(np.int64)
+    order = np.argsort(f)
+    f, checks = f[order], g.checks(n, places[order])
+    starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+    counts, sums, f = np.diff(starts, append=len(f)), np.add.reduceat(checks, starts), f[starts]
+    at = chunk ^ (f & SPREAD) * TASK_ROWS
+    for i in range(0, len(f), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16)]) for x in (f, counts, at, sums)], names=FOUND)
+
 
+def frequent_fingerprints(rows: DataFrame, n: int, known: np.ndarray | None, least: int, prints: int = PRINT_BITS) -> DataFrame:
+    """Fingerprints of n-grams found at least ``least`` times, both of whose (n-1)-grams are in the bitmap.
 
-def frequent_fingerprints(rows: DataFrame, n: int, known: np.ndarray | None, least: int) -> DataFrame:
-    """Fingerprints (fp, a) of n-grams found at least ``least`` times, both of whose (n-1)-grams are in the bitmap."""
+    ``at`` is the smallest of the numbers of the rows that hold it, each mixed with the fingerprint, so that rows share the pointers.
+    """
     shared = None if known is None else rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for hashes, codes in zip(b.column("hashes"), b.column("codes")):
-                g = Grams(hashes.as_buffer(), codes.as_buffer())
+            for chunk, hashes, codes in zip(b.column("chunk").to_pylist(), b.column("hashes"), b.column("codes")):
+                g = Grams(hashes.as_buffer(), codes.as_buffer(), prints)
                 ok = g.inside(n)
                 if shared is not None:
                     part = g.marked(n - 1, shared.value)
                     ok &= part[:len(ok)] & part[1:len(ok) + 1]
-                yield from _pairs(*np.unique(g.fingerprints(n)[ok], return_counts=True))
+                yield from _counted(g, n, ok, chunk)
         pa.default_memory_pool().release_unused()  # a worker stays idle for a while
 
-    found = rows.select("hashes", "codes").mapInArrow(run, "fp bigint, a bigint")
-    return found.groupBy("fp").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    found = rows.select("chunk", "hashes", "codes").mapInArrow(run, ", ".join(f"{c} bigint" for c in FOUND))
+    return found.groupBy("fp").agg(F.sum("a").alias("a"), F.min("at").alias("at"), F.sum("checks").alias("checks")).where(F.col("a") >= least)
 
 
 def bitmap(fingerprints: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -195,48 +232,75 @@ def bitmap(fingerprints: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _first_of(codes: np.ndarray, places: np.ndarray, fps: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each distinct phrase, its count) among n-grams at ``places``; words decide, fingerprints only sort."""
-    _, first, inverse, counts = np.unique(fps, return_index=True, return_inverse=True, return_counts=True)
-    pointer = places[first][inverse]
-    same = np.ones(len(places), bool)
-    for j in range(n):
-        same &= codes[places + j] == codes[pointer + j]
-    if same.all():
-        return places[first], counts
-    grams = np.stack([codes[places + j] for j in range(n)], axis=1)
-    _, first, counts = np.unique(grams, axis=0, return_index=True, return_counts=True)
-    return places[first], counts
+def _texts(g: Grams, words: bytes, places: np.ndarray, n: int) -> pa.Array:
+    import pyarrow.compute as pc
 
+    spelt = pa.array(words.decode().split("\n"))
+    parts = [spelt.take(pa.array(g.codes[places + j])) for j in range(n)]
+    return pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
 
-def phrase_counts(rows: DataFrame, how: Mining, bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, n, phrase, a): words and phrases found at least ``least`` times, with their exact counts."""
-    maps = []
-    for n in range(1, how.longest + 1):
-        # words are counted with their (empty) context: every place is a 1-gram
-        maps.append(bitmap(frequent_fingerprints(rows, n, maps[-1] if maps else None, how.least), bits))
-    shared = rows.sparkSession.sparkContext.broadcast(maps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
+def read_back(rows: DataFrame, frequent: DataFrame, prints: int = PRINT_BITS) -> DataFrame:
+    """(lang, n, fp, phrase, a, sole) of frequent fingerprints (n, fp, a, at, checks); ``sole``: no other phrase has the fingerprint."""
+    chunk = F.col("at").bitwiseXOR(F.col("fp").bitwiseAND(F.lit(SPREAD)) * TASK_ROWS)
+    # as many as a row has n-grams, at most
+    wanted = frequent.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("n", "fp", "a", "checks")).alias("wanted"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, words, hashes, codes in zip(b.column("lang").to_pylist(), *(b.column(c) for c in ("words", "hashes", "codes"))):
-                g = Grams(hashes.as_buffer(), codes.as_buffer())
-                spelt = pa.array(words.as_py().decode().split("\n"))
-                for n, bits in enumerate(shared.value, 1):
-                    places = np.flatnonzero(g.marked(n, bits))
-                    if not len(places):
-                        continue
-                    at, counts = _first_of(g.codes, places, g.fingerprints(n)[places], n)
-                    texts = [spelt.take(pa.array(g.codes[at + j])) for j in range(n)]
+            for i in range(b.num_rows):
+                g = Grams(b.column("hashes")[i].as_buffer(), b.column("codes")[i].as_buffer(), prints)
+                n_of, fp, a, checks = (x.to_numpy() for x in b.column("wanted")[i].values.flatten())
+                for n in np.unique(n_of).tolist():
+                    mine = np.flatnonzero(n_of == n)
+                    mine = mine[np.argsort(fp[mine])]
+                    f = g.fingerprints(n).view(np.int64)
+                    line = np.minimum(np.searchsorted(fp[mine], f), len(mine) - 1)
+                    hit = np.flatnonzero((fp[mine][line] == f) & g.inside(n))
+                    at, first = np.unique(line[hit], return_index=True)
+                    places, mine = hit[first], mine[at]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(at)), pa.array(np.full(len(at), n, np.int32)),
-                        pc.binary_join_element_wise(*texts, " ") if n > 1 else texts[0], pa.array(counts.astype(np.int64))],
-                        names=["lang", "n", "phrase", "a"])
+                        pa.array([b.column("lang")[i].as_py()] * len(mine)), pa.array(np.full(len(mine), n, np.int32)), pa.array(fp[mine]),
+                        _texts(g, b.column("words")[i].as_py(), places, n), pa.array(a[mine]),
+                        pa.array(g.checks(n, places) * a[mine] == checks[mine])], names=["lang", "n", "fp", "phrase", "a", "sole"])
+
+    return rows.join(wanted, "chunk").mapInArrow(run, "lang string, n int, fp bigint, phrase string, a bigint, sole boolean")
+
+
+def counted_again(rows: DataFrame, shared_prints: DataFrame, least: int, bits: int, prints: int = PRINT_BITS) -> DataFrame:
+    """(lang, n, phrase, a) of the phrases with the fingerprints (n, fp), counted by their words."""
+    numbers = [r["n"] for r in shared_prints.select("n").distinct().collect()]  # as many as lengths
+    maps = rows.sparkSession.sparkContext.broadcast({n: bitmap(shared_prints.where(F.col("n") == n), bits) for n in numbers})
 
-    found = rows.mapInArrow(run, "lang string, n int, phrase string, a bigint")
-    return found.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= how.least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                g = Grams(b.column("hashes")[i].as_buffer(), b.column("codes")[i].as_buffer(), prints)
+                for n, known in maps.value.items():
+                    places = np.flatnonzero(g.marked(n, known))
+                    if len(places):
+                        grams = np.stack([g.codes[places + j] for j in range(n)], axis=1)
+                        _, first, counts = np.unique(grams, axis=0, return_index=True, return_counts=True)
+                        at = places[first]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([b.column("lang")[i].as_py()] * len(at)), pa.array(np.full(len(at), n, np.int32)),
+                            pa.array(g.fingerprints(n)[at].view(np.int64)), _texts(g, b.column("words")[i].as_py(), at, n), pa.array(counts)],
+                            names=["lang", "n", "fp", "phrase", "a"])
+
+    found = rows.mapInArrow(run, "lang string, n int, fp bigint, phrase string, a bigint").join(shared_prints, ["n", "fp"], "left_semi")
+    return found.groupBy("lang", "n", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def phrase_counts(rows: DataFrame, how: Mining, bits: int = FILTER_BITS, prints: int = PRINT_BITS) -> DataFrame:
+    """(lang, n, phrase, a): words and phrases found at least ``least`` times, with their exact counts."""
+    known, parts = None, []
+    for n in range(1, how.longest + 1):
+        parts.append(staged(frequent_fingerprints(rows, n, known, how.least, prints), "prints").withColumn("n", F.lit(n)))
+        known = bitmap(parts[-1], bits)
+    found = staged(read_back(rows, reduce(DataFrame.unionByName, parts), prints), "read-back")
+    sole = found.where("sole").select("lang", "n", "phrase", "a")
+    several = found.where("not sole").select("n", "fp")
+    return sole if several.isEmpty() else sole.unionByName(counted_again(rows, several, how.least, bits, prints))
 
 
 def collocations(docs: DataFrame, how: Mining = Mining(), text: str = "text", lang: str = "lang") -> DataFrame:
