@@ -32,8 +32,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Stands for the end of a word in vocabularies with an end-of-word suffix; no byte has this code.
 WORD_END = "Ā"
 #: Results and pair tests kept during a task; beyond that a table starts afresh.
-KEEP_WORDS = 250_000
-KEEP_PAIRS = 250_000
+KEEP_WORDS = 120_000
+KEEP_PAIRS = 120_000
 _NEVER = 1 << 60
 
 

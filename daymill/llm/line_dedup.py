@@ -42,13 +42,14 @@ class Chunking:
 
 
 def chunks(text: Column, how: Chunking) -> Column:
-    """Array of (start, n, text): the lines, from 0, that are looked up in ``text``."""
+    """Array of (start, n, h): the lines, from 0, that are looked up in ``text``, and their hash."""
     mod = 1 << 28
     line_hash = lambda l: F.conv(F.substring(F.md5(F.encode(l, "UTF-8")), 1, 7), 16, 10).cast("long")
     n_words = lambda l: F.size(F.array_remove(F.split(l, r"[\x20\x09-\x0D]+"), ""))
     is_long = lambda l: F.when(F.length(l) > 2 * how.long_words, n_words(l) > how.long_words).otherwise(False)
     lines = F.split(text, "\n")
-    named = F.array(F.struct(lines.alias("lines"), F.transform(lines, line_hash).alias("hashes"), F.transform(lines, is_long).alias("long")))
+    named = F.array(F.struct(lines.alias("lines"), F.transform(lines, line_hash).alias("hashes"), F.transform(lines, is_long).alias("long"),
+                             F.transform(lines, lambda l: l.rlike(r"[^\x20\x09-\x0D]")).alias("seen")))
 
     def ends(x: Column) -> Column:
         hashes = x["hashes"]
@@ -58,8 +59,9 @@ def chunks(text: Column, how: Chunking) -> Column:
         return F.filter(places, lambda i: (rolled(i) % how.divisor != 0) | F.get(x["long"], i) | F.coalesce(F.get(x["long"], i + 1), F.lit(True)))
 
     def full(x: Column) -> Column:
-        part = lambda start, end: F.struct(start.alias("start"), (end - start + 1).alias("n"), F.array_join(
-            F.slice(x["lines"], start + 1, end - start + 1), "\n").alias("text"))
+        part = lambda start, end: F.when(
+            F.array_contains(F.slice(x["seen"], start + 1, end - start + 1), True), F.struct(
+                start.alias("start"), (end - start + 1).alias("n"), F.xxhash64(F.slice(x["lines"], start + 1, end - start + 1)).alias("h")))
 
         def looked_up(e: Column, k: Column) -> Column:
             start = F.coalesce(F.get(x["ends"], k - 1) + 1, F.lit(0))
@@ -68,30 +70,28 @@ def chunks(text: Column, how: Chunking) -> Column:
 
         return F.filter(F.flatten(F.transform(x["ends"], looked_up)), lambda c: c.isNotNull())
 
-    with_ends = F.transform(named, lambda x: F.struct(x["lines"].alias("lines"), x["long"].alias("long"), ends(x).alias("ends")))
+    with_ends = F.transform(named, lambda x: F.struct(
+        x["lines"].alias("lines"), x["long"].alias("long"), x["seen"].alias("seen"), ends(x).alias("ends")))
     return F.transform(with_ends, full)[0]
 
 
 def repeated_chunks(docs: DataFrame, how: Chunking) -> DataFrame:
     """Rows (k, th, start, end) of the lines to remove from documents (k, th, text)."""
-    whole = F.filter(chunks(F.col("text"), how), lambda c: c["text"].rlike(r"[^\x20\x09-\x0D]"))
-    found = docs.select("k", "th", F.explode(F.transform(whole, lambda c: F.struct(
-        c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(c["text"]).alias("h"), F.length(c["text"]).alias("chars")))).alias("c"))
-    found = staged(found.select("k", "th", "c.*"), "chunks")
+    found = staged(docs.select("k", "th", F.explode(chunks(F.col("text"), how)).alias("c")).select("k", "th", "c.*"), "chunks")
     place = F.struct("k", "th", "start")
-    repeats = found.groupBy("h", "chars").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "chars", "first")
-    held = staged(found.join(repeats, ["h", "chars"]), "repeats")
-    wanted = held.groupBy("th", "k").agg(F.collect_set(F.struct("start", "n", "h", "chars", "first")).alias("c")).withColumnsRenamed({"th": "th2", "k": "k2"})
+    repeats = found.groupBy("h", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "n", "first")
+    held = staged(found.join(repeats, ["h", "n"]), "repeats")
+    wanted = held.groupBy("th", "k").agg(F.collect_set(F.struct("start", "n", "h", "first")).alias("c")).withColumnsRenamed({"th": "th2", "k": "k2"})
     texts = docs.join(wanted, (F.col("th") == F.col("th2")) & F.col("k").eqNullSafe(F.col("k2"))).select(
         "k", "th", F.split("text", "\n").alias("lines"), F.explode("c").alias("c")).select(
         "k", "th", "c.*", F.array_join(F.slice("lines", F.col("c.start") + 1, F.col("c.n")), "\n").alias("text"))
     texts = staged(texts, "texts")
-    seen = texts.groupBy("h", "chars").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
-    seen = staged(seen.select("h", "chars", (F.col("lo") == F.col("hi")).alias("equal")), "compared")
-    clashing = texts.join(seen.where("not equal").select("h", "chars"), ["h", "chars"])
-    first = clashing.where(place == F.col("first")).select("h", "chars", F.col("text").alias("first_text")).distinct()
-    equal = held.join(seen.where("equal").select("h", "chars"), ["h", "chars"]).unionByName(
-        clashing.join(first, ["h", "chars"]).where("text = first_text").select(*held.columns))
+    seen = texts.groupBy("h", "n").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    seen = staged(seen.select("h", "n", (F.col("lo") == F.col("hi")).alias("equal")), "compared")
+    clashing = texts.join(seen.where("not equal").select("h", "n"), ["h", "n"])
+    first = clashing.where(place == F.col("first")).select("h", "n", F.col("text").alias("first_text")).distinct()
+    equal = held.join(seen.where("equal").select("h", "n"), ["h", "n"]).unionByName(
+        clashing.join(first, ["h", "n"]).where("text = first_text").select(*held.columns))
     end = F.col("start") + F.col("n") - 1
     own = F.col("k").eqNullSafe(F.col("first.k")) & (F.col("th") == F.col("first.th"))
     start = F.when(own, F.greatest("start", F.col("first.start") + F.col("n"))).otherwise(F.col("start"))
