@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from daymill.operators import filters as B
 from daymill.operators import ledger as L
 from daymill.plans.catalog.base import TS, query
+from daymill.session import work_folder
 from daymill.sources import logs
 from daymill.sources import samples as A
 
@@ -103,6 +104,16 @@ def a9(spark, sf):
     return logs.apply_retention(o, F.lit("1998-08-02").cast("date"), 400)
 
 
+@query("a9_drop_old_days", """SELECT source_id, CAST(day AS VARCHAR) AS day, count(*) AS events FROM ev
+WHERE date_diff('day', day, (SELECT max(day) FROM ev)) < 10 GROUP BY source_id, day""")
+def a9_drop(spark, sf):
+    path = work_folder(spark, "retention")
+    ev = A.events(spark, sf)
+    logs.append_events(ev, path)
+    logs.drop_old_days(spark, path, ev.agg(F.max("day")).first()[0], 10)
+    return logs.read_events(spark, path)[0].groupBy("source_id", "day").agg(F.count(F.lit(1)).alias("events"))
+
+
 LI = """li AS (SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey * 10 + l_linenumber AS page_id,
  CASE WHEN l_linenumber = 1 THEN '週次レポート ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || ' report' WHEN l_linenumber = 2 THEN 'log ' || strftime(l_shipdate, '%y-%m-%d') ELSE 'log' END AS title FROM lineitem)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import time
 from collections.abc import Sequence
 
@@ -216,6 +218,36 @@ def apply_retention(df: DataFrame, today: Column, days: int, day: str = "day") -
     return df.filter(F.datediff(today, F.col(day)) < max(1, days))
 
 
+#: Names of day folders: of a partition, or of outputs with a run number.
+_DAY_FOLDER = re.compile(r"(?:day=)?(\d{4}-\d{2}-\d{2})(?:-\d+)?")
+
+
+def drop_old_days(spark: SparkSession, path: str, today: dt.date, days: int, dry_run: bool = False) -> list[str]:
+    """Delete the day folders under ``path``, or under its ``source_id=…`` folders, that are ``days`` old or older.
+
+    Works on names alone through Spark's file system, so nothing is read; other folders stay.  Returns the names, sorted; with
+    ``dry_run`` those that would go.  A second run finds nothing.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for pattern in ("*", "source_id=*/*"):
+        for x in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, pattern)) or []:
+            name = _DAY_FOLDER.fullmatch(x.getPath().getName())
+            if not name or not x.isDirectory():
+                continue
+            try:
+                age = (today - dt.date.fromisoformat(name[1])).days
+            except ValueError:  # no day of the calendar
+                continue
+            if age >= max(1, days):
+                parent = x.getPath().getParent().getName()
+                gone.append(f"{parent}/{x.getPath().getName()}" if "/" in pattern else x.getPath().getName())
+                if not dry_run:
+                    fs.delete(x.getPath(), True)
+    return sorted(gone)
+
+
 # ---- power log and rules -----------------------------------------------------------
 
 def parse_power_lines(lines: DataFrame, *keep: str) -> DataFrame:

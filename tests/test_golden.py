@@ -431,6 +431,21 @@ def test_many_rules_at_once_give_the_first_by_rank(spark):
         assert [r.r for r in rows] == [want(r.a, r.h, r.t) for r in rows]
 
 
+def test_old_day_folders_go(spark):
+    from daymill.session import work_folder
+
+    base = work_folder(spark, "old")
+    today = dt.date(2024, 3, 10)
+    names = ["2024-03-10", "2024-03-09-2", "2024-03-07", "2024-03-06", "2024-02-30", "notes", "day=2024-03-01", "source_id=a/day=2024-03-06", "source_id=a/day=2024-03-08"]
+    for n in names:
+        spark.range(1).write.parquet(f"{base}/{n}")
+    want = ["2024-03-06", "2024-03-07", "day=2024-03-01", "source_id=a/day=2024-03-06"]
+    assert logs.drop_old_days(spark, base, today, 3, dry_run=True) == want == logs.drop_old_days(spark, base, today, 3)
+    assert logs.drop_old_days(spark, base, today, 3) == []
+    assert sorted(x for x in logs.children(spark, base) if not x.endswith(".crc")) == ["2024-02-30", "2024-03-09-2", "2024-03-10", "notes", "source_id=a"]
+    assert logs.drop_old_days(spark, base + "-none", today, 3) == []
+
+
 def test_lines_without_counts_wait(spark):
     from daymill.session import work_folder
     from daymill.streaming import jobs as J
