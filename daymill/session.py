@@ -38,19 +38,27 @@ def _hadoop_path(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def require_shared(scheme: str, master: str) -> None:
+    """An error where executors on other machines could not reach the folder."""
+    if scheme == "file" and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables.
 
-    It lies under ``spark.checkpoint.dir``, or where that is unset under the warehouse; both
-    are folders that every executor reaches.  It is deleted when the application ends.
+    It lies under ``spark.checkpoint.dir``, which every executor reaches, or where that is unset under the
+    warehouse.  On a cluster a warehouse of one machine is an error.  The folder is deleted when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _RUNS:
-        base = (spark.conf.get("spark.checkpoint.dir", None)
-                or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-                or spark.conf.get("spark.sql.warehouse.dir"))
-        _RUNS[app] = f"{base.rstrip('/')}/daymill-{app}"
-        at, fs = _hadoop_path(spark, _RUNS[app])
+        given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        base = given or spark.conf.get("spark.sql.warehouse.dir")
+        folder = f"{base.rstrip('/')}/daymill-{app}"
+        at, fs = _hadoop_path(spark, folder)
+        if not given:
+            require_shared(fs.getUri().getScheme(), spark.sparkContext.master)
+        _RUNS[app] = folder
         atexit.register(_delete, fs, at)
     return _RUNS[app]
 

@@ -431,6 +431,15 @@ def test_many_rules_at_once_give_the_first_by_rank(spark):
         assert [r.r for r in rows] == [want(r.a, r.h, r.t) for r in rows]
 
 
+def test_a_folder_of_one_machine_is_no_shared_folder():
+    from daymill.session import require_shared
+
+    require_shared("file", "local[8]")
+    require_shared("hdfs", "yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        require_shared("file", "spark://host:7077")
+
+
 def test_old_day_folders_go(spark):
     from daymill.session import work_folder
 
