@@ -192,3 +192,7 @@ NOTE_TEXTS = {
     "keys": ("週報用の要点として、", "を整理した。"),
 }
 NOT_RUN = "未実行"
+
+# ---- fixed values: states of the day job and the week job --------------------
+HOURS_MISSING, HOURS_UNAVAILABLE = "hourly_llm_missing:", "hourly_llm_unavailable"
+WEEK_ERRORS = {"partial": "report_written_with_partial_snapshots", "fallback": "report_written_with_fallback_clustering"}

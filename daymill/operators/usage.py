@@ -66,5 +66,18 @@ def usage_text(inp: Column, cached: Column, out: Column) -> Column:
     return F.concat(F.lit("input "), int_text(inp), note, F.lit(" / output "), int_text(out), F.lit(" tokens"))
 
 
+def usage_map(calls: DataFrame, prices: DataFrame, by: Sequence[str], tier: str = "standard") -> DataFrame:
+    """``by, usage``: a map from stage to its tokens, cost and model names, as report lines read it.
+
+    Calls that failed or name no model tell nothing about usage; a stage with only such calls has no entry.
+    """
+    known = usage_cost(calls.filter(~F.col("failed") & F.col("model").isNotNull()), prices, tier)
+    per = known.groupBy(*by, "stage").agg(
+        *[F.sum(c).cast("long").alias(c) for c in COUNTERS], F.sum("cost_usd").alias("cost_usd"),
+        F.array_join(F.array_sort(F.collect_set("model")), ", ").alias("model"))
+    entry = F.struct("stage", F.struct(*COUNTERS, "cost_usd", "model").alias("used"))
+    return per.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("usage"))
+
+
 def week_total(days: DataFrame, by: Sequence[str], seconds: str = "total_active_sec_est") -> DataFrame:
     return days.groupBy(*by).agg(F.sum(seconds).cast("long").alias("week_active_sec"))

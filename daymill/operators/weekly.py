@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from daymill.functions import fixed as K
 from daymill.functions import text as T
 from daymill.functions.timefmt import duration_text, week_end, week_start, weekday_name
+from daymill.operators.enrich import ModelPass, model_pass
 from daymill.operators.ordered import distinct_texts, top_k
 
 WEEK = ["source_id", "week_start"]
@@ -202,24 +203,30 @@ def validate_clusters(items: DataFrame, clusters: DataFrame, by: Sequence[str] =
     return out
 
 
-def cluster_week_tasks(
+def cluster_week_tasks_pass(
     items: DataFrame, model_fn: Callable[[list[dict]], list[dict]], by: Sequence[str] = WEEK
-) -> DataFrame:
-    """Model clusters per week where they validate, rule-based clusters elsewhere."""
-    from daymill.operators.enrich import call_model, parse_model_output
-
+) -> ModelPass:
+    """Model clusters per week where they validate, rule-based clusters elsewhere; ``lost`` tells why a week fell back."""
     item = F.struct("day", "idx", F.to_json(F.struct("id", "hour_title", "hour_summary", "cluster_labels", "active_sec_est")).alias("j"))
     weeks = items.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]).alias("items"))
     calls = weeks.select(*by, F.lit(0).alias("batch"), F.array(F.to_json(F.struct("items"))).alias("items"))
-    raw = call_model(calls, by, lambda part: model_fn(_week_items(part)))
-    good, rejects = parse_model_output(raw, "week_clusters")
-    model = good.drop("batch")
-    bad = validate_clusters(items, model, by).select(*by).unionByName(rejects.select(*by)).distinct()
+    got = model_pass(calls, by, lambda part: model_fn(_week_items(part)), "week_clusters", "weekly-clustering")
+    model = got.answers.drop("batch")
+    flaws = validate_clusters(items, model, by).select(*by, F.col("problem").alias("reason"), F.lit(1).alias("_at"))
+    why = got.lost.select(*by, "reason", F.lit(0).alias("_at")).unionByName(flaws)
+    bad = why.groupBy(*by).agg(F.min_by("reason", F.struct("_at", "reason")).alias("reason"))
     fine = model.join(bad, list(by), "left_anti").withColumn("strategy", F.lit("model"))
     rest = items.join(bad, list(by), "left_semi")
     rule = fallback_task_clusters(rest, by).withColumn("strategy", F.lit("fallback"))
     cols = [*by, "cluster_id", "canonical_task_name", "item_ids", "confidence", "strategy"]
-    return fine.select(*cols).unionByName(rule.select(*cols))
+    return ModelPass(fine.select(*cols).unionByName(rule.select(*cols)), bad, got.calls)
+
+
+def cluster_week_tasks(
+    items: DataFrame, model_fn: Callable[[list[dict]], list[dict]], by: Sequence[str] = WEEK
+) -> DataFrame:
+    """The clusters of :func:`cluster_week_tasks_pass`."""
+    return cluster_week_tasks_pass(items, model_fn, by).answers
 
 
 def _week_items(part: list[dict]) -> list[dict]:
@@ -308,20 +315,22 @@ def merge_week_summary(primary: DataFrame, fallback: DataFrame, by: Sequence[str
     }).drop("_p")
 
 
-def summarize_week(notes: DataFrame, model_fn: Callable[[list[dict]], list[dict]] | None = None) -> DataFrame:
-    """Week summaries: the model over usable notes where it answers, else the fallback."""
-    from daymill.operators.enrich import call_model, parse_model_output
-
-    spare = week_summary_fallback(notes)
-    if model_fn is None:
-        return spare
+def summarize_week_pass(notes: DataFrame, model_fn: Callable[[list[dict]], list[dict]]) -> ModelPass:
+    """Week summaries: the model over usable notes where it answers, else the fallback; ``lost`` tells why a week fell back."""
     usable = notes.filter((clean(F.col("overview")) != "") | (clean(F.col("detail")) != "") | (clean(F.col("title")) != ""))
     item = F.struct("day", F.to_json(F.struct(
         "day", "weekday", "title", "overview", "detail", "highlights", "total_active_sec_est", "status")).alias("j"))
     calls = usable.groupBy(*WEEK).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]).alias("n")).select(
         *WEEK, F.lit(0).alias("batch"), F.array(F.to_json(F.struct(F.col("n").alias("items")))).alias("items"))
-    good, _ = parse_model_output(call_model(calls, WEEK, lambda part: model_fn(_week_items(part))), "week_summary")
-    return merge_week_summary(good.drop("batch").withColumn("source", F.lit("model")), spare)
+    got = model_pass(calls, WEEK, lambda part: model_fn(_week_items(part)), "week_summary", "weekly-summary")
+    lost = got.lost.groupBy(*WEEK).agg(F.min("reason").alias("reason"))
+    merged = merge_week_summary(got.answers.drop("batch").withColumn("source", F.lit("model")), week_summary_fallback(notes))
+    return ModelPass(merged, lost, got.calls)
+
+
+def summarize_week(notes: DataFrame, model_fn: Callable[[list[dict]], list[dict]] | None = None) -> DataFrame:
+    """The summaries of :func:`summarize_week_pass`; the fallback without a model."""
+    return week_summary_fallback(notes) if model_fn is None else summarize_week_pass(notes, model_fn).answers
 
 
 def rule_week_model(notes: list[dict]) -> list[dict]:

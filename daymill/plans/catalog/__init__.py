@@ -7,6 +7,6 @@ returns a flat DataFrame; ``ORACLES[name]`` is SQL over the same tables.
 from __future__ import annotations
 
 from daymill.plans.catalog import (  # noqa: F401
-    ingest, labels, ledgers, rules, segments, spending, streams, texts, weeks,
+    ingest, jobs, labels, ledgers, rules, segments, spending, streams, texts, weeks,
 )
 from daymill.plans.catalog.base import ORACLES, QUERIES  # noqa: F401

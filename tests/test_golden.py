@@ -24,6 +24,7 @@ from daymill.operators import sessions as S
 from daymill.operators import texts as X
 from daymill.operators import usage as U
 from daymill.operators import weekly as W
+from daymill.plans import jobs as J
 from daymill.plans import report as P
 from daymill.plans.day import DayJob
 from daymill.sources import logs
@@ -548,3 +549,64 @@ def test_late_rows_and_blank_ids_of_streams(spark):
     assert sorted(r.id for r in spark.read.parquet(f"{base}/ids").collect()) == ["", "", "a", "b", "c"]
     (total,) = J.capture_totals(spark, f"{base}/stats").collect()
     assert (total.captures, total.last_ts.hour) == (7, 20)
+
+
+def test_logs_to_snapshots_to_week_reports(spark):
+    """A failed hour leaves its day incomplete; the next run asks for it alone, and complete days stay as they are."""
+    from daymill.session import work_folder
+
+    base = work_folder(spark, "jobs")
+    log, store = f"{base}/log", f"{base}/store"
+    rows = [{"at": d * 86400 + h * 3600 + i * 300, "app": "AB"[h], "act": 1, "disp": [(1, f"work {d} {h} {i}.")]} for d in (0, 1) for h in (0, 1) for i in (0, 1)]
+    log_rows = ev(spark, rows).withColumn("day", F.to_date("local_ts"))
+    logs.append_events(log_rows, log)
+
+    def shaky(items):
+        if any(i["hour_start_ts"][:13] == "2024-01-02T11" for i in items):
+            raise TimeoutError("timed out")
+        return M.Reply(M.rule_hour_model(items), "gpt-5-nano", 1000 * len(items), 0, 10)
+
+    def steady(items):
+        assert [i["hour_start_ts"][:13] for i in items] == ["2024-01-02T11"]
+        return M.Reply(M.rule_hour_model(items), "gpt-5-nano", 500, 0, 10)
+
+    def state(s):
+        return {r["day"].day: r for r in s.read("snapshots").collect()}
+
+    one = J.snapshot_logs(spark, log, store, models=J.Models(hour=shaky))
+    first = state(one)
+    assert [(d, r["status"], r["incomplete_reason"], len(r["hours"])) for d, r in sorted(first.items())] == [
+        (1, "complete", "", 2), (2, "incomplete", "hourly_llm_missing:1", 2)]
+    lost = one.read("lost").collect()
+    assert [(r["stage"], r["hour_key"].hour, r["reason"]) for r in lost] == [("hour", 11, "timed out")]
+    week = J.build_week_reports(one.read("snapshots"), one)
+    assert "2024-01-02: hourly_llm_missing:1" in J.pending_weeks(one).first()["error"]
+    assert "- 推定総作業時間: 40分" in week.first()["report"]
+
+    two = J.snapshot_logs(spark, log, store, models=J.Models(hour=steady))
+    second = state(two)
+    assert second[1] == first[1] and second[2]["version"] > first[2]["version"]
+    assert second[2]["status"] == "complete" and [h["hour_title"] for h in second[2]["hours"]] == ["A", "B"]
+    assert second[2]["daily"]["daily_summary"] == "A, B" and second[2]["hours"][1]["hour_summary_enriched"] == "B (A)"
+    used = {r["day"].day: r["usage"]["hour"] for r in J.day_usage(two).collect()}
+    assert (used[1]["input_tokens"], used[2]["input_tokens"]) == (2000, 1500)
+
+    J.build_week_reports(two.read("snapshots"), two)
+    assert J.pending_weeks(two).count() == 0
+    three = J.Store(spark, store)
+    kept = J.build_week_reports(three.read("snapshots"), three).first()
+    assert kept["version"] == two.version and kept["snapshot_status"] == "complete"
+
+
+def test_weeks_without_usable_days_wait(spark):
+    from daymill.session import work_folder
+
+    store = J.Store(spark, work_folder(spark, "weeks"))
+    hour = "array<struct<hour_key:timestamp_ntz,hour_start_ts:string,hour_end_ts:string,active_sec_est:bigint,hour_title:string,hour_summary:string,cluster_labels:array<string>>>"
+    rows = spark.createDataFrame(
+        [("s", dt.date(2024, 1, 1), "incomplete", "hourly_llm_unavailable", 0, None, []), ("s", dt.date(2024, 1, 8), "complete", "", 0, None, [])],
+        f"source_id string, day date, status string, incomplete_reason string, total_active_sec_est bigint, daily struct<daily_title:string,daily_summary:string,daily_detail:string,highlights:array<string>>, hours {hour}")
+    got = J.build_week_reports(rows, store).collect()
+    assert [(r["week_start"].day, r["strategy"]) for r in got] == [(8, None)]
+    wait = J.pending_weeks(store).collect()
+    assert [(r["week_start"].day, r["error"], r["retry_count"]) for r in wait] == [(1, "hourly_llm_unavailable", 1)]
