@@ -193,6 +193,9 @@ NOTE_TEXTS = {
 }
 NOT_RUN = "未実行"
 
+# ---- fixed values: texts of report lines -------------------------------------
+UNKNOWN_HOUR, INTENT_HIDDEN, TOTAL = "（不明）", "（観測の要約と近いため省略）", "合計"
+
 # ---- fixed values: states of the day job and the week job --------------------
 HOURS_MISSING, HOURS_UNAVAILABLE = "hourly_llm_missing:", "hourly_llm_unavailable"
 WEEK_ERRORS = {"partial": "report_written_with_partial_snapshots", "fallback": "report_written_with_fallback_clustering"}

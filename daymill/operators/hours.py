@@ -208,14 +208,14 @@ def hour_timeline_rows(labelled: DataFrame) -> DataFrame:
     from daymill.functions.similarity import with_near_duplicate
 
     title = F.coalesce(
-        F.nullif("hour_title", F.lit("")), F.nullif(first_label(F.col("cluster_labels")), F.lit("")), F.lit("（不明）"))
+        F.nullif("hour_title", F.lit("")), F.nullif(first_label(F.col("cluster_labels")), F.lit("")), F.lit(K.UNKNOWN_HOUR))
     summary = F.coalesce(F.nullif("hour_summary", F.lit("")), F.col("observation"))
     rows = labelled.withColumn("display_title", title).withColumn("display_summary", summary).withColumn(
         "screens", F.array_join("cluster_labels", ", "))
     judged = with_near_duplicate(rows, "display_summary", "hour_summary_enriched", "_near")
     intent = (
         F.when(F.col("hour_summary_enriched") == "", F.lit(""))
-        .when(F.col("_near"), F.lit("（観測の要約と近いため省略）"))
+        .when(F.col("_near"), F.lit(K.INTENT_HIDDEN))
         .otherwise(F.col("hour_summary_enriched"))
     )
     return judged.select(

@@ -145,6 +145,17 @@ def ordered_distinct(
     return ranked.select(*by, "rank", "text")
 
 
+def first_seen(df: DataFrame, text: str, seq: Sequence[str], by: Sequence[str] = (), shown: str | None = None) -> DataFrame:
+    """How often each text occurs and where first: ``by, text_key, hits, first``.
+
+    ``first`` is a struct of ``seq`` and the text (or the column ``shown``) at its first place.  Rows are grouped by a
+    key of fixed size made of two hashes of 128 and 64 bits, so whole texts are no shuffle keys; null texts are left out.
+    """
+    key = F.concat(F.unhex(F.md5(text)), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))).alias("text_key")
+    first = F.min(F.struct(*seq, F.col(shown or text).alias("text"))).alias("first")
+    return df.filter(F.col(text).isNotNull()).groupBy(*by, key).agg(F.count(F.lit(1)).alias("hits"), first)
+
+
 def distinct_texts(values: Column, limit: int | None = None) -> Column:
     """:func:`ordered_distinct` for a short array inside one row."""
     from daymill.functions.text import collapse, let

@@ -55,7 +55,7 @@ def usage_report(costed: DataFrame, stage: str = "stage") -> DataFrame:
         *[F.sum(c).cast("long").alias(c) for c in COUNTERS], F.sum("cost_usd").alias("cost_usd"),
         F.grouping(stage).alias("_all"))
     return (
-        out.withColumn(stage, F.when(F.col("_all") == 1, "合計").otherwise(F.col(stage))).drop("_all")
+        out.withColumn(stage, F.when(F.col("_all") == 1, K.TOTAL).otherwise(F.col(stage))).drop("_all")
         .withColumn("tokens_text", usage_text(F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
         .withColumn("cost_text", cost_text(F.col("cost_usd")))
     )

@@ -145,10 +145,10 @@ def week_meta(snapshots: DataFrame) -> DataFrame:
 
 # ---- clusters ------------------------------------------------------------------
 
-def cluster_name(items: DataFrame) -> Column:
+def cluster_name(items: DataFrame, shown: int | None = 40) -> Column:
     labels = F.filter(F.transform("cluster_labels", lambda x: F.trim(x)), lambda x: x != "")
     summary = F.trim(F.col("hour_summary"))
-    cut = F.when(F.length(summary) > 40, F.concat(F.substring(summary, 1, 40), F.lit("…"))).otherwise(summary)
+    cut = summary if shown is None else F.when(F.length(summary) > shown, F.concat(F.substring(summary, 1, shown), F.lit("…"))).otherwise(summary)
     return (
         F.when(F.size(labels) > 0, F.array_join(labels, " / "))
         .when(F.trim("hour_title") != "", F.trim("hour_title"))
@@ -157,14 +157,14 @@ def cluster_name(items: DataFrame) -> Column:
 
 
 def fallback_task_clusters(items: DataFrame, by: Sequence[str] = WEEK) -> DataFrame:
-    """Items grouped by name in any case; largest first, ``fallback-n`` ids."""
-    named = items.filter(F.trim("id") != "").withColumn("_name", cluster_name(items))
-    key = F.coalesce(F.nullif(F.lower(T.collapse(F.col("_name"))), F.lit("")), F.col("id"))
+    """Items grouped by their whole name in any case; largest first, ``fallback-n`` ids.  A name made of a summary is shown shortened."""
+    named = items.filter(F.trim("id") != "").withColumns({"_name": cluster_name(items), "_whole": cluster_name(items, None)})
+    key = F.coalesce(F.nullif(F.lower(T.collapse(F.col("_whole"))), F.lit("")), F.col("id"))
     at = F.struct("day", "idx")
     groups = named.groupBy(*by, key.alias("_key")).agg(
         F.min_by("_name", at).alias("canonical_task_name"), F.sum("active_sec_est").cast("long").alias("total_active_sec_est"),
         F.transform(F.array_sort(F.collect_list(F.struct("day", "idx", "id"))), lambda x: x["id"]).alias("item_ids"))
-    w = Window.partitionBy(*by).orderBy(F.desc("total_active_sec_est"), "canonical_task_name")
+    w = Window.partitionBy(*by).orderBy(F.desc("total_active_sec_est"), "canonical_task_name", "_key")
     return groups.withColumn("rank", F.row_number().over(w)).select(
         *by, F.concat(F.lit("fallback-"), F.col("rank")).alias("cluster_id"), "canonical_task_name", "item_ids",
         "total_active_sec_est", F.lit(0.2).alias("confidence"))

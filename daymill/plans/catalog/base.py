@@ -89,6 +89,7 @@ PARTS: dict[str, str] = {
     "coldoc": """SELECT doc_id, trim(regexp_replace(text,
         '[\\t\\n\\x0b\\f\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS col
         FROM documents""",
+    # ---- fixed values: patterns of URLs, files, paths and markers, stated for the SQL engine ----
     "docurl0": """SELECT doc_id, 0 AS grp, unnest(u) AS tok, generate_subscripts(u, 1) AS idx FROM (
           SELECT doc_id, regexp_extract_all(flat, '(?i)\\bhttps?://[^\\s<>()]+') AS u FROM flatdoc)
         UNION ALL SELECT doc_id, 1, unnest(b), generate_subscripts(b, 1) FROM (

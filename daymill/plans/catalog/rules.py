@@ -17,6 +17,7 @@ HINTS = ["token", "licensed"]
 DOC_RULES = B.ExclusionRules(apps=["SRC3"], domain_keywords=["FR.", "zz"], text_keywords=["token", "Licensed", "the "])
 EVENT_RULES = B.ExclusionRules(apps=["PURCHASE"], domain_keywords=["U2.EX"], text_keywords=["token", "licensed", "The "])
 
+# ---- fixed values: redaction patterns and marks, stated for the SQL engine ----
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"\b(?:\+?\d{1,3}[- ]?)?(?:\(?\d{2,4}\)?[- ]?)?\d{2,4}[- ]?\d{3,4}\b"
 CARD = r"\b(?:\d[ -]?){13,19}\b"

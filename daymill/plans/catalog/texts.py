@@ -10,7 +10,7 @@ from daymill.functions import timefmt as TF
 from daymill.functions.similarity import with_near_duplicate
 from daymill.operators import texts as X
 from daymill.operators.context import select_primary_text
-from daymill.operators.ordered import ordered_distinct
+from daymill.operators.ordered import first_seen, ordered_distinct
 from daymill.plans.catalog.base import TS, near_duplicate_sql, query
 from daymill.plans.catalog.segments import job, text_job
 from daymill.sources import samples as A
@@ -73,6 +73,7 @@ def i6(spark, sf):
     return flat.select("doc_id", size(T.extract_words).alias("words"), size(T.extract_ja_runs).alias("ja_runs"), size(T.extract_files).alias("files"))
 
 
+# ---- fixed values: sentence borders and dropped marks, stated for the SQL engine ----
 SENT = """sp AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(col, '[▶→・|•]', '。', 'g'), '([。.!?！？]) +', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM coldoc),
 sn AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS pos FROM sp)"""
 NORM = """regexp_replace(lower(s), '["''“”‘’（）()【】\\[\\]<>、。.!?！？・|•▶→]', '', 'g')"""
@@ -253,17 +254,19 @@ WITH a AS (SELECT doc_id, pos, sent, norm FROM docsent WHERE norm <> '') SELECT
 def g3(spark, sf):
     s = docs(spark, sf).select("doc_id", F.posexplode(T.split_sentences(T.entity_text(F.col("text")))).alias("pos", "s"))
     n = s.select("doc_id", "pos", "s", T.sentence_norm(F.col("s")).alias("norm")).filter("norm <> ''")
-    return n.groupBy("norm").agg(F.count(F.lit(1)).alias("hits"), F.md5(F.min_by("s", F.struct("doc_id", "pos"))).alias("first_md5"),
-                                 F.min("doc_id").alias("first_doc")).select(F.md5("norm").alias("norm_md5"), "hits", "first_md5", "first_doc")
+    seen = first_seen(n, "norm", ["doc_id", "pos"], shown="s")
+    return seen.select(
+        F.lower(F.hex(F.substring("text_key", 1, 16))).alias("norm_md5"), "hits", F.md5("first.text").alias("first_md5"), F.col("first.doc_id").alias("first_doc"))
 
 
 @query("g4_ordered_distinct", """
-WITH w AS (SELECT lang, doc_id, regexp_extract(col, '^[^ ]+', 0) AS t FROM coldoc JOIN (SELECT doc_id AS d2, lang FROM documents) l ON coldoc.doc_id = l.d2),
-f AS (SELECT lang, lower(t) AS low, arg_min(t, doc_id) AS text, min(doc_id) AS ord_at FROM w WHERE t <> '' GROUP BY ALL)
+WITH w0 AS (SELECT lang, doc_id, string_split(col, ' ') AS ts FROM coldoc JOIN (SELECT doc_id AS d2, lang FROM documents) l ON coldoc.doc_id = l.d2),
+w AS (SELECT lang, doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM w0),
+f AS (SELECT lang, lower(t) AS low, arg_min(t, (doc_id, p)) AS text, min((doc_id, p)) AS ord_at FROM w WHERE t <> '' GROUP BY ALL)
 SELECT lang, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord_at) AS rank FROM f) WHERE rank <= 25""")
 def g4(spark, sf):
-    first = F.regexp_extract(T.collapse(F.col("text")), "^[^ ]+", 0)
-    return ordered_distinct(docs(spark, sf).select("lang", "doc_id", first.alias("t")), ["lang"], "t", "doc_id", 25)
+    words = docs(spark, sf).select("lang", "doc_id", F.posexplode(F.split(T.collapse(F.col("text")), " ")).alias("p", "t"))
+    return ordered_distinct(words, ["lang"], "t", F.struct("doc_id", "p"), 25)
 
 
 @query("g6_rank_evidence", """

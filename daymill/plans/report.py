@@ -44,7 +44,7 @@ def _usage_lines(stages: Sequence[tuple[str, str]], has_usage: bool) -> Column:
     """Usage per stage and in total from a map column ``usage``: stage to counters and cost."""
     if not has_usage:
         rows = [F.lit(f"  - {label}: {K.NOT_RUN}") for _, label in stages]
-        return F.array(*rows, F.lit("  - 合計: input 0 / output 0 tokens（cost: n/a / n/a）"))
+        return F.array(*rows, F.lit(f"  - {K.TOTAL}: input 0 / output 0 tokens（cost: n/a / n/a）"))
     u = F.col("usage")
     rows = [
         F.when(u[key].isNull(), F.lit(f"  - {label}: {K.NOT_RUN}")).otherwise(_join(
@@ -60,7 +60,7 @@ def _usage_lines(stages: Sequence[tuple[str, str]], has_usage: bool) -> Column:
     priced = F.filter(some, lambda x: x["cost_usd"].isNotNull())
     cost = F.when(F.size(priced) > 0, F.aggregate(priced, F.lit(0.0), lambda a, x: a + x["cost_usd"]))
     return F.array(*rows, _join(
-        "  - 合計: ", usage_text(total("input_tokens"), F.lit(0), total("output_tokens")), "（cost: ", cost_text(cost), "）"))
+        f"  - {K.TOTAL}: ", usage_text(total("input_tokens"), F.lit(0), total("output_tokens")), "（cost: ", cost_text(cost), "）"))
 
 
 def _explode(df: DataFrame, by: Sequence[str], section: Column, sub: Column, lines: Column) -> DataFrame:
@@ -165,7 +165,7 @@ def daily_report_lines(
     by_model = F.concat(
         _when(dt != "", _join("- 推定: ", F.trim("daily_title"))), _when(ds != "", _join("- 概要: ", ds)),
         _when(F.size(points) > 0, "", "### ハイライト", ""), F.transform(points, lambda h: _join("- ", h)))
-    shown = F.array_distinct(F.filter(F.transform("_hours", lambda h: h["title"]), lambda x: (x != "") & (x != "（不明）")))
+    shown = F.array_distinct(F.filter(F.transform("_hours", lambda h: h["title"]), lambda x: (x != "") & (x != K.UNKNOWN_HOUR)))
     said = F.filter(F.transform("_hours", lambda h: T.shorten(h["summary"], 90)), lambda x: x != "")
     over = F.coalesce(F.get(said, F.lit(0)), F.get("_hours", F.lit(0))["shown"], F.lit(""))
     by_rule = F.when(F.coalesce(F.size(shown), F.lit(0)) > 0, F.concat(

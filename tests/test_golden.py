@@ -485,6 +485,22 @@ def test_ids_of_other_days_are_not_opened(spark):
     assert sorted(x for x in logs.children(spark, f"{base}/out/_ids") if x.startswith("day=")) == ["day=2024-01-01", "day=2024-01-02"]
 
 
+def test_long_summaries_stay_apart(spark):
+    w = ("s", dt.date(2024, 1, 1), dt.date(2024, 1, 1))
+    same = "x" * 40
+    items = spark.createDataFrame([(*w, i, f"d:{i}", "", same + end, [], 60) for i, end in enumerate("aAb")],
+                                  "source_id string, week_start date, day date, idx int, id string, hour_title string, hour_summary string, cluster_labels array<string>, active_sec_est bigint")
+    got = W.fallback_task_clusters(items).orderBy("cluster_id").collect()
+    assert [(r["canonical_task_name"], r["item_ids"]) for r in got] == [(same + "…", ["d:0", "d:1"]), (same + "…", ["d:2"])]
+
+
+def test_first_place_of_a_text(spark):
+    df = spark.createDataFrame([("k", 2, "a", "A!"), ("k", 1, "a", "A?"), ("k", 3, "b", "B"), ("j", 4, "a", "A."), ("k", 5, None, "-")], "k string, n int, t string, s string")
+    got = O.first_seen(df, "t", ["n"], ["k"], "s").collect()
+    assert sorted((r["k"], r["hits"], r["first"]["n"], r["first"]["text"]) for r in got) == [("j", 1, 4, "A."), ("k", 1, 3, "B"), ("k", 2, 1, "A?")]
+    assert O.first_seen(df.limit(0), "t", ["n"]).count() == 0
+
+
 def test_ordered_distinct_and_calendar(spark):
     df = spark.createDataFrame([("k", 1, " A  b"), ("k", 2, "a B"), ("k", 3, "c"), ("k", 4, "")], "k string, n int, t string")
     assert [r["text"] for r in O.ordered_distinct(df, ["k"], "t", "n").orderBy("rank").collect()] == ["A b", "c"]
