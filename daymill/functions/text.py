@@ -251,29 +251,32 @@ def similarity_norm(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text_of(c))), K.SIMILARITY_STRIP, "")
 
 
-def distinct_sentences(flat: Column) -> Column:
-    """``array<struct<norm,pos,text>>`` of a collapsed text: the first sentence of each norm.
+def sentence_keys(flat: Column) -> Column:
+    """``array<struct<h1,h2,pos>>`` of a collapsed text: a key of each distinct normal form and where it first stands.
 
-    Normal forms are made for the whole text at once and split along the same marks.
-    Sorting by (norm, pos) and keeping run heads is n log n; nothing is compared pairwise.
+    The key is two independent 64-bit hashes, so it has the same size for every sentence.  Normal forms are made
+    for the whole text at once and split along the same marks; sorting and keeping run heads is n log n.
     """
 
     def tag(marked: Column) -> Column:
-        norms = F.split(_strip_marks(F.lower(marked)), "\n")
         return F.filter(
-            F.transform(
-                F.arrays_zip(norms.alias("norm"), F.split(marked, "\n").alias("text")),
-                lambda z, i: F.struct(z["norm"].alias("norm"), i.alias("pos"), z["text"].alias("text")),
-            ),
-            lambda x: x["norm"] != "",
+            F.transform(F.split(_strip_marks(F.lower(marked)), "\n"), lambda n, i: F.struct(
+                F.when(n != "", F.xxhash64(n)).alias("h1"), F.xxhash64(F.lit(1), n).alias("h2"), i.alias("pos"))),
+            lambda x: x["h1"].isNotNull(),
         )
 
     return let(
-        F.array_sort(let(_mark_sentences(flat), tag)),
-        lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["norm"] != x["norm"])),
+        F.sort_array(let(_mark_sentences(flat), tag)),
+        lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["h1"] != x["h1"]) | (F.get(a, i - 1)["h2"] != x["h2"])),
     )
 
 
+def sentences_at(flat: Column, places: Column) -> Column:
+    """``places`` (structs with ``pos``) of a collapsed text in order, each with its sentence as ``text``."""
+    return let(F.split(_mark_sentences(flat), "\n"), lambda parts: F.transform(
+        F.sort_array(places), lambda p: F.struct(p["pos"].alias("pos"), p["entries"].alias("entries"), F.get(parts, p["pos"]).alias("text"))))
+
+
 # ---- scores -----------------------------------------------------------------
 
 def snippet_score(line: Column) -> Column:
@@ -328,36 +331,28 @@ def rank_snippets(c: Column, limit: int = 3, width: int = 120) -> Column:
         rest = F.concat(F.slice(urls, F.lit(2), F.greatest(F.size(urls), F.lit(1))), F.slice(paths, F.lit(2), F.greatest(F.size(paths), F.lit(1))))
         lead = F.concat(F.slice(urls, 1, 1), F.slice(paths, 1, 1))
         found = F.slice(F.array_distinct(F.filter(F.concat(lead, rest), lambda x: x != "")), 1, limit)
-        scored = F.array_sort(
-            F.filter(
-                F.transform(
-                    lines,
-                    lambda ln, i: F.struct(
-                        (-snippet_score(ln)).alias("rank"), i.alias("pos"),
-                        shorten_token(ln, width).alias("text"),
-                    ),
-                ),
-                lambda x: (x["rank"] < 0) & (x["text"] != ""),
-            )
+        ranks = F.filter(
+            F.transform(lines, lambda ln, i: F.struct((-snippet_score(ln)).alias("rank"), i.alias("pos"), ln.alias("line"))),
+            lambda x: x["rank"] <= 0,
         )
+        return let(ranks, lambda kept: let(found, lambda e: choose(e, kept)))
 
-        def finish(entities: Column) -> Column:
+    def choose(entities: Column, kept: Column) -> Column:
+        """``kept`` has every line that is not noise with its score, so no line is scored twice."""
+        texts = F.filter(
+            F.transform(kept, lambda x: F.struct(x["rank"], x["pos"], shorten_token(x["line"], width).alias("text"))),
+            lambda x: x["text"] != "",
+        )
+
+        def finish(worth: Column) -> Column:
+            scored = F.sort_array(F.filter(worth, lambda x: x["rank"] < 0))
             ranked = F.array_distinct(F.transform(scored, lambda x: x["text"]))
             fresh = F.filter(ranked, lambda t: ~F.array_contains(entities, t))
             room = F.greatest(F.lit(1), F.lit(limit) - F.size(entities))
-            return let(F.concat(entities, F.slice(fresh, F.lit(1), room)), last_resort)
-
-        def last_resort(out: Column) -> Column:
-            quiet = F.filter(
-                F.transform(
-                    lines,
-                    lambda ln: F.when(snippet_score(ln) >= 0, shorten_token(ln, width)).otherwise(F.lit("")),
-                ),
-                lambda t: t != "",
-            )
-            return F.when(F.size(out) > 0, out).otherwise(F.slice(quiet, 1, 1))
+            return let(F.concat(entities, F.slice(fresh, F.lit(1), room)), lambda out: F.when(F.size(out) > 0, out).otherwise(
+                F.transform(F.slice(worth, 1, 1), lambda x: x["text"])))
 
-        return let(found, finish)
+        return let(texts, finish)
 
     def from_flat(flat: Column) -> Column:
         urls = F.transform(extract_urls(flat), lambda u: shorten_token(u, width))

@@ -43,13 +43,17 @@ def hour_common_texts(new_texts: DataFrame, common: DataFrame, limit: int | None
         with_hour(new_texts).groupBy(*HOUR, "segment_id", "display")
         .agg(F.min(F.struct("ts", "ingest_seq")).alias("_at"))
     )
+    # keys of fixed size: two hashes of the normal form, which is made again from the text where it orders the result
+    norm = T.common_text_norm(F.col("text"))
     norms = (
-        common.withColumn("norm", T.common_text_norm(F.col("text"))).filter(F.col("norm") != "")
-        .groupBy(*place, "norm").agg(F.min(F.struct("rank", "text")).alias("_t"))
+        common.withColumn("norm", norm).filter(F.col("norm") != "")
+        .groupBy(*place, F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
+        .agg(F.min(F.struct("rank", "text")).alias("_t"))
     )
     seen = F.struct("segment_id", "display", F.col("_t.rank").alias("rank"), F.col("_t.text").alias("text"))
-    counted = live.join(norms, place).groupBy(*HOUR, "norm").agg(
+    counted = live.join(norms, place).groupBy(*HOUR, "h1", "h2").agg(
         F.count(F.lit(1)).alias("places"), F.min(seen).alias("_first"))
+    counted = counted.withColumn("norm", T.common_text_norm(F.col("_first.text")))
     ranked = top_k(
         counted, HOUR,
         [F.desc("places"), F.desc(F.length("_first.text")), F.col("_first"), F.col("norm")], limit,

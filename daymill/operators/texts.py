@@ -5,6 +5,10 @@ One that is not common therefore occurs in exactly one entry, so "new text" need
 ordered state: a count and a minimum position per sentence decide everything.  The
 counting aggregate is partial, so a sentence held by a third of all entries costs one
 row per task before the shuffle.
+
+Sentences are counted by keys of fixed size (two 64-bit hashes within one segment and
+display; sentences that agree in both count as one) and places of fixed size.  Their text
+is read again from the entry that holds the first place, so an entry's text is shuffled once.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from daymill.functions import fixed as K
 from daymill.functions import text as T
 from daymill.operators.context import display_entries
 from daymill.operators.ordered import GROUP, top_k
+from daymill.session import dealt
 
 SEGMENT = [*GROUP, "segment_id"]
 PLACE = [*SEGMENT, "display"]
@@ -33,61 +38,56 @@ def text_entries(trace: DataFrame, events: DataFrame) -> DataFrame:
     where = trace.filter(F.col("segment_id").isNotNull()).select(
         *at, "segment_id", "segment_key", "id", "ts", "local_ts", "tz_offset_sec")
     shown = events.filter(F.size("ocr_by_display") > 0).select(*at, "active_display", "ocr_by_display")
-    rows = display_entries(shown.join(where, at), *SEGMENT, "segment_key", "ingest_seq", "id", "ts", "local_ts", "tz_offset_sec")
+    rows = display_entries(dealt(shown, *at).join(dealt(where, *at), at), *SEGMENT, "segment_key", "ingest_seq", "id", "ts", "local_ts", "tz_offset_sec")
     return rows.withColumn("display", F.coalesce("display", F.lit(-1))).filter(F.col("ocr_text") != "")
 
 
 def entry_sentences(entries: DataFrame) -> DataFrame:
-    """One row per distinct sentence of an entry: ``norm, pos, text``."""
-    order = F.struct("ts", "ingest_seq", "entry_pos").alias("entry")
-    return (
-        entries.select(*PLACE, order, F.explode(T.distinct_sentences(F.col("ocr_text"))).alias("_d"))
-        .select(*PLACE, "entry", F.col("_d.norm").alias("norm"), F.col("_d.pos").alias("pos"), F.col("_d.text").alias("text"))
-    )
+    """One narrow row per distinct sentence of an entry: its key and its place."""
+    return entries.select(*PLACE, "ts", "ingest_seq", "entry_pos", F.explode(T.sentence_keys(F.col("ocr_text"))).alias("_k")).select(
+        *PLACE, "_k.h1", "_k.h2", F.struct("ts", "ingest_seq", "entry_pos", "_k.pos").alias("place"))
 
 
 def sentence_counts(sentences: DataFrame, by: Sequence[str] = PLACE) -> DataFrame:
     """Entries holding each sentence, with the first place it was seen."""
-    first = F.min(F.struct("entry", "pos", "text"))
-    return sentences.groupBy(*by, "norm").agg(F.count(F.lit(1)).alias("entries"), first.alias("first"))
+    return sentences.groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("entries"), F.min("place").alias("first"))
+
+
+def first_sentences(entries: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row per entry: ``firsts``, the sentences first seen in it (``pos, entries, text``), and ``lead``, its
+    first sentence if it is the event's first entry of the display.
+    """
+    at = [*GROUP, "ingest_seq", "entry_pos"]
+    found = counts.select(*GROUP, "first.ingest_seq", "first.entry_pos", F.struct("first.pos", "entries").alias("_p")).groupBy(*at).agg(
+        F.collect_list("_p").alias("_places"))
+    leads = entries.groupBy(*GROUP, "ingest_seq", "display").agg(F.min("entry_pos").alias("entry_pos")).select(*at, F.lit(True).alias("_leads"))
+    rows = dealt(entries, *at).join(dealt(found, *at), at, "left").join(dealt(leads, *at), at, "left")
+    none = F.array().cast("array<struct<pos:int,entries:bigint>>")
+    return rows.select(
+        *(c for c in entries.columns if c != "ocr_text"), F.when(F.col("_leads"), T.first_sentence(F.col("ocr_text"))).alias("lead"),
+        T.sentences_at(F.col("ocr_text"), F.coalesce("_places", none)).alias("firsts"))
+
+
+def counted_sentences(firsts: DataFrame) -> DataFrame:
+    """One row per sentence of a segment's display: entries holding it, its first place and its text there."""
+    return firsts.select(*PLACE, "ts", "ingest_seq", "entry_pos", F.explode("firsts").alias("_s")).select(
+        *PLACE, "ts", "ingest_seq", "entry_pos", "_s.pos", "_s.entries", "_s.text")
 
 
-def segment_common_texts(counts: DataFrame, limit: int | None = None, by: Sequence[str] = PLACE) -> DataFrame:
+def segment_common_texts(firsts: DataFrame, limit: int | None = None) -> DataFrame:
     """Common sentences per place, most frequent first, then first seen."""
-    common = counts.filter(F.col("entries") >= 2)
-    ranked = top_k(common, by, [F.desc("entries"), F.col("first.entry"), F.col("first.pos")], limit)
-    return ranked.select(*by, "rank", "norm", F.col("first.text").alias("text"), "entries")
+    held = firsts.withColumn("firsts", F.filter("firsts", lambda s: s["entries"] >= 2))
+    order = [F.desc("entries"), *map(F.col, ("ts", "ingest_seq", "entry_pos", "pos"))]
+    return top_k(counted_sentences(held), PLACE, order, limit).select(*PLACE, "rank", "text", "entries")
 
 
-def segment_new_texts(entries: DataFrame, counts: DataFrame) -> DataFrame:
+def segment_new_texts(firsts: DataFrame) -> DataFrame:
     """Text each event adds on a display: its unique sentences, else its first one."""
-    unit = [*PLACE, "ingest_seq"]
-    first_entry = (
-        entries.withColumn("_first", T.first_sentence(F.col("ocr_text")))
-        .groupBy(*unit)
-        .agg(
-            F.min(F.struct("entry_pos", "is_active_display", "_first")).alias("_e"),
-            F.first("segment_key").alias("segment_key"), F.first("id").alias("id"), F.first("ts").alias("ts"),
-            F.first("local_ts").alias("local_ts"), F.first("tz_offset_sec").alias("tz_offset_sec"),
-        )
-    )
-    fresh = (
-        counts.filter(F.col("entries") == 1)
-        .select(*PLACE, F.col("first.entry.ingest_seq").alias("ingest_seq"), F.col("first.entry.entry_pos").alias("_p"),
-                F.struct(F.col("first.pos").alias("pos"), F.col("first.text").alias("text")).alias("_s"))
-        .groupBy(*unit, "_p").agg(F.array_sort(F.collect_list("_s")).alias("_s"))
-        .select(*unit, "_p", F.array_join(F.transform("_s", lambda s: s["text"]), " / ").alias("_new"))
-    )
-    return (
-        first_entry.withColumn("_p", F.col("_e.entry_pos"))
-        .join(fresh, [*unit, "_p"], "left")
-        .select(
-            *unit, "segment_key", "id", "ts", "local_ts", "tz_offset_sec",
-            F.col("_e.is_active_display").alias("is_active_display"),
-            F.coalesce(F.nullif("_new", F.lit("")), F.col("_e._first")).alias("ocr_text"),
-        )
-        .filter(F.coalesce(F.col("ocr_text"), F.lit("")) != "")
-    )
+    fresh = F.array_join(F.transform(F.filter("firsts", lambda s: s["entries"] == 1), lambda s: s["text"]), " / ")
+    return firsts.filter(F.col("lead").isNotNull()).select(
+        *PLACE, "ingest_seq", "segment_key", "id", "ts", "local_ts", "tz_offset_sec", "is_active_display",
+        F.coalesce(F.nullif(fresh, F.lit("")), F.col("lead")).alias("ocr_text"),
+    ).filter(F.col("ocr_text") != "")
 
 
 def segment_span(trace: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from daymill.operators import filters as B
 from daymill.operators.ordered import asof_latest
 from daymill.operators.redaction import redaction_audit
 from daymill.plans.catalog.base import TS, query
+from daymill.session import spread
 from daymill.sources import samples as A
 
 HINTS = ["token", "licensed"]
@@ -78,7 +79,7 @@ OUT = "SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM"
 
 
 def docs(spark, sf):
-    return A.table(spark, sf, "documents")
+    return spread(A.table(spark, sf, "documents"), "doc_id")
 
 
 def shown(df, c):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from daymill.functions.text import sentence_norm
 from daymill.operators import hours as H
 from daymill.operators import sessions as S
 from daymill.operators import stats as ST
@@ -169,14 +170,14 @@ def g2(spark, sf):
 SELECT source_id, CAST(day AS VARCHAR) AS day, seg AS segment_id, display, md5(norm) AS norm_md5, entries, md5(sent) AS first_md5 FROM cnt""")
 def e1(spark, sf):
     return text_job(spark, sf).counts.select(
-        "source_id", "day", "segment_id", F.col("display").cast("int").alias("display"), F.md5("norm").alias("norm_md5"), "entries",
-        F.md5("first.text").alias("first_md5"))
+        "source_id", "day", "segment_id", F.col("display").cast("int").alias("display"),
+        F.md5(sentence_norm(F.col("text"))).alias("norm_md5"), "entries", F.md5("text").alias("first_md5"))
 
 
 @query("e2_segment_common_texts", """
 SELECT source_id, CAST(day AS VARCHAR) AS day, seg AS segment_id, display, rank, sent AS text, entries FROM common""")
 def e2(spark, sf):
-    return text_job(spark, sf).common_texts.drop("norm")
+    return text_job(spark, sf).common_texts
 
 
 @query("e3_segment_new_texts", """

@@ -13,12 +13,13 @@ from daymill.operators.context import select_primary_text
 from daymill.operators.ordered import first_seen, ordered_distinct
 from daymill.plans.catalog.base import TS, near_duplicate_sql, query
 from daymill.plans.catalog.segments import job, text_job
+from daymill.session import spread
 from daymill.sources import samples as A
 
 
 
 def docs(spark, sf):
-    return A.table(spark, sf, "documents")
+    return spread(A.table(spark, sf, "documents"), "doc_id")
 
 
 def pages(spark, sf):

@@ -54,17 +54,22 @@ class DayJob:
     def entries(self) -> DataFrame:
         return self.keep(X.text_entries(self.trace, self.events), "entries")
 
+    @cached_property
+    def firsts(self) -> DataFrame:
+        counts = self.keep(X.sentence_counts(X.entry_sentences(self.entries)), "sentence_counts")
+        return self.keep(X.first_sentences(self.entries, counts), "first_sentences")
+
     @cached_property
     def counts(self) -> DataFrame:
-        return self.keep(X.sentence_counts(X.entry_sentences(self.entries)), "sentence_counts")
+        return X.counted_sentences(self.firsts)
 
     @cached_property
     def common_texts(self) -> DataFrame:
-        return X.segment_common_texts(self.counts)
+        return X.segment_common_texts(self.firsts)
 
     @cached_property
     def new_texts(self) -> DataFrame:
-        return self.keep(X.segment_new_texts(self.entries, self.counts), "new_texts")
+        return self.keep(X.segment_new_texts(self.firsts), "new_texts")
 
     @cached_property
     def hours(self) -> DataFrame:

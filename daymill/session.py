@@ -83,6 +83,24 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a read table dealt over all cores where it has fewer files than there are cores.
+
+    For stages that work long on each row: the scan of a file with one row group is one task.  A table in many files
+    stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows shuffled by ``keys`` into ``spark.sql.shuffle.partitions`` parts, for a join by the same keys.
+
+    Parts counted this way are not merged for their size: repeated texts are small when compressed but slow to work on.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a stage once and read it back.
 
