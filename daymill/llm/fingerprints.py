@@ -1,7 +1,7 @@
 """Merkle-tree fingerprints of documents.
 
 A text is cut into sections (after blank lines), those into paragraphs (lines) and those into
-sentences; every cut keeps its characters.  A leaf is the hash of a sentence, an inner node the
+sentences, long ones also at blanks that their characters choose; every cut keeps its characters.  A leaf is the hash of a sentence, an inner node the
 hash of its children, and the root covers the whole text: equal texts have equal roots.  The
 fingerprint is the root followed by the tree in order: ``#`` a section, ``|`` a paragraph, a blank
 and a sentence with its length, each as 8 hex digits of its hash.
@@ -9,8 +9,9 @@ and a sentence with its length, each as 8 hex digits of its hash.
 :func:`likeness` compares two fingerprints, :func:`differing_paragraphs` descends through
 sections and paragraphs to the edited places.  Everything is a Column expression.
 
-A null or empty text has the fingerprint of the empty tree.  :func:`with_next` sorts null ids
-last and equal ids by text.
+Rows: a null or empty text has the fingerprint of the empty tree; texts of any length are read whole; repeated
+rows have equal fingerprints.  :func:`with_next` sorts null ids last and equal ids by text, gives an empty table
+for an empty table, and a column of the table that has the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from daymill.llm.base import free_name, query, table
 
 SECTION = r"(?s).+?(?:\n\n+|\z)"
-SENTENCE = r"(?s).+?(?:[.!?] |\z)"
+#: A leaf ends at a sentence mark; from 48 characters on also at a blank after one of the printable ASCII characters
+#: (signs, digits, letters) whose code is a multiple of 7 or 11, which the text itself chooses.
+SENTENCE = r"(?s).{1,48}?(?:[.!?] |[。！？])|.{48,}?(?:[.!?] |[。！？]|[!#*,178?BFMTX\[bcinpwy~] )|.+\z"
 #: Rows of one bucket of :func:`with_next`, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 
@@ -108,7 +111,8 @@ def with_next(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     if not bounds:
         after = F.coalesce(after, F.first(F.struct(*columns)).over(whole))
     return rows.withColumn(order, after).where(~F.col(guest)).select(
-        *docs.columns, *(F.col(f"{order}.{c}").alias(f"next_{c}") for c in columns))
+        *(F.col(f"`{c}`") for c in docs.columns if c.lower() not in {f"next_{n}".lower() for n in columns}),
+        *(F.col(f"{order}.{c}").alias(f"next_{c}") for c in columns))
 
 
 @query("op7_merkle_fingerprints", r"""
@@ -118,7 +122,7 @@ e AS (
 x AS (SELECT doc_id, n, t, nt, left(t, n - n // 4) || left(nt, n // 4) AS et FROM e),
 v AS (SELECT DISTINCT s FROM (SELECT t AS s FROM x UNION ALL SELECT et FROM x)),
 l AS (SELECT s, list_transform(regexp_extract_all(s, '(?s).+?(?:\n\n+|\z)'), lambda a: list_transform(string_split(a, chr(10)), lambda p:
-  list_transform(regexp_extract_all(p, '(?s).+?(?:[.!?] |\z)'), lambda q: {'h': md5(q), 's': ' ' || left(md5(q), 8) || lower(to_hex(length(q)))}))) AS k FROM v),
+  list_transform(regexp_extract_all(p, '(?s).{1,48}?(?:[.!?] |[。！？])|.{48,}?(?:[.!?] |[。！？]|[!#*,178?BFMTX\[bcinpwy~] )|.+\z'), lambda q: {'h': md5(q), 's': ' ' || left(md5(q), 8) || lower(to_hex(length(q)))}))) AS k FROM v),
 p AS (SELECT s, list_transform(k, lambda a: list_transform(a, lambda b: {
   'h': md5(coalesce(array_to_string(list_transform(b, lambda c: c.h), ''), '')), 's': coalesce(array_to_string(list_transform(b, lambda c: c.s), ''), '')})) AS k FROM l),
 g AS (SELECT s, list_transform(k, lambda a: {'h': md5(coalesce(array_to_string(list_transform(a, lambda c: c.h), ''), '')),

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +46,22 @@ def test_next_of_few_rows(spark):
     assert fp.with_next(one.limit(0), "doc_id", "text").count() == 0
     nulls = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
     assert {(r.text, r.next_text) for r in fp.with_next(nulls, "doc_id", "text").collect()} == {("a", "b"), ("b", "a")}
+
+
+def test_unpunctuated_and_full_width_texts_have_several_leaves(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghilmnoprstuwy", k=rng.randint(2, 8))) for _ in range(400)]
+    plain, wide = " ".join(words), "".join(chr(0x4E00 + n) * (2 + n % 5) + "\u3002\uff01\uff1f"[n % 3] for n in range(60))
+    for text in (plain, wide, "x" * 50_000, "no mark at all"):
+        half = text[:len(text) * 3 // 4]
+        a, b = prints(spark, [text, half])
+        r = spark.createDataFrame([(a, b)], "a string, b string").select(fp.likeness(F.col("a"), F.col("b")).alias("n")).first()
+        assert (r.n > 0.7) == (text in (plain, wide))
+        leaves = re.findall(" [0-9a-f]{8}([0-9a-f]+)", a)
+        assert sum(int(n, 16) for n in leaves) == len(text)
+
+
+def test_an_own_column_gives_way_to_the_result(spark):
+    docs = spark.createDataFrame([(1, "a", "mine"), (2, "b", "mine")], "doc_id long, text string, Next_Text string")
+    out = fp.with_next(docs, "doc_id", "text")
+    assert out.columns == ["doc_id", "text", "next_text"] and {r.next_text for r in out.collect()} == {"a", "b"}
