@@ -31,6 +31,8 @@ from daymill.session import staged, work_folder
 
 #: An archive holds about so many bytes of records before compression, or one record.
 ARCHIVE_BYTES = 8 << 20
+#: Read records leave a task in batches of about so many payload bytes, or one record.
+BATCH_BYTES = 1 << 20
 DICTIONARY_BYTES = 64 << 10
 # Frame mark of dictionaries in archives, and the profile of revisits.
 DICTIONARY_FRAME = (0x184D2A5D).to_bytes(4, "little")
@@ -153,6 +155,29 @@ def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
     schema = T.StructType([T.StructField(n, t) for n, t in (
         ("page", T.StringType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()),
         ("record_type", T.StringType()), ("refers_to", T.StringType()), ("payload", T.BinaryType()))])
+    fields = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in schema.names])
+
+    def batch(path: str, records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {n: [] for n in schema.names}
+        held = 0
+        for head, block in records:
+            http, _, payload = block.partition(b"\r\n\r\n")
+            response = head["WARC-Type"] == "response"
+            digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+            if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"damaged record {head['WARC-Record-ID']} in {path}")
+            refers = head.get("WARC-Refers-To")
+            row = (head["WARC-Record-ID"][12:-1] or None, head.get("WARC-Target-URI"),
+                   int(re.search(rb"Content-Length: (\d+)", http)[1]), digest, head["WARC-Type"],
+                   refers and refers[12:-1], payload if response else None)
+            for n, v in zip(schema.names, row, strict=True):
+                out[n].append(v)
+            held += len(payload)
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pydict(out, fields)
+                out, held = {n: [] for n in schema.names}, 0
+        if out["page"]:
+            yield pa.RecordBatch.from_pydict(out, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,21 +185,7 @@ def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
                 store, at = _store(path)
                 with store.open_input_stream(at) as f:
                     data = f.read()
-                out: dict[str, list] = {n: [] for n in schema.names}
-                for head, block in open_archive(data):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    response = head["WARC-Type"] == "response"
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"damaged record {head['WARC-Record-ID']} in {path}")
-                    refers = head.get("WARC-Refers-To")
-                    row = (head["WARC-Record-ID"][12:-1] or None, head.get("WARC-Target-URI"),
-                           int(re.search(rb"Content-Length: (\d+)", http)[1]), digest, head["WARC-Type"],
-                           refers and refers[12:-1], payload if response else None)
-                    for n, v in zip(schema.names, row, strict=True):
-                        out[n].append(v)
-                yield pa.RecordBatch.from_pydict(out, pa.schema([
-                    (n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in schema.names]))
+                yield from batch(path, open_archive(data))
 
     spread = archives.select("path").repartition(max(1, min(10_000, archives.count())), "path")
     return spread.mapInArrow(run, schema).withColumns({"page": F.col("page").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
