@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from daymill import session
 from daymill.functions import text as T
 from daymill.llm import warc
+from daymill.operators import texts as X
 from daymill.plans.day import DayJob
 from daymill.sources import logs
 from daymill.sources import samples as A
@@ -77,3 +78,22 @@ def test_evidence_of_plain_words_and_concrete_ones(spark):
     tokens = F.array(*map(F.lit, ["plain", "word.", "a.py", "/tmp/x", "2>&1", "~/y", "github.com/z"]))
     got = spark.range(1).select(T.rank_evidence(tokens, 10)).first()[0]
     assert got == "github.com/z / /tmp/x / ~/y / 2>&1 / a.py"
+
+
+def test_a_lone_text_gives_no_sentence_rows(spark):
+    j = DayJob(shown(spark, ["a. b.", "a. b.", "a. b."]), keep=lambda df, name: df)
+    where = X.with_texts(j.traced, X.text_counts(j.text_places))
+    assert X.entry_sentences(X.text_entries(j.with_text(X.with_others(where)))).count() == 0
+    assert j.placed.filter("size(places) > 0").count() == 0
+    assert sorted((r["text"], r["entries"]) for r in j.counts.collect()) == [("a.", 3), ("b.", 3)]
+    assert [r["ocr_text"] for r in j.new_texts.orderBy("ts").collect()] == ["a.", "a.", "a."]
+
+
+def test_sentences_of_several_texts_are_weighted_and_events_may_repeat(spark):
+    ev = shown(spark, ["a. b.", "a. b.", "a. c.", "d."])
+    for rows, times in ((ev, 1), (ev.unionByName(ev), 4)):  # a repeated event meets the text of both its rows
+        j = DayJob(rows, keep=lambda df, name: df)
+        got = {(r["text"], r["entries"]) for r in j.counts.collect()}
+        assert got == {("a.", 3 * times), ("b.", 2 * times), ("c.", times), ("d.", times)}
+        places, texts = j.new_places, j.new_texts.drop("ocr_text")
+        assert sorted(map(str, places.collect())) == sorted(map(str, texts.select(*places.columns).collect()))
