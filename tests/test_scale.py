@@ -97,3 +97,13 @@ def test_sentences_of_several_texts_are_weighted_and_events_may_repeat(spark):
         assert got == {("a.", 3 * times), ("b.", 2 * times), ("c.", times), ("d.", times)}
         places, texts = j.new_places, j.new_texts.drop("ocr_text")
         assert sorted(map(str, places.collect())) == sorted(map(str, texts.select(*places.columns).collect()))
+
+
+def test_keywords_of_lone_events_equal_those_of_the_aggregate(spark):
+    ev = shown(spark, ["see a.py b.py a.py", "run c.sh", "run d.sh c.sh", " ", "e.md"]).withColumn("active_app", F.expr("case when ingest_seq in (1, 2) then 'B' else concat('A', ingest_seq) end"))
+    for rows in (ev, ev.unionByName(ev.filter("ingest_seq = 4"))):
+        j = DayJob(rows, keep=lambda df, name: df)
+        text = j.sessions.withColumn("primary_text", F.col("ocr_by_display")[0]["ocr_text"])
+        for got, want in ((j.keywords, X.segment_keywords(text)), (j.snippets, X.segment_snippets(text))):
+            assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.schema.simpleString() == want.schema.simpleString()
+    assert X.with_lone(j.narrow_sessions, j.timed).filter("lone").count() == 2
