@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from daymill import session
 from daymill.functions import text as T
 from daymill.llm import warc
 from daymill.operators import texts as X
+from daymill.operators.context import select_primary_text
 from daymill.plans.day import DayJob
 from daymill.sources import logs
 from daymill.sources import samples as A
@@ -100,10 +102,27 @@ def test_sentences_of_several_texts_are_weighted_and_events_may_repeat(spark):
 
 
 def test_keywords_of_lone_events_equal_those_of_the_aggregate(spark):
-    ev = shown(spark, ["see a.py b.py a.py", "run c.sh", "run d.sh c.sh", " ", "e.md"]).withColumn("active_app", F.expr("case when ingest_seq in (1, 2) then 'B' else concat('A', ingest_seq) end"))
+    ev = shown(spark, ["see a.py b.py a.py", "run c.sh", "run d.sh c.sh", " ", "e.md"]).withColumn("active_app", F.expr("case when ingest_seq in (1, 2) then 'B' else concat('A', ingest_seq) end")).withColumn(
+        "ocr_active_display_excluded", F.lit(False))
     for rows in (ev, ev.unionByName(ev.filter("ingest_seq = 4"))):
         j = DayJob(rows, keep=lambda df, name: df)
-        text = j.sessions.withColumn("primary_text", F.col("ocr_by_display")[0]["ocr_text"])
+        text = select_primary_text(j.sessions)
         for got, want in ((j.keywords, X.segment_keywords(text)), (j.snippets, X.segment_snippets(text))):
             assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())) and got.schema.simpleString() == want.schema.simpleString()
     assert X.with_lone(j.narrow_sessions, j.timed).filter("lone").count() == 2
+
+
+def test_answers_leave_a_task_in_pieces(spark, monkeypatch):
+    from daymill.operators import enrich
+
+    sizes = []
+    asked = enrich._asked
+    monkeypatch.setattr(enrich, "_asked", lambda frame, keys, fn: sizes.append(len(frame)) or asked(frame, keys, fn))
+    taken = {}
+    frame = pd.DataFrame({"day": range(250), "batch": 0, "items": [["1", "2"]] * 250})
+    fake = type("Batches", (), {"schema": spark.createDataFrame([(1, 0)], "day long, batch long").schema, "select": lambda self, *c: self,
+                                "mapInPandas": lambda self, run, schema: taken.update(run=run)})()
+    monkeypatch.setattr(enrich, "staged", lambda df, name: df)
+    enrich.tagged_output(fake, ["day"], lambda items: [{"n": i} for i in items])
+    out = list(taken["run"](iter([frame])))
+    assert sizes == [100, 100, 50] and [len(f) for f in out] == [300, 300, 150]
