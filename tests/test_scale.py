@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from daymill import session
+from daymill.functions import fixed as K
 from daymill.functions import text as T
 from daymill.llm import warc
+from daymill.operators import enrich as M
+from daymill.operators import hours as H
 from daymill.operators import texts as X
 from daymill.operators.context import select_primary_text
 from daymill.plans.day import DayJob
@@ -101,6 +105,30 @@ def test_sentences_of_several_texts_are_weighted_and_events_may_repeat(spark):
         assert sorted(map(str, places.collect())) == sorted(map(str, texts.select(*places.columns).collect()))
 
 
+def test_a_timeline_is_chosen_before_its_text_is_read(spark):
+    ev = shown(spark, ["a. b.", "a. c.", "a.", " ", "d. b."]).withColumn("id", F.expr("case when ingest_seq = 4 then 'e0' else id end"))
+    for rows in (ev, ev.unionByName(ev.filter("ingest_seq in (0, 2)")), ev.unionByName(ev.filter("ingest_seq = 1").withColumn("id", F.lit("x")))):
+        kept = {}
+        j = DayJob(rows, keep=lambda df, name: kept.setdefault(name, session.staged(df, name)))  # noqa: B023
+        want = H.active_timeline(j.new_texts, j.clusters)
+        got = j.timeline
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "ocr_text" not in kept["first_shown"].columns
+
+
+def test_payloads_and_batches_of_hours_shuffle_their_text_once(spark):
+    j = DayJob(shown(spark, ["a. b.", "a. c.", "a."]))
+    payload = H.hourly_model_input(j.packs, j.clusters, j.timeline)
+    plan = payload._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.index("SortMergeJoin") < plan.index("ObjectHashAggregate")
+    c = json.loads(payload.first()["payload"])["clusters"]
+    assert [t["ocr_text"] for t in c[0]["active_timeline"]] == ["b.", "c.", "a."] and c[0]["segment_ids"] == [0]
+    days = spark.createDataFrame([(s, dt.date(2024, 1, 1), dt.datetime(2024, 1, 1, h), "x" * n) for s, h, n in (
+        ("s", 0, 9000), ("s", 1, 9000), ("s", 2, 20000), ("t", 0, 5), ("s", 3, 40000), ("s", 4, 1), ("s", 4, 1))], "source_id string, day date, hour_key timestamp_ntz, payload string")
+    want = M.make_batches(days, list(H.GROUP), ["hour_key"], "payload", K.HOUR_BATCH_ITEMS, K.HOUR_BATCH_CHARS)
+    assert sorted(map(str, M.hour_batches(days, list(H.GROUP)).collect())) == sorted(map(str, want.collect()))
+
+
 def test_keywords_of_lone_events_equal_those_of_the_aggregate(spark):
     ev = shown(spark, ["see a.py b.py a.py", "run c.sh", "run d.sh c.sh", " ", "e.md"]).withColumn("active_app", F.expr("case when ingest_seq in (1, 2) then 'B' else concat('A', ingest_seq) end")).withColumn(
         "ocr_active_display_excluded", F.lit(False))
