@@ -17,12 +17,12 @@ N = "row_number() OVER (PARTITION BY source_id, day ORDER BY seq) - 1"
 
 
 def noisy_lines(spark, sf):
-    """Log lines of all events; some carry a prefix, some are not JSON at all."""
+    """All events and their log lines; some carry a prefix, some are not JSON at all."""
     ev = A.events(spark, sf)
     n = F.col("ingest_seq")
     line = logs.event_json(ev)
     value = F.when(n % 40 == 7, F.concat(F.lit("14:33:0"), line)).when(n % 40 == 9, F.lit("noise [1]")).when(n % 40 == 11, F.lit("[1, 2]")).otherwise(line)
-    return ev.select(*GROUP, "ingest_seq", value.alias("value"))
+    return ev, value
 
 
 @query("a1_read_events", f"""
@@ -30,7 +30,8 @@ WITH a AS (SELECT *, {N} AS p FROM ev) SELECT source_id, CAST(day AS VARCHAR) AS
  NULLIF(dom, '') AS domain, excl AS excluded, err AS has_error FROM a WHERE seq % 40 NOT IN (9, 11)""")
 def a1(spark, sf):
     path = work_folder(spark, "logs")
-    logs.append_lines(noisy_lines(spark, sf), path)
+    lines, value = noisy_lines(spark, sf)
+    logs.append_lines(lines, path, value)
     good, _ = logs.read_events(spark, path)
     return good.select(*GROUP, "ingest_seq", "id", "ts", "interval_sec", "active_app", F.col("browser.domain").alias("domain"), "excluded", "has_error")
 
@@ -39,7 +40,8 @@ def a1(spark, sf):
 SELECT source_id, CAST(day AS VARCHAR) AS day, p AS ingest_seq, CASE seq % 40 WHEN 9 THEN 'noise [1]' ELSE '[1, 2]' END AS value FROM a WHERE seq % 40 IN (9, 11)""")
 def a1_bad(spark, sf):
     path = work_folder(spark, "logs")
-    logs.append_lines(noisy_lines(spark, sf), path)
+    lines, value = noisy_lines(spark, sf)
+    logs.append_lines(lines, path, value)
     return logs.read_events(spark, path)[1]
 
 

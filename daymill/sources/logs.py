@@ -136,7 +136,9 @@ def project_event(v: Column) -> list[Column]:
 
 def parse_events(lines: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
     """(events, bad lines) of raw lines; blank lines are neither."""
-    rows = lines.withColumn("value", strip_ws(F.col("value"))).filter("value <> ''").withColumn("_v", parse_line(F.col("value")))
+    # lines are stripped and parsed before they are exploded: a filter on a column would do it again
+    some = F.filter(F.array(strip_ws(F.col("value"))), lambda v: v != "")
+    rows = lines.select(*keep, F.explode(some).alias("value")).select("*", F.explode(F.array(parse_line(F.col("value")))).alias("_v"))
     ok = _is_object(F.col("_v"))
     return rows.filter(ok).select(*keep, *project_event(F.col("_v"))), rows.filter(~ok).select(*keep, "value")
 
@@ -157,8 +159,9 @@ def event_json(events: DataFrame) -> Column:
     return F.to_json(F.struct(micros.alias("ts"), *fields, error.alias("error")))
 
 
-def append_lines(lines: DataFrame, path: str) -> None:
-    """Append ``source_id, day, ingest_seq, value`` as text, in order.
+def append_lines(lines: DataFrame, path: str, value: Column | None = None) -> None:
+    """Append ``source_id, day, ingest_seq, value`` as text, in order; ``value`` may be an expression over other columns, which is
+    then made once, after the rows are put in order.
 
     Rows are range-partitioned, so a big day spreads over files whose numbers keep the order; the
     folder of an append has a number larger than those before.  Files are gzipped: text of
@@ -168,7 +171,7 @@ def append_lines(lines: DataFrame, path: str) -> None:
     spark = lines.sparkSession
     order = [*GROUP, "ingest_seq"]
     _LAST[0] = max(_LAST[0] + 1, time.time_ns() // 1000)
-    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value", *GROUP, F.lit(_LAST[0]).alias("append"))
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order).select((F.col("value") if value is None else value).alias("value"), *GROUP, F.lit(_LAST[0]).alias("append"))
     rows.write.mode("append").option("maxRecordsPerFile", LINES_PER_FILE).partitionBy(*GROUP, "append").text(path, compression="gzip")
     new = spark.read.schema(LOG_SCHEMA).text(path).where(F.col("append") == _LAST[0])
     counts = new.groupBy(*GROUP, "append", F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
@@ -176,7 +179,7 @@ def append_lines(lines: DataFrame, path: str) -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    append_lines(events.withColumn("value", event_json(events)).select(*GROUP, "ingest_seq", "value"), path)
+    append_lines(events, path, event_json(events))
 
 
 # ---- artifacts -------------------------------------------------------------------
