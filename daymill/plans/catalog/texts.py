@@ -266,7 +266,8 @@ w AS (SELECT lang, doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM
 f AS (SELECT lang, lower(t) AS low, arg_min(t, (doc_id, p)) AS text, min((doc_id, p)) AS ord_at FROM w WHERE t <> '' GROUP BY ALL)
 SELECT lang, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ord_at) AS rank FROM f) WHERE rank <= 25""")
 def g4(spark, sf):
-    words = docs(spark, sf).select("lang", "doc_id", F.posexplode(F.split(T.collapse(F.col("text")), " ")).alias("p", "t"))
+    # a document gives each of its words once, in the order in which they first stand
+    words = docs(spark, sf).select("lang", "doc_id", F.posexplode(F.array_distinct(F.split(T.collapse(F.col("text")), " "))).alias("p", "t"))
     return ordered_distinct(words, ["lang"], "t", F.struct("doc_id", "p"), 25)
 
 
