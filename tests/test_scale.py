@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections import Counter
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from daymill import session
@@ -19,6 +21,7 @@ from daymill.operators.context import select_primary_text
 from daymill.plans.day import DayJob
 from daymill.sources import logs
 from daymill.sources import samples as A
+from daymill.streaming import jobs as J
 
 DISPLAYS = "array<struct<display:int,ocr_text:string,excluded:boolean,excluded_reason:string>>"
 
@@ -73,6 +76,72 @@ def test_appended_logs_are_compressed(spark, tmp_path):
     assert [r["value"] for r in logs.read_lines(spark, f"{tmp_path}/log").orderBy("ingest_seq").collect()] == [f"line {i}" for i in range(5)]
 
 
+def folders(path):
+    """Data files per folder under a table."""
+    return Counter(str(p.parent.relative_to(path)) for p in path.rglob("part-*") if not p.name.startswith("."))
+
+
+def stream_log(spark, tmp_path):
+    line = lambda i: json.dumps({"id": "" if i % 10 == 0 else f"e{i % 150}", "ts": f"2024-01-01T{i % 24:02}:{i % 60:02}:00Z", "active_app": f"A{i % 7}"})
+    rows = [("st"[i % 2], dt.date(2024, 1, 1 + i % 2), i, line(i)) for i in range(300)]
+    logs.append_lines(spark.createDataFrame(rows, "source_id string, day date, ingest_seq long, value string"), f"{tmp_path}/log")
+    return f"{tmp_path}/log"
+
+
+@pytest.fixture
+def many_parts(spark):
+    """As with large tables, no part is merged into another."""
+    new = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_ids_of_a_batch_fill_few_files(spark, tmp_path, many_parts):
+    log, out = stream_log(spark, tmp_path), tmp_path / "out"
+    J.stream_dedupe(J.stream_events(spark, log), str(out), f"{tmp_path}/c").awaitTermination()
+    got = spark.read.parquet(str(out)).filter("day is not null")
+    assert got.count() == 135 + 30 and got.filter("id = ''").count() == 30  # 15 of 150 ids are blank, in 30 of 300 rows
+    ids = {k: n for k, n in folders(out).items() if k.startswith("_ids")}
+    assert len(ids) > 8 and set(ids.values()) == {1}
+    assert all(n <= 16 for k, n in folders(out).items())
+
+
+def test_refreshed_days_fill_few_files(spark, tmp_path, many_parts):
+    log, out = stream_log(spark, tmp_path), tmp_path / "out"
+    J.stream_refresh_days(J.stream_events(spark, log), log, str(out), f"{tmp_path}/c").awaitTermination()
+    assert folders(out) == {"source_id=s/day=2024-01-01": 1, "source_id=t/day=2024-01-02": 1}
+
+
+def test_rows_of_a_batch_fill_few_files(spark, tmp_path, many_parts):
+    log, out = stream_log(spark, tmp_path), tmp_path / "out"
+    J.stream_sessionize(J.stream_lines(spark, log), log, str(out), f"{tmp_path}/c").awaitTermination()
+    held = {k: n for k, n in folders(out).items() if k.startswith(("rows", "runs"))}
+    assert len(held) == 4 and max(held.values()) <= 24 / J.SLICES_PER_FILE
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(" ",), ('{"id": "a"}',), ('x{"id": "b"} ',), ("[1]",), ("no",)], "value string").repartition(1)
+    good, bad = logs.parse_events(lines)
+    assert [r["id"] for r in good.collect()] == ["a", "b"] and [r["value"] for r in bad.collect()] == ["[1]", "no"]
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("parsejson" in x.lower().replace("_", "") for x in plan.splitlines()) == 1, plan
+
+
+def test_words_leave_a_document_once(spark, tmp_path, monkeypatch):
+    from daymill.plans.catalog import texts as C
+
+    spark.createDataFrame([(1, "b a  b A", "x"), (2, "a c", "x")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    taken = []
+    operator = C.ordered_distinct
+    monkeypatch.setattr(C, "ordered_distinct", lambda df, *a: taken.append(df) or operator(df, *a))
+    got = C.g4(spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["text"] for r in got] == ["b", "a", "c"] and taken[0].count() == 5
+
+
 def test_archives_are_read_in_small_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BATCH_BYTES", 10)
     pages = spark.createDataFrame([(i, f"http://a/{i}", "x" * (i % 7)) for i in range(50)], "page_id long, url string, html string")
