@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections import Counter
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -18,7 +19,7 @@ from daymill.operators import enrich as M
 from daymill.operators import hours as H
 from daymill.operators import texts as X
 from daymill.operators.context import select_primary_text
-from daymill.plans.day import DayJob
+from daymill.plans.day import DayJob, _kept
 from daymill.sources import logs
 from daymill.sources import samples as A
 from daymill.streaming import jobs as J
@@ -62,6 +63,17 @@ def test_lookup_joins_rows_before_their_text(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 6
 
 
+def test_stages_of_the_day_job_leave_no_shuffle_files(spark):
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    before = held()
+    assert _kept(spark.range(1000).repartition(7, "id"), "kept").count() == 1000
+    names = {p.name.split("_")[1] for p in held() - before}  # the count has a shuffle of its own
+    assert len(names) <= 1
+    old = held()
+    assert session.staged(spark.range(1000).repartition(7, "id"), "left").select("id").rdd.getNumPartitions() and held() - old
+
+
 def test_large_files_are_dealt_into_more_parts(spark, tmp_path, monkeypatch):
     spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
     monkeypatch.setattr(session, "PART_BYTES", 100)
