@@ -186,6 +186,24 @@ def test_sentences_of_several_texts_are_weighted_and_events_may_repeat(spark):
         assert sorted(map(str, places.collect())) == sorted(map(str, texts.select(*places.columns).collect()))
 
 
+@pytest.mark.parametrize("part_texts", [4096, 1])
+def test_an_entry_shuffles_its_sentences_as_one_row_and_gets_them_back_as_bits(spark, monkeypatch, part_texts):
+    monkeypatch.setattr(X, "PART_TEXTS", part_texts, raising=False)
+    j = DayJob(shown(spark, [" ".join(f"w{i}." for i in range(150)), "w3. w3. new. !? w149.", "a. w64."]))
+    rows = X.entry_sentences(X.text_entries(j.with_text(X.with_others(
+        X.with_texts(j.traced, X.text_counts(j.text_places)))))).collect()
+    assert len(rows) == 3 if part_texts > 1 else len(rows) <= 9  # three texts in at most three parts
+    assert len({r["part"] for r in rows}) == (1 if part_texts > 1 else 3) and sum(len(r["h1"]) for r in rows) == 150 + 3 + 2
+    twice = {"w3.", "w64.", "w149."}
+    assert {(r["text"], r["entries"]) for r in j.counts.collect()} == {
+        *((f"w{i}.", 2 if f"w{i}." in twice else 1) for i in range(150)), ("new.", 1), ("a.", 1)}
+    assert [(r["rank"], r["text"], r["entries"]) for r in j.common_texts.orderBy("rank").collect()] == [(1, "w3.", 2), (2, "w64.", 2), (3, "w149.", 2)]
+    assert [r["ocr_text"] for r in j.new_texts.orderBy("ts").collect()] == [
+        " / ".join(f"w{i}." for i in range(150) if f"w{i}." not in twice), "new.", "a."]
+    if part_texts > 1:
+        assert j.placed.agg(F.sum(F.size("places"))).first()[0] == 8  # 150 sentences in three words, six with those held twice
+
+
 def test_a_timeline_is_chosen_before_its_text_is_read(spark):
     ev = shown(spark, ["a. b.", "a. c.", "a.", " ", "d. b."]).withColumn("id", F.expr("case when ingest_seq = 4 then 'e0' else id end"))
     for rows in (ev, ev.unionByName(ev.filter("ingest_seq in (0, 2)")), ev.unionByName(ev.filter("ingest_seq = 1").withColumn("id", F.lit("x")))):
