@@ -253,3 +253,18 @@ def test_answers_leave_a_task_in_pieces(spark, monkeypatch):
     enrich.tagged_output(fake, ["day"], lambda items: [{"n": i} for i in items])
     out = list(taken["run"](iter([frame])))
     assert sizes == [100, 100, 50] and [len(f) for f in out] == [300, 300, 150]
+
+
+def test_texts_are_not_looked_up_character_by_character(spark):
+    odd = "".join(chr(n) for n in K.WS_CODES) + "\x00"
+    df = spark.createDataFrame([(f" a{w}\t b.{w}C😀ä{w}",) for w in odd] + [("x• y| Z！ （q）",), (None,)], "t string")
+    made = df.select(T.entity_text(F.col("t")).alias("e"), T.collapse(F.col("t")).alias("c"), T.sentence_norm(F.col("t")).alias("n"),
+                     T.first_sentence(T.entity_text(F.col("t"))).alias("f"), T.split_sentences(F.col("t")).alias("s"), F.size(T.sentence_keys(T.entity_text(F.col("t")))).alias("k"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString().replace("regexp_replace(", "")
+    assert "translate(" not in plan and "replace(" not in plan
+    rows = made.collect()
+    for r in rows[:len(odd) - 1]:
+        assert (r["e"], r["c"], r["n"], r["f"], r["s"], r["k"]) == ("a b. C😀ä", "a b. C😀ä", "a b c😀ä", "a b.", ["a b.", "C😀ä"], 2)
+    assert (rows[-3]["e"], rows[-3]["c"]) == ("a b. C😀ä", "a\x00 b.\x00C😀ä\x00")
+    assert (rows[-2]["s"], rows[-2]["n"], rows[-2]["k"]) == (["x。", "y。", "Z！", "（q）"], "x y z q", 4)
+    assert (rows[-1]["e"], rows[-1]["n"], rows[-1]["k"]) == ("", "", 0)
