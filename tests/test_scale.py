@@ -268,3 +268,29 @@ def test_texts_are_not_looked_up_character_by_character(spark):
     assert (rows[-3]["e"], rows[-3]["c"]) == ("a b. C😀ä", "a\x00 b.\x00C😀ä\x00")
     assert (rows[-2]["s"], rows[-2]["n"], rows[-2]["k"]) == (["x。", "y。", "Z！", "（q）"], "x y z q", 4)
     assert (rows[-1]["e"], rows[-1]["n"], rows[-1]["k"]) == ("", "", 0)
+
+
+@pytest.mark.parametrize("part_texts", [4096, 1])
+def test_keywords_are_shuffled_as_one_row_a_part_and_counted_without_a_sort(spark, monkeypatch, part_texts):
+    monkeypatch.setattr(X, "PART_TEXTS", part_texts)
+    packed = []
+    dealt = X.dealt
+    monkeypatch.setattr(X, "dealt", lambda df, *by: packed.append(df) or dealt(df, *by))
+    texts = ["beta alpha gamma beta", "zeta alpha delta", " ", "sk-abcdefghijklmnop1 alpha", "w" * 90 + " omega beta", "see a.py b.py", "see b.py", "omega \t zeta"]
+    ev = shown(spark, texts).withColumn("ocr_active_display_excluded", F.lit(False)).withColumn("ts", F.expr("case when ingest_seq = 4 then timestamp'2024-01-01 10:00:00' else ts end"))
+    j = DayJob(ev, keep=lambda df, name: df)
+    assert j.segments.count() == 1
+    got = [tuple(r)[3:] for r in j.keywords.orderBy("rank").collect()]
+    rows = select_primary_text(j.sessions).orderBy("ts", "ingest_seq").select(F.array_distinct(T.keyword_hits(F.col("primary_text"))).alias("k")).collect()
+    n, first = Counter(), {}
+    for at, r in enumerate(rows):
+        for i, t in enumerate(r["k"]):
+            n[t] += 1
+            first.setdefault(t, (at, i))
+    want = sorted(n, key=lambda t: (-n[t], first[t]))[:8]
+    assert got == [(t, n[t], i + 1) for i, t in enumerate(want)] and got[0][:2] == ("alpha", 3) and len(got) == 8 and len(n) > 8
+    sent = packed[0].collect()
+    assert len(sent) == 7 if part_texts > 1 else len({r["part"] for r in sent}) > 1
+    assert "w" * 79 + "…" in n and "sk-…" in n
+    plan = j.keywords._jdf.queryExecution().executedPlan().toString()
+    assert "token" in plan and not [ln for ln in plan.splitlines() if "SortAggregate" in ln and "token" in ln]
